@@ -8,9 +8,11 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwire.operators.ranking import running
+from cellwire.operators.session import materialize, short_table
 
 # Order of the interaction classes; other classes come last.
 ANNOTATION_ORDER = [
@@ -83,7 +85,10 @@ def coverage_audit(
     lr: DataFrame, genes: DataFrame, complexes: DataFrame, cofactors: DataFrame
 ) -> DataFrame:
     """Per interaction: resolved genes, missing genes, validity and the reasons."""
-    members = component_members(lr, genes, complexes, cofactors)
+    return audit_members(lr, component_members(lr, genes, complexes, cofactors))
+
+
+def audit_members(lr: DataFrame, members: DataFrame) -> DataFrame:
     joined = lambda cond: F.concat_ws(";", F.sort_array(F.collect_list(F.when(cond, F.col("member")))))
     lig, rec = F.col("role") == "ligand", F.col("role") == "receptor"
     # An interaction has a bounded number of member genes, so the lists stay short.
@@ -128,27 +133,33 @@ def prepare_interactions(
     cofactors: DataFrame,
     missing: str = "error",
 ) -> Interactions:
-    """Resolve all roles. Incomplete interactions are an error or are left out (``filter``)."""
-    audit = coverage_audit(lr, genes, complexes, cofactors)
+    """Resolve all roles. Incomplete interactions are an error or are left out (``filter``).
+
+    The two results are dictionaries of the size of the interaction table. They are stored once,
+    because every later step joins them, and offered for broadcast while they are short.
+    """
+    resolved = materialize(component_members(lr, genes, complexes, cofactors))
+    audit = audit_members(lr, resolved)
     if missing == "error":
-        bad = audit.where("NOT valid")
-        first = bad.select("interaction_name", "reason").first()
+        first = audit.where("NOT valid").select("interaction_name", "reason").first()
         if first is not None:
             raise ValueError(f"incomplete interaction {first[0]}: {first[1]}")
-    valid = lr.join(audit.where("valid").select("lr_index"), "lr_index", "left_semi")
-    members = component_members(valid, genes, complexes, cofactors).where("measured")
-    required = members.groupBy("lr_index", "role").agg(F.count(F.lit(1)).alias("required"))
-    members = members.join(required, ["lr_index", "role"]).select(
-        "lr_index", "role", F.col("member").alias("gene"), "required", "direct")
-    shape = members.groupBy("lr_index").agg(
-        ((F.count(F.when(F.col("role") == "ligand", 1)) == 1)
-         & (F.count(F.when(F.col("role") == "receptor", 1)) == 1)
-         & (F.count(F.when(~F.col("role").isin("ligand", "receptor"), 1)) == 0)).alias("_single"))
+    mine = F.col("role")
+    counts = resolved.where("measured").groupBy("lr_index").agg(
+        ((F.count(F.when(mine == "ligand", 1)) == 1) & (F.count(F.when(mine == "receptor", 1)) == 1)
+         & (F.count(F.when(~mine.isin("ligand", "receptor"), 1)) == 0)).alias("_single"))
     has = lambda c: (F.coalesce(F.length(c), F.lit(0)) > 0) if c in lr.columns else F.lit(False)
-    full = valid.join(shape, "lr_index").withColumns({
-        "has_agonist": has("agonist"), "has_antagonist": has("antagonist"),
-    }).withColumn("simple", F.col("_single") & ~F.col("has_agonist") & ~F.col("has_antagonist")).drop("_single")
-    return Interactions(full, members)
+    full = (
+        lr.join(audit.where("valid").select("lr_index"), "lr_index", "left_semi").join(counts, "lr_index")
+        .withColumns({"has_agonist": has("agonist"), "has_antagonist": has("antagonist")})
+        .withColumn("simple", F.col("_single") & ~F.col("has_agonist") & ~F.col("has_antagonist"))
+        .drop("_single")
+    )
+    full = short_table(materialize(full))
+    whole = W.partitionBy("lr_index", "role")
+    members = resolved.where("measured").join(full.select("lr_index"), "lr_index", "left_semi").select(
+        "lr_index", "role", F.col("member").alias("gene"), F.count(F.lit(1)).over(whole).alias("required"), "direct")
+    return Interactions(full, short_table(materialize(members)))
 
 
 def mark_contact(lr: DataFrame, contact_dependent: bool = True, forced: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Upper bound of rows that one hash map or one window partition may hold.
 ROWS_PER_TASK = 1_000_000
@@ -27,6 +28,11 @@ def exceeds(df: DataFrame, column: str, limit: int) -> bool:
     return not df.where(df[column] > limit).isEmpty()
 
 
+def short_table(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Offer a stored table for broadcast only when its counted rows stay below ``limit``."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def guard_rows(df: DataFrame, limit: int | None, what: str) -> DataFrame:
     """Optional guard of the reference API: stop when a result is larger than allowed."""
     if limit is not None and df.limit(limit + 1).count() > limit:

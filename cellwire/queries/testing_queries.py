@@ -1 +1,129 @@
-"""placeholder"""
+"""Permutation tests on the derived cells."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellwire.operators import expression as ex
+from cellwire.operators import graph
+from cellwire.operators import permutation as pm
+from cellwire.queries import domain as d
+from cellwire.queries import scoring_queries as sq
+from cellwire.queries.registry import q6, query, r6, with_
+
+B, SEED, BLOCK = 20, 1, 12.0
+
+# ---- global label permutation -----------------------------------------------------------------
+
+
+def drawn_sql(strata: str, source: str = "cells") -> str:
+    """Permuted labels: random position b within the stratum takes the label at that position."""
+    return f"""slots AS (SELECT {strata} AS st, "group" AS g, row_number() OVER (PARTITION BY {strata} ORDER BY "group", cell_id) AS k FROM {source}),
+drawn AS (SELECT st, b, cell_id, row_number() OVER (PARTITION BY st, b ORDER BY md5('{SEED}|' || CAST(b AS VARCHAR) || '|' || cell_id), cell_id) AS k
+  FROM (SELECT {strata} AS st, cell_id, b FROM {source}, range(1, {B + 1}) AS t(b))),
+labels AS (SELECT d.b, d.cell_id, s.g FROM drawn d JOIN slots s ON s.st = d.st AND s.k = d.k
+  UNION ALL SELECT 0, cell_id, "group" FROM {source})"""
+
+
+NULLS = """nsums AS (SELECT t.sample_id, t.lr_index, a.b, a.g AS sender_group, c.g AS receiver_group, avg(p) AS probability, count(*) AS active_edges
+  FROM terms t JOIN labels a ON a.cell_id = t.s JOIN labels c ON c.cell_id = t.r AND c.b = a.b GROUP BY 1, 2, 3, 4, 5),
+nlinked AS (SELECT *, sum(active_edges) OVER (PARTITION BY sample_id, lr_index, b, sender_group) AS o,
+  sum(active_edges) OVER (PARTITION BY sample_id, lr_index, b, receiver_group) AS i FROM nsums),
+nsize AS (SELECT sample_id, "group" AS g, count(*) AS n FROM cells GROUP BY 1, 2),
+nshares AS (SELECT v.sample_id, v.lr_index, a.b, a.g, count(*) FILTER (v.l > 0) / any_value(n) AS fl, count(*) FILTER (v.r > 0) / any_value(n) AS fr
+  FROM lev v JOIN labels a ON a.cell_id = v.cell_id JOIN nsize z ON z.sample_id = v.sample_id AND z.g = a.g GROUP BY 1, 2, 3, 4),
+nrec AS (SELECT k.* FROM nlinked k JOIN nshares a ON a.sample_id = k.sample_id AND a.lr_index = k.lr_index AND a.b = k.b AND a.g = k.sender_group
+  JOIN nshares c ON c.sample_id = k.sample_id AND c.lr_index = k.lr_index AND c.b = k.b AND c.g = k.receiver_group
+  WHERE o >= 5 AND i >= 5 AND a.fl >= 0.1 AND c.fr >= 0.1)"""
+
+
+@query("n1_label_permutation", with_(*sq.edge_mean_sql(), drawn_sql("sample_id"), NULLS) + f"""SELECT o.sample_id, o.lr_index, l.interaction_name, l.ligand, l.receptor,
+  o.sender_group, o.receiver_group, {q6('o.probability')} AS probability, o.active_edges,
+  {q6(f'(SELECT count(*) FROM nrec n WHERE n.b > 0 AND n.sample_id = o.sample_id AND n.lr_index = o.lr_index AND n.sender_group = o.sender_group AND n.receiver_group = o.receiver_group AND round(n.probability, 12) > round(o.probability, 12)) / {B}')} AS pvalue
+  FROM nrec o JOIN lr l ON l.lr_index = o.lr_index WHERE o.b = 0""")
+def n1(spark, folder):
+    return r6(sq.records(spark, folder, n_perm=B, seed=SEED), "probability", "pvalue")
+
+
+# ---- permutation inside spatial blocks --------------------------------------------------------
+BLOCKS = f"""origin AS (SELECT floor(min(x) / {BLOCK}) * {BLOCK} AS ox, floor(min(y) / {BLOCK}) * {BLOCK} AS oy FROM cells),
+blocks AS (SELECT cells.*, sample_id || '|' || compartment || '|' || CAST(CAST(floor((x - ox) / {BLOCK}) AS BIGINT) AS VARCHAR) || '|' ||
+  CAST(CAST(floor((y - oy) / {BLOCK}) AS BIGINT) AS VARCHAR) AS block_id FROM cells, origin)"""
+BLOCK_LABELS = drawn_sql("block_id", "blocks")
+NULL_SCORES = f"""sizes AS (SELECT "group" AS g, count(*) AS n FROM cells GROUP BY 1),
+held AS (SELECT a.b, a.g, s.gene, list_sort(list(s.value)) AS v, any_value(z.n) AS n FROM scaled s JOIN labels a ON a.cell_id = s.cell_id
+  JOIN sizes z ON z.g = a.g WHERE s.gene IN (SELECT gene FROM mem) GROUP BY 1, 2, 3),
+padded AS (SELECT b, g, gene, list_concat(list_transform(range(0, n - len(v)), lambda x: 0.0::DOUBLE), v) AS v FROM held),
+ntri AS (SELECT b, g, gene, (list_aggregate(v, 'quantile_cont', 0.25) + 2 * list_aggregate(v, 'quantile_cont', 0.5) + list_aggregate(v, 'quantile_cont', 0.75)) / 4 AS value FROM padded),
+npos AS (SELECT b, g AS grp, gene, value FROM ntri WHERE value > 0),
+nlev AS ({sq.levels_sql('npos', 'b, grp')}),
+nscore AS (SELECT a.b, s.sender_group, s.receiver_group, a.lr_index, a.l * c.r / (0.5 + a.l * c.r) * a.m * c.m AS probability FROM support s
+  JOIN nlev a ON a.grp = s.sender_group JOIN nlev c ON c.grp = s.receiver_group AND c.b = a.b AND c.lr_index = a.lr_index WHERE a.l > 0 AND c.r > 0)"""
+NULL_PATH = (*sq.BASE, d.LR, d.MEMBERS, BLOCKS, sq.EDGES, sq.SUPPORT, BLOCK_LABELS, NULL_SCORES)
+
+
+def blocks(spark, folder):
+    return graph.spatial_blocks(d.cells(spark, folder), BLOCK)
+
+
+@query("n3_block_permutation", with_(d.CELLS, BLOCKS, """t AS (SELECT block_id, cell_id, row_number() OVER (PARTITION BY block_id ORDER BY md5('1|target|' || cell_id), cell_id) AS k FROM blocks),
+  s AS (SELECT block_id, cell_id AS source_id, row_number() OVER (PARTITION BY block_id ORDER BY md5('1|source|' || cell_id), cell_id) AS k FROM blocks)""")
+       + "SELECT t.block_id, t.cell_id, s.source_id FROM t JOIN s ON t.block_id = s.block_id AND t.k = s.k")
+def n3(spark, folder):
+    return pm.permute_within_blocks(blocks(spark, folder), SEED)
+
+
+@query("n6_exchangeability", with_(d.CELLS, BLOCKS, BLOCK_LABELS, """per AS (SELECT block_id, count(*) AS n, count(DISTINCT "group") AS g FROM blocks GROUP BY 1)""") + f"""
+  SELECT count(*) AS block_count, count(*) FILTER (g > 1) AS mixed_blocks, {q6('sum(n) FILTER (g > 1) / sum(n)')} AS exchangeable_fraction,
+  {q6('(SELECT avg(CASE WHEN l.g <> c."group" THEN 1.0 ELSE 0.0 END) FROM labels l JOIN cells c ON c.cell_id = l.cell_id WHERE l.b > 0)')} AS moved_fraction FROM per""")
+def n6(spark, folder):
+    b = blocks(spark, folder)
+    return r6(pm.exchangeability(b, pm.permuted_labels(b, ["block_id"], B, SEED)), "exchangeable_fraction", "moved_fraction")
+
+
+@query("a7_permuted_trimean", with_(*NULL_PATH) + f'SELECT CAST(b AS INTEGER) AS b, grp AS "group", gene, {q6("value")} AS trimean FROM npos')
+def a7(spark, folder):
+    b = pm.permuted_labels(blocks(spark, folder), ["block_id"], B, SEED)
+    members = d.interactions(spark, folder).members
+    return r6(pm.null_trimeans(d.expression(spark, folder), b, members).withColumnRenamed("value", "trimean"), "trimean")
+
+
+def block_test(spark, folder, **options):
+    return pm.block_permutation_test(
+        d.expression(spark, folder), blocks(spark, folder), sq.support(spark, folder),
+        d.interactions(spark, folder), n_perm=B, seed=SEED, **options)
+
+
+def _test_sql(compare, p, base="(SELECT * FROM nscore WHERE b = 0)", extra=""):
+    return f"""SELECT o.lr_index, o.sender_group, o.receiver_group, {q6('o.probability')} AS probability,
+  count(n.b) FILTER (round(n.probability, 12) {compare} round(o.probability, 12)) AS n_reject, {q6(p)} AS pvalue{extra}
+  FROM {base} o LEFT JOIN nscore n ON n.b > 0 AND n.lr_index = o.lr_index AND n.sender_group = o.sender_group AND n.receiver_group = o.receiver_group
+  GROUP BY 1, 2, 3, o.probability"""
+
+
+_STRICT = "count(n.b) FILTER (round(n.probability, 12) > round(o.probability, 12))"
+_EQUAL = "count(n.b) FILTER (round(n.probability, 12) >= round(o.probability, 12))"
+
+
+@query("n4_block_permutation_test", with_(*NULL_PATH) + _test_sql(">", f"{_STRICT} / {B}"))
+def n4(spark, folder):
+    return r6(block_test(spark, folder), "probability", "pvalue")
+
+
+@query("n4_plus_one_tail", with_(*NULL_PATH) + _test_sql(">=", f"({_EQUAL} + 1) / {B + 1}"))
+def n4_plus(spark, folder):
+    return r6(block_test(spark, folder, tail="greater_equal", finite_correction=True), "probability", "pvalue")
+
+
+@query("n5_null_moments", with_(*NULL_PATH) + _test_sql(">", f"{_STRICT} / {B}", extra=f""",
+  {q6(f'coalesce(sum(n.probability), 0) / {B}')} AS null_mean,
+  {q6(f'greatest(0, coalesce(sum(n.probability * n.probability), 0) / {B} - (coalesce(sum(n.probability), 0) / {B}) * (coalesce(sum(n.probability), 0) / {B}))')} AS null_variance"""))
+def n5(spark, folder):
+    return r6(block_test(spark, folder, moments=True), "probability", "pvalue", "null_mean", "null_variance")
+
+
+@query("n7_record_permutation", with_(*NULL_PATH, sq.WANTED) + _test_sql(
+    ">", f"CASE WHEN o.probability = 0 THEN 1.0 ELSE {_STRICT} / {B} END",
+    base="""(SELECT w.*, coalesce(s.probability, 0) AS probability FROM wanted w LEFT JOIN nscore s ON s.b = 0 AND s.lr_index = w.lr_index
+    AND s.sender_group = w.sender_group AND s.receiver_group = w.receiver_group)"""))
+def n7(spark, folder):
+    return r6(block_test(spark, folder, records=sq.wanted_records(spark, folder)), "probability", "pvalue")
