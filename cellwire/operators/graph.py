@@ -141,13 +141,18 @@ def graph_metrics(cells: DataFrame, radius: float) -> DataFrame:
 
 
 def minimum_distance(
-    cells: DataFrame, radius: float, limit: int = near.SENDERS_PER_TILE
+    cells: DataFrame, radius: float, limit: int | None = near.SENDERS_PER_TILE
 ) -> DataFrame:
-    """Smallest non-zero distance within ``radius`` per sample; samples without an edge are absent."""
+    """Smallest non-zero distance within ``radius`` per sample; samples without an edge are absent.
+
+    ``limit`` None tells that no tile is known to be crowded.
+    """
     dims = near.axes(cells)
     spots = cells.groupBy("sample_id", *dims).agg(F.count(F.lit(1)).alias("n")).drop("n")
     s, r = near.prefixed(spots, "s", ["sample_id"]), near.prefixed(spots, "r", ["sample_id"])
-    crowded = near.crowded_tiles(s, ["sample_id"], F.lit(float(radius)), dims, limit)
+    crowded = None
+    if limit is not None:
+        crowded = near.crowded_tiles(s, ["sample_id"], F.lit(float(radius)), dims, limit)
     pairs = near.near_join(s, r, ["sample_id"], radius, dims, crowded, strict=True)
     return pairs.groupBy("sample_id").agg(F.sqrt(F.min("d2")).alias("min_distance"))
 

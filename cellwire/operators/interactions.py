@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwire.operators.ranking import running
-from cellwire.operators.session import materialize, short_table
+from cellwire.operators.session import materialize
 
 # Order of the interaction classes; other classes come last.
 ANNOTATION_ORDER = [
@@ -60,20 +60,18 @@ def component_members(
     named = lr.select("lr_index", F.explode(F.array(*[
         F.struct(F.lit(r).alias("role"), F.col(r).cast("string").alias("component")) for r in roles
     ])).alias("_p")).select("lr_index", "_p.*").where(_named("component"))
-    named = named.withColumn("_kind", F.when(F.col("role").isin("ligand", "receptor"), "complex").otherwise("cofactor"))
     known = genes.select("gene").distinct()
-    definitions = complexes.select(F.lit("complex").alias("_kind"), F.col("name").alias("component"), "member").unionByName(
-        cofactors.select(F.lit("cofactor").alias("_kind"), F.col("name").alias("component"), "member"))
-    marked = named.join(
+    kind = F.when(F.col("role").isin("ligand", "receptor"), "complex").otherwise("cofactor")
+    marked = named.withColumn("_kind", kind).join(
         known.select(F.col("gene").alias("component"), F.lit(True).alias("_gene")), "component", "left"
-    ).withColumn("direct", F.col("_gene").isNotNull() & (F.col("_kind") == "complex")).drop("_gene")
-    plain = marked.where("direct").withColumn("member", F.col("component"))
-    listed = marked.where("NOT direct")
-    expanded = listed.join(definitions, ["_kind", "component"])
-    literal = listed.join(
-        definitions.select("_kind", "component").distinct(), ["_kind", "component"], "left_anti"
-    ).withColumn("member", F.col("component"))
-    members = plain.unionByName(expanded).unionByName(literal).where(_named("member"))
+    ).withColumn("direct", F.col("_gene").isNotNull() & (F.col("_kind") == "complex"))
+    # Definitions only match names that are not taken directly.
+    definitions = complexes.select(F.lit("complex").alias("_kind"), F.col("name").alias("component"), "member").unionByName(
+        cofactors.select(F.lit("cofactor").alias("_kind"), F.col("name").alias("component"), "member")
+    ).withColumns({"direct": F.lit(False), "_defined": F.lit(True)})
+    members = marked.join(definitions, ["_kind", "component", "direct"], "left").withColumn(
+        "member", F.when(F.col("_defined"), F.col("member")).otherwise(F.col("component"))
+    ).where(_named("member"))
     measured = known.select(F.col("gene").alias("member"), F.lit(True).alias("_measured"))
     return members.join(measured, "member", "left").select(
         "lr_index", "role", "component", "member", "direct",
@@ -136,7 +134,7 @@ def prepare_interactions(
     """Resolve all roles. Incomplete interactions are an error or are left out (``filter``).
 
     The two results are dictionaries of the size of the interaction table. They are stored once,
-    because every later step joins them, and offered for broadcast while they are short.
+    because every later step joins them; the planner then knows their size.
     """
     resolved = materialize(component_members(lr, genes, complexes, cofactors))
     audit = audit_members(lr, resolved)
@@ -155,11 +153,11 @@ def prepare_interactions(
         .withColumn("simple", F.col("_single") & ~F.col("has_agonist") & ~F.col("has_antagonist"))
         .drop("_single")
     )
-    full = short_table(materialize(full))
+    full = materialize(full)
     whole = W.partitionBy("lr_index", "role")
     members = resolved.where("measured").join(full.select("lr_index"), "lr_index", "left_semi").select(
         "lr_index", "role", F.col("member").alias("gene"), F.count(F.lit(1)).over(whole).alias("required"), "direct")
-    return Interactions(full, short_table(materialize(members)))
+    return Interactions(full, materialize(members))
 
 
 def mark_contact(lr: DataFrame, contact_dependent: bool = True, forced: bool = False) -> DataFrame:

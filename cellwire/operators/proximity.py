@@ -109,17 +109,16 @@ def strict_near_join(
     reach: Column | float,
     dims: Sequence[str],
     points_on: Sequence[str],
-    points_reach: Column | float,
+    crowded: DataFrame | None,
     limit: int = SENDERS_PER_TILE,
 ) -> DataFrame:
     """``near_join`` with 0 < distance, safe when very many rows share one location.
 
-    ``points`` lists the cells (``s_`` coordinates and ``points_on``). Rows at one location are no
-    pairs of each other, so a crowded location is joined as one point with its neighbours
-    instead of being compared with itself.
+    ``points`` lists the cells (``s_`` coordinates, ``points_on`` and a reach column) and
+    ``crowded`` their crowded tiles. Rows at one location are no pairs of each other, so a crowded
+    location is joined as one point with its neighbours instead of being compared with itself.
     """
-    span = points_reach if isinstance(points_reach, Column) else F.lit(float(points_reach))
-    crowded = crowded_tiles(points, points_on, span, dims, limit)
+    span = reach if isinstance(reach, Column) else F.lit(float(reach))
     plain = dict(on=on, reach=reach, dims=dims, crowded=crowded, crowded_on=points_on, strict=True)
     if crowded is None:
         return near_join(senders, receivers, **plain)
@@ -137,9 +136,7 @@ def strict_near_join(
     r_cold, r_hot = (
         receivers.join(r_spots, r_place, "left_anti"), receivers.join(r_spots, r_place, "left_semi")
     )
-    widest = F.lit(float(reach)) if not isinstance(reach, Column) else None
-    if widest is None:
-        widest = points.agg(F.max(span)).scalar()
+    widest = points.agg(F.max(span)).scalar() if isinstance(reach, Column) else span
     neighbours = near_join(
         spots, r_spots, place_on, widest, dims, strict=True
     ).drop("d2")
@@ -148,7 +145,7 @@ def strict_near_join(
         .join(r_hot.drop(*[c for c in r_hot.columns if c in s_hot.columns and c not in on]),
               [*on, *[f"r_{d}" for d in dims]])
         .withColumn("d2", squared_distance(dims))
-        .where(F.sqrt("d2") <= (reach if isinstance(reach, Column) else F.lit(float(reach))))
+        .where(F.sqrt("d2") <= span)
     )
     columns = near_join(s_cold, receivers, **plain)
     return (

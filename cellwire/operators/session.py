@@ -2,25 +2,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Upper bound of rows that one hash map or one window partition may hold.
 ROWS_PER_TASK = 1_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session without that setting (a local test) gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder of the cluster.
+    """Cut the lineage: write the table to the shared folder once and read it back.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a session without that setting
-    (a local test) gets a temporary folder.
+    The rows survive the loss of executors, and the planner knows the size of the stored table, so
+    it broadcasts it by itself only while it is small.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/cellwire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exceeds(df: DataFrame, column: str, limit: int) -> bool:
@@ -28,11 +39,6 @@ def exceeds(df: DataFrame, column: str, limit: int) -> bool:
     return not df.where(df[column] > limit).isEmpty()
 
 
-def short_table(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Offer a stored table for broadcast only when its counted rows stay below ``limit``."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def guard_rows(df: DataFrame, limit: int | None, what: str) -> DataFrame:
     """Optional guard of the reference API: stop when a result is larger than allowed."""
     if limit is not None and df.limit(limit + 1).count() > limit:

@@ -19,6 +19,7 @@ from cellwire.operators.expression import molecule_levels, scale_by_maximum
 from cellwire.operators.graph import minimum_distance
 from cellwire.operators.interactions import Interactions, mark_contact, order_interactions, prepare_interactions
 from cellwire.operators.permutation import permuted_labels
+from cellwire.operators.session import materialize
 
 CELL = ["sample_id", "cell_id"]
 PAIR = ["sample_id", "lr_index", "sender_group", "receiver_group"]
@@ -83,13 +84,16 @@ def legacy_percent_strings(fractions: DataFrame, keys: list[str], column: str, n
 
 
 def _levels(expr: DataFrame, cells: DataFrame, inter: Interactions, s: Settings, extra: list[str]) -> DataFrame:
-    """Molecule levels with place and group, one row per (cell, interaction)."""
+    """Molecule levels with place and group, one row per (cell, interaction).
+
+    Stored once: senders, receivers, self edges and the percent filter each read a few columns.
+    """
     scaled = scale_by_maximum(expr, ["sample_id"])
     levels = molecule_levels(scaled, inter.members, CELL, s.kh, s.n, s.use_modulators)
     lr = mark_contact(inter.lr, s.contact_dependent, s.contact_forced).select("lr_index", "contact")
     reach = F.when(F.col("contact"), F.lit(s.contact_radius)).otherwise(F.lit(s.radius))
     place = cells.select(*CELL, *near.axes(cells), "group", *extra)
-    return levels.join(lr, "lr_index").join(place, CELL).withColumn("span", reach)
+    return materialize(levels.join(lr, "lr_index").join(place, CELL).withColumn("span", reach))
 
 
 def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, extra: list[str]) -> DataFrame:
@@ -104,9 +108,10 @@ def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, extra: list[st
     points = near.prefixed(
         cells.select("sample_id", "cell_id", *dims, F.explode(spans).alias("_k")).select(
             "sample_id", "cell_id", *dims, "_k.*"), "s", ["sample_id", "contact", "span"])
+    crowded = near.crowded_tiles(points, ["sample_id", "contact"], F.col("span"), dims, s.tile_limit)
     pairs = near.strict_near_join(
         senders, receivers, points, ["sample_id", "lr_index"], F.col("span"), dims,
-        ["sample_id", "contact"], F.col("span"), s.tile_limit)
+        ["sample_id", "contact"], crowded, s.tile_limit)
 
     def probability(weight: Column, left: str, right: str) -> Column:
         product = F.col(f"{left}ligand_level") * F.col(f"{right}receptor_level")
@@ -117,7 +122,7 @@ def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, extra: list[st
     edges = pairs.select(
         "sample_id", "lr_index", *[f"{side}_{c}" for c in labels for side in "sr"],
         probability(weight, "s_", "r_").alias("p"))
-    nearest = minimum_distance(cells, s.radius, s.tile_limit)
+    nearest = minimum_distance(cells, s.radius, None if crowded is None else s.tile_limit)
     own = levels.where("ligand_level > 0 AND receptor_level > 0").join(nearest, "sample_id")
     self_weight = 1.0 / (F.col("min_distance") * F.lit(s.ratio) * F.lit(s.scale_distance))
     selves = own.select(

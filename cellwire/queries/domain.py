@@ -127,9 +127,16 @@ def dictionaries(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return lr(spark), values(spark, COMPLEXES, "complexes"), values(spark, COFACTORS, "cofactors")
 
 
+_PREPARED: dict = {}
+
+
 def interactions(spark: SparkSession, folder: str) -> Interactions:
-    table_, complexes, cofactors = dictionaries(spark)
-    return prepare_interactions(table_, genes(spark, folder), complexes, cofactors, "filter")
+    """Resolved interactions, prepared once per application and folder and then shared."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PREPARED:
+        table_, complexes, cofactors = dictionaries(spark)
+        _PREPARED[key] = prepare_interactions(table_, genes(spark, folder), complexes, cofactors, "filter")
+    return _PREPARED[key]
 
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
