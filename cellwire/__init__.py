@@ -1 +1,7 @@
 """Spatial communication analytics expressed as Spark DataFrame operators."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

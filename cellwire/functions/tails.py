@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ def t_quantile(prob: float, df: np.ndarray) -> np.ndarray:
     return np.sqrt(np.asarray(df, float) * (1 - x) / x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore").astype(float)
 
@@ -79,18 +80,18 @@ def _where_known(function, *series: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return _where_known(t_two_sided, statistic, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
     """97.5 % quantile of the t distribution."""
     return _where_known(lambda d: t_quantile(0.975, d), df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_binomial_lower(successes: pd.Series, trials: pd.Series, confidence: pd.Series) -> pd.Series:
     def lower(k, n, level):
         alpha = (1 - level) / 2
@@ -99,7 +100,7 @@ def exact_binomial_lower(successes: pd.Series, trials: pd.Series, confidence: pd
     return _where_known(lower, successes, trials, confidence)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_binomial_upper(successes: pd.Series, trials: pd.Series, confidence: pd.Series) -> pd.Series:
     def upper(k, n, level):
         alpha = (1 - level) / 2

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellwire.operators.session import ROWS_PER_TASK, exceeds
+from cellwire.operators.session import ROWS_PER_TASK, exceeds, materialize
 
 CUTS = 255
 
@@ -95,8 +95,8 @@ def spearman(
     df: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "spearman",
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Rank correlation per key."""
-    ranked = average_rank(df.select(*keys, left, right), keys, left, "_rl", limit)
+    """Rank correlation per key. The pairs are stored first, since every rank reads them again."""
+    ranked = average_rank(materialize(df.select(*keys, left, right)), keys, left, "_rl", limit)
     ranked = average_rank(ranked, keys, right, "_rr", limit)
     return ranked.groupBy(*keys).agg(F.corr("_rl", "_rr").alias(name))
 

@@ -20,6 +20,13 @@ LIB = "lib AS (SELECT barcode, CAST(sum(n) AS BIGINT) AS umi, count(DISTINCT gen
 CC = (d.COUNTS, LIB)
 
 
+def write_lines(head, body, path):
+    """One gzip text file with the head lines first."""
+    lines = head.withColumn("_k", F.lit(0)).unionByName(body.withColumn("_k", F.lit(1)))
+    lines.coalesce(1).sortWithinPartitions("_k", F.col("value").startswith("%").desc(), "value").select(
+        "value").write.text(path, compression="gzip")
+
+
 def new_path(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -426,11 +433,11 @@ def s1(spark, folder):
         "\t", F.col("s_suppkey").cast("string"), F.concat(F.lit("f"), (F.col("s_suppkey") % 60).cast("string")), F.lit("Gene Expression"))
     ).coalesce(1).write.text(f"{path}/features.tsv")
     part.orderBy("p_partkey").select(F.col("p_partkey").cast("string")).coalesce(1).write.text(f"{path}/barcodes.tsv")
-    size = spark.sql("SELECT explode(array('%%MatrixMarket matrix coordinate integer general', '%')) AS value").unionByName(
+    size = spark.sql("SELECT explode(array('%%MatrixMarket matrix coordinate integer general', '% counts')) AS value").unionByName(
         sup.agg(F.count("*").alias("a")).join(part.agg(F.count("*").alias("b")), F.lit(True)).select(
             F.format_string("%d %d 0", "a", "b").alias("value")))
     body = counts.select(F.format_string("%d %d %d", F.col("feature_id") + 1, F.col("barcode") + 1, "n").alias("value"))
-    size.unionByName(body).coalesce(1).write.text(f"{path}/matrix.mtx", compression="gzip")
+    write_lines(size, body, f"{path}/matrix.mtx")
     return sources.read_mex(spark, path)
 
 
@@ -466,8 +473,8 @@ def s5(spark, folder):
     spots = [r[0] for r in d.table(spark, folder, "supplier").select(spot_name()).distinct().orderBy("spot_id").collect()]
     table = long.groupBy("gene").pivot("spot_id", spots).sum("n").fillna(0)
     head = spark.sql("SELECT :line AS value", args={"line": "\t".join(["", *spots])})
-    head.unionByName(table.select(F.concat_ws("\t", "gene", *[F.col(f"`{s}`").cast("string") for s in spots]).alias("value"))
-                     ).coalesce(1).write.text(path, compression="gzip")
+    row = F.concat_ws("\t", "gene", *[F.col(f"`{s}`").cast("string") for s in spots]).alias("value")
+    write_lines(head, table.select(row), path)
     return sources.read_wide_counts(spark, path)
 
 

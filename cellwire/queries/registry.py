@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+SHIFT = 1.37e-10
 
 
 def query(name: str, sql: str | None = None):
@@ -21,12 +22,15 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    """Round to six digits; sums of doubles depend on their order beyond that."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+    """Round to six digits; sums of doubles depend on their order beyond that.
+
+    The tiny shift keeps decimal ties such as 0.0000005 away from the rounding edge.
+    """
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(SHIFT), 6) + F.lit(0.0) for c in columns})
 
 
 def q6(expression: str) -> str:
-    return f"(round(CAST({expression} AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST({expression} AS DOUBLE) + {SHIFT}, 6) + 0.0)"
 
 
 def with_(*parts: str) -> str:
