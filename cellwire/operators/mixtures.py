@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwire.operators.expression import log_cp10k
+from cellwire.operators.session import materialize
 
 TIE = 1e-10
 # Spot classes of two-type fits.
@@ -110,19 +111,20 @@ def bins_as_cells(
     """(expr, cells) of the retained bins, for the communication analysis with ratio 1.
 
     The library size is taken over all genes of the bin. ``bins`` has x and y and may have
-    sample_id.
+    sample_id. Both results are stored once, since the analysis reads them several times.
     """
     kept = dominant_bins(annotations, weights, min_weight).where("included").select("barcode", "dominant_type")
     sample = F.col("sample_id") if "sample_id" in bins.columns else F.lit("sample_1")
     cells = bins.join(kept, "barcode").select(
         sample.alias("sample_id"), F.col("barcode").cast("string").alias("cell_id"), "x", "y",
         F.col("dominant_type").alias("group"), F.lit("all").alias("compartment"))
+    cells = materialize(cells)
     retained = counts.join(kept.select("barcode"), "barcode", "left_semi")
     values = log_cp10k(retained, ["barcode"]) if normalization == "log1p_cp10k" else retained.withColumn(
         "value", F.col("n").cast("double"))
     expr = values.where("value > 0").withColumn("cell_id", F.col("barcode").cast("string")).join(
         cells.select("sample_id", "cell_id"), "cell_id").select("sample_id", "cell_id", "gene", "value")
-    return expr, cells
+    return materialize(expr), cells
 
 
 def mixture_metrics(annotations: DataFrame, weights: DataFrame) -> DataFrame:

@@ -42,12 +42,14 @@ def permuted_labels(
     seed: int = 1,
     label: str = "group",
     limit: int = ROWS_PER_TASK,
+    first: int = 1,
 ) -> DataFrame:
     """``labels``: array of the true label and ``n_perm`` labels permuted within the strata.
 
     Replicate b gives each cell a random position by md5 order and the label that owns the
     position when labels are laid out in order with their counts. This is a uniform permutation of
-    the labels and needs no exchange of rows between cells.
+    the labels and needs no exchange of rows between cells. ``first`` numbers the first replicate,
+    so that later batches continue the sequence.
     """
     strata = list(strata)
     tally = cells.groupBy(*strata, label).agg(F.count(F.lit(1)).alias("_n"))
@@ -59,7 +61,7 @@ def permuted_labels(
     )
     split = exceeds(owners, "_size", limit)
     base = cells.select(*dict.fromkeys([*CELL, *strata]))
-    copies = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
+    copies = base.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + n_perm - 1))))
     drawn = copies.withColumn("_digest", hash_order(seed, F.col("b"), F.col("cell_id")))
     ranked = _hash_rank(drawn, [*strata, "b"], "_digest", "_rank", split)
     owner = F.size(F.filter("_owners", lambda o: o["_upper"] < F.col("_rank")))
@@ -195,11 +197,12 @@ def block_permutation_test(
     finite_correction: bool = False,
     moments: bool = False,
     limit: int = ROWS_PER_TASK,
+    first: int = 1,
 ) -> DataFrame:
     """Permutation test of group-level scores with profiles permuted inside spatial blocks."""
     mixed = blocks.groupBy("block_id").agg(F.countDistinct("group").alias("g"))
     if not exceeds(mixed, "g", 1):
         raise ValueError("no block spans several groups; increase the block size")
-    labelled = permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit)
+    labelled = permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit, first=first)
     scores = block_permutation_scores(expr, labelled, support, interactions, kh, n, records, limit)
     return summarize_nulls(scores, n_perm, records, tail, finite_correction, moments)

@@ -127,3 +127,87 @@ def n5(spark, folder):
     AND s.sender_group = w.sender_group AND s.receiver_group = w.receiver_group)"""))
 def n7(spark, folder):
     return r6(block_test(spark, folder, records=sq.wanted_records(spark, folder)), "probability", "pvalue")
+
+
+# ---- analytic and mixed tests -----------------------------------------------------------------
+# Dense expression (all values positive), one stratum or one per sample and compartment.
+DENSE_EXPR = """dexpr AS (SELECT cell_id, sample_id, "group" AS grp, 'g' || lpad(CAST(i AS VARCHAR), 2, '0') AS gene, 1.0 + CAST(e.embedding[i + 1] AS DOUBLE) AS v
+  FROM cells JOIN embeddings e USING (vec_id), range(2, 64) AS t(i)), dval AS (SELECT cell_id, sample_id, grp, gene, v / (SELECT max(v) FROM dexpr) AS v FROM dexpr)"""
+
+
+def dense_expression(spark, folder):
+    e = d.table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).where("i >= 2")
+    return e.select(
+        F.concat(F.lit("S"), (F.col("vec_id") % 4).cast("string")).alias("sample_id"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("cell_id"),
+        F.concat(F.lit("g"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("gene"), (F.col("v").cast("double") + 1.0).alias("value"))
+
+
+def strata(spark, folder):
+    return d.cells(spark, folder).withColumn("block_id", F.concat_ws("|", "sample_id", "compartment"))
+
+
+SIMPLE_LR = "slr AS (SELECT * FROM (VALUES (1, 'g02', 'g03'), (2, 'g04', 'g05'), (5, 'g12', 'g13'), (8, 'g23', 'g26'), (11, 'g30', 'g31'), (14, 'g35', 'g36')) AS t(lr_index, lg, rg))"
+ANALYTIC = """tri_obs AS (SELECT grp, gene, (quantile_cont(v, 0.25) + 2 * quantile_cont(v, 0.5) + quantile_cont(v, 0.75)) / 4 AS t, count(*) AS n FROM dval GROUP BY 1, 2),
+gq AS (SELECT gene, quantile_cont(v, 0.25) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.75) AS q2, quantile_cont(v, 0.30) - quantile_cont(v, 0.20) AS s0,
+  quantile_cont(v, 0.55) - quantile_cont(v, 0.45) AS s1, quantile_cont(v, 0.80) - quantile_cont(v, 0.70) AS s2, count(*) AS nn FROM dval GROUP BY 1),
+inf AS (SELECT cell_id, gene, 0.25 * (0.25 - CASE WHEN v <= q0 THEN 1 ELSE 0 END) * s0 / 0.1 + 0.5 * (0.5 - CASE WHEN v <= q1 THEN 1 ELSE 0 END) * s1 / 0.1
+  + 0.25 * (0.75 - CASE WHEN v <= q2 THEN 1 ELSE 0 END) * s2 / 0.1 AS f, 0.25 * q0 + 0.5 * q1 + 0.25 * q2 AS center, nn FROM dval JOIN gq USING (gene)),
+pair AS (SELECT lr_index, var_samp(a.f) AS va, var_samp(b.f) AS vb, covar_samp(a.f, b.f) AS cv, corr(a.f, b.f) AS cr, any_value(a.center) AS ca, any_value(b.center) AS cb, any_value(a.nn) AS nn
+  FROM slr JOIN inf a ON a.gene = lg JOIN inf b ON b.gene = rg AND b.cell_id = a.cell_id GROUP BY 1),
+az AS (SELECT s.lr_index, p.sender_group, p.receiver_group, (ln(l.t) + ln(r.t) - ln(ca) - ln(cb)) / sqrt((1.0 / l.n - 1.0 / nn) * va / (ca * ca) + (1.0 / r.n - 1.0 / nn) * vb / (cb * cb) - 2 * cv / nn / (ca * cb)) AS z, cr
+  FROM support p CROSS JOIN slr s JOIN pair USING (lr_index) JOIN tri_obs l ON l.grp = p.sender_group AND l.gene = lg JOIN tri_obs r ON r.grp = p.receiver_group AND r.gene = rg
+  WHERE p.sender_group <> p.receiver_group AND l.n >= 30 AND r.n >= 30 AND abs(cr) <= 0.8)"""
+
+
+@query("n9_analytic", with_(d.CELLS, DENSE_EXPR, sq.EDGES, sq.SUPPORT, SIMPLE_LR, ANALYTIC) + f"""SELECT lr_index, sender_group, receiver_group, {q6('z')} AS analytic_z,
+  {q6('cr')} AS influence_correlation FROM az""")
+def n9(spark, folder):
+    from cellwire.operators.analytic import analytic_test
+    one = d.cells(spark, folder).withColumn("block_id", F.lit("all"))
+    out = analytic_test(dense_expression(spark, folder), one, sq.support(spark, folder), d.interactions(spark, folder))
+    return r6(out.where("fallback_reason IS NULL").select(
+        "lr_index", "sender_group", "receiver_group", "analytic_z", "influence_correlation"), "analytic_z", "influence_correlation")
+
+
+ANALYTIC_COLUMNS = ["probability", "pvalue", "analytic_z", "analytic_log_sd", "influence_correlation"]
+
+
+@query("n9_analytic_reasons")
+def n9_reasons(spark, folder):
+    from cellwire.operators.analytic import analytic_test
+    out = analytic_test(d.expression(spark, folder), d.cells(spark, folder).withColumn("block_id", F.lit("all")),
+                        sq.support(spark, folder), d.interactions(spark, folder))
+    return r6(out, *ANALYTIC_COLUMNS)
+
+
+@query("n10_stratified_analytic")
+def n10(spark, folder):
+    from cellwire.operators.analytic import stratified_analytic_test
+    out = stratified_analytic_test(dense_expression(spark, folder), strata(spark, folder), sq.support(spark, folder), d.interactions(spark, folder))
+    return r6(out, *ANALYTIC_COLUMNS)
+
+
+@query("n11_weighted_quantile", f"""WITH m AS (SELECT l_suppkey, l_discount AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
+  c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS t, sum(w) OVER (PARTITION BY l_suppkey ORDER BY v) AS m FROM m),
+  x AS (SELECT l_suppkey, v, ((m - w) / t) / (1 - w / t) AS x FROM c),
+  n AS (SELECT *, lead(x) OVER (PARTITION BY l_suppkey ORDER BY v) AS nx, lead(v) OVER (PARTITION BY l_suppkey ORDER BY v) AS nv FROM x)
+  SELECT l_suppkey, {q6('max(v + (0.25 - x) / (nx - x) * (nv - v)) FILTER (x <= 0.25 AND nx > 0.25)')} AS q25, {q6('max(v + (0.5 - x) / (nx - x) * (nv - v)) FILTER (x <= 0.5 AND nx > 0.5)')} AS q50,
+  {q6('max(v + (0.75 - x) / (nx - x) * (nv - v)) FILTER (x <= 0.75 AND nx > 0.75)')} AS q75 FROM n GROUP BY 1""")
+def n11(spark, folder):
+    from cellwire.operators.analytic import weighted_quantiles
+    return r6(weighted_quantiles(d.table(spark, folder, "lineitem"), ["l_suppkey"], "l_discount", "l_quantity", [0.25, 0.5, 0.75], ["q25", "q50", "q75"]), "q25", "q50", "q75")
+
+
+@query("n12_hybrid")
+def n12(spark, folder):
+    from cellwire.operators.analytic import hybrid_test
+    out = hybrid_test(dense_expression(spark, folder), strata(spark, folder), sq.support(spark, folder), d.interactions(spark, folder), n_perm=B)
+    return r6(out, *ANALYTIC_COLUMNS, "analytic_pvalue")
+
+
+@query("n8_adaptive_permutation")
+def n8(spark, folder):
+    from cellwire.operators.analytic import adaptive_test
+    out = adaptive_test(d.expression(spark, folder), blocks(spark, folder), sq.support(spark, folder), d.interactions(spark, folder),
+                        min_permutations=20, batch_size=20, max_permutations=60)
+    return r6(out, "probability", "pvalue", "pvalue_lower", "pvalue_upper")
