@@ -21,7 +21,8 @@ from cellwire.operators.expression import zero_filled_quantiles
 from cellwire.operators.ranking import bh_adjust, complete_grid, quantiles, running, spearman
 from cellwire.operators.session import ROWS_PER_TASK
 
-Design = Sequence[tuple[str, Column]]
+# Named design terms, as Columns or SQL expressions over the unit columns; the intercept is added.
+Design = Sequence[tuple[str, Column | str]]
 
 
 # ---- tables -----------------------------------------------------------------------------------
@@ -114,7 +115,8 @@ def conserved_programs(
 
 # ---- linear models ----------------------------------------------------------------------------
 def _x(design: Design) -> Column:
-    return F.array(F.lit(1.0), *[c.cast("double") for _, c in design])
+    terms = [F.expr(c) if isinstance(c, str) else c for _, c in design]
+    return F.array(F.lit(1.0), *[c.cast("double") for c in terms])
 
 
 def _moments(rows: DataFrame, p: int, weight: Column | None = None) -> np.ndarray:

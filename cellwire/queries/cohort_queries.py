@@ -15,18 +15,11 @@ DENSE = (d.COHORT, d.DENSE)
 REPS = 40
 
 
-def condition_design():
-    return [("conditionDisease", (F.col("condition") == "Disease").cast("double"))]
-
-
-def run_design():
-    """Run of the section, for section-level models."""
-    return condition_design() + [(f"run{i}", (F.col("run") == f"run{i}").cast("double")) for i in (1, 2)]
-
-
-def fraction_design():
-    """Share of sections per run, for patient-level models."""
-    return condition_design() + [(f"f{i}", F.col(f"fraction_run{i}")) for i in (1, 2)]
+CONDITION = [("conditionDisease", "condition = 'Disease'")]
+# Run of the section, for section-level models.
+BY_RUN = CONDITION + [(f"run{i}", f"run = 'run{i}'") for i in (1, 2)]
+# Share of sections per run, for patient-level models.
+BY_FRACTION = CONDITION + [(f"f{i}", f"fraction_run{i}") for i in (1, 2)]
 
 
 # ---- tables -----------------------------------------------------------------------------------
@@ -151,12 +144,12 @@ def c1(spark, folder):
 
 
 def glm(spark, folder, **options):
-    return co.fit_glm(*d.cohort(spark, folder), condition_design(), "conditionDisease", **options)
+    return co.fit_glm(*d.cohort(spark, folder), CONDITION, "conditionDisease", **options)
 
 
 @query("c1_glm_tests")
 def c1_tests(spark, folder):
-    return r6(co.fit_glm(*d.cohort(spark, folder), run_design(), "conditionDisease"), "estimate", "std_error", "statistic", "p_value", "q_value")
+    return r6(co.fit_glm(*d.cohort(spark, folder), BY_RUN, "conditionDisease"), "estimate", "std_error", "statistic", "p_value", "q_value")
 
 
 @query("c1_presence", with_(*DENSE, """b AS (SELECT feature_id, avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END) FILTER (condition = 'Disease') AS a, count(*) FILTER (condition = 'Disease') AS na,
@@ -168,7 +161,7 @@ def c1_presence(spark, folder):
 
 
 def lmm(spark, folder, design=None, **options):
-    return co.fit_lmm(*d.cohort(spark, folder), design or condition_design(), "conditionDisease", **options)
+    return co.fit_lmm(*d.cohort(spark, folder), design or CONDITION, "conditionDisease", **options)
 
 
 MODEL = ["estimate", "std_error", "statistic", "p_value", "q_value"]
@@ -181,11 +174,11 @@ def c2(spark, folder):
 
 @query("c2_lmm_reml_run")
 def c2_reml(spark, folder):
-    return r6(lmm(spark, folder, run_design(), reml=True), *MODEL, "response_sd", "zero_fraction", "random_effect_variance", "residual_variance")
+    return r6(lmm(spark, folder, BY_RUN, reml=True), *MODEL, "response_sd", "zero_fraction", "random_effect_variance", "residual_variance")
 
 
 def hc3(spark, folder):
-    return co.fit_hc3(*d.cohort(spark, folder), fraction_design(), "conditionDisease", ["run1", "run2"])
+    return co.fit_hc3(*d.cohort(spark, folder), BY_FRACTION, "conditionDisease", ["run1", "run2"])
 
 
 HC3 = """g AS (SELECT feature_id, avg(y) FILTER (condition = 'Disease') AS md, avg(y) FILTER (condition = 'Control') AS mc, var_samp(y) FILTER (condition = 'Disease') AS vd,
@@ -195,7 +188,7 @@ HC3 = """g AS (SELECT feature_id, avg(y) FILTER (condition = 'Disease') AS md, a
 @query("c4_patient_hc3", with_(*DENSE, HC3) + f"""SELECT feature_id, {q6('md - mc')} AS estimate, {q6('sqrt(vd / (nd - 1) + vc / (nc - 1))')} AS std_error,
   CAST(nd + nc - 2 AS DOUBLE) AS residual_df, CAST(nd + nc AS INTEGER) AS total_patients, k AS nonzero_patients, 'ok' AS status FROM g""")
 def c4(spark, folder):
-    out = co.fit_hc3(*d.cohort(spark, folder), condition_design(), "conditionDisease")
+    out = co.fit_hc3(*d.cohort(spark, folder), CONDITION, "conditionDisease")
     return r6(out.drop("ci_lower", "ci_upper", "p_value", "q_value"), "estimate", "std_error")
 
 
@@ -217,7 +210,7 @@ lo AS (SELECT patient_id AS omitted_patient, p.feature_id, sd / nd - sc / nc AS
 
 
 def omissions(spark, folder):
-    return co.leave_one_out(*d.cohort(spark, folder), condition_design(), "conditionDisease")
+    return co.leave_one_out(*d.cohort(spark, folder), CONDITION, "conditionDisease")
 
 
 @query("c6_leave_one_out", with_(*DENSE, LOPO) + f"SELECT omitted_patient, feature_id, {q6('full_estimate')} AS full_estimate, {q6('estimate')} AS estimate FROM lo")
@@ -253,7 +246,7 @@ fullest AS (SELECT feature_id, avg(y) FILTER (condition = 'Disease') - avg(y) FI
   {q6('avg(CASE WHEN sign(round(e, 12)) = sign(round(f, 12)) THEN 1.0 ELSE 0.0 END)')} AS direction_agreement, {q6('quantile_cont(e, 0.025)')} AS descriptive_p025,
   {q6('quantile_cont(e, 0.5)')} AS median, {q6('quantile_cont(e, 0.975)')} AS descriptive_p975 FROM eff JOIN fullest USING (feature_id) GROUP BY 1""")
 def c7(spark, folder):
-    out = co.balanced_effects(*d.cohort(spark, folder), condition_design(), "conditionDisease", REPS)
+    out = co.balanced_effects(*d.cohort(spark, folder), CONDITION, "conditionDisease", REPS)
     return r6(out, "minimum", "maximum", "direction_agreement", "descriptive_p025", "median", "descriptive_p975")
 
 
