@@ -19,7 +19,7 @@ from cellwire.functions.expressions import feature_key, hash_order
 from cellwire.functions.tails import t_critical, t_two_sided_tail
 from cellwire.operators.expression import zero_filled_quantiles
 from cellwire.operators.ranking import bh_adjust, complete_grid, quantiles, running, spearman
-from cellwire.operators.session import ROWS_PER_TASK
+from cellwire.operators.session import ROWS_PER_TASK, materialize
 
 # Named design terms, as Columns or SQL expressions over the unit columns; the intercept is added.
 Design = Sequence[tuple[str, Column | str]]
@@ -459,6 +459,86 @@ def leave_one_out(
         (F.col("_b")[k] - F.col("_w") * residual / (1 - F.col("_h"))).alias("estimate"))
 
 
+def leave_one_out_tests(
+    scores: DataFrame, units: DataFrame, design: Design, coefficient: str, runs: Sequence[str] = ()
+) -> DataFrame:
+    """HC3 test without each patient, per (omitted patient, feature), BH within each omission.
+
+    Weights and leverages without a patient depend only on the design row of that patient, and the
+    responses enter as sums per design row, so the refits are joins of small tables.
+    """
+    patients, y = patient_table(units, runs), patient_responses(scores, units)
+    names = [n for n, _ in design]
+    k, p = names.index(coefficient) + 1, len(names) + 1
+    rows = patients.select("patient_id", _x(design).alias("x"))
+    n = rows.count()
+    inverse = _invert(_moments(rows, p))
+    if inverse is None or n - 1 - p < 1:
+        raise ValueError("the patient design is not identifiable")
+    row_id = F.md5(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
+    rows = materialize(rows.withColumn("row", row_id))
+    total = lambda f: reduce(lambda a, b: a + b, [f(i) for i in range(p)])
+    kinds = rows.groupBy("row").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n")).withColumn(
+        "u", F.array(*[_dot(inverse[i], "x", p) for i in range(p)])).withColumn(
+        "h", total(lambda i: F.col("x")[i] * F.col("u")[i]))
+    kinds = materialize(kinds)
+    # Every design row i seen without a patient of design row d.
+    out_kind = kinds.select(F.col("row").alias("out"), F.col("u").alias("du"), F.col("h").alias("dh"))
+    pairs = complete_grid(kinds, out_kind, "row", "out").join(kinds, "row").join(out_kind, "out")
+    dot = total(lambda i: F.col("du")[i] * F.col("x")[i])
+    pairs = pairs.withColumn("_d", dot).withColumn("w", F.col("u")[k] + F.col("du")[k] * F.col("_d") / (1 - F.col("dh"))).withColumn(
+        "_lev", F.col("h") + F.col("_d") * F.col("_d") / (1 - F.col("dh"))).withColumn("c", F.pow(F.col("w") / (1 - F.col("_lev")), F.lit(2.0)))
+    pairs = materialize(pairs.select("row", "out", "x", "n", "c"))
+    fixed = pairs.groupBy("out").agg(F.array(*[F.sum(F.col("c") * F.col("n") * F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(p)]).alias("cxx"))
+    own = pairs.where("row = out").select("out", F.col("c").alias("c_own"))
+    sums = y.join(rows.select("patient_id", "row"), "patient_id").groupBy("feature_id", "row").agg(
+        F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.count(F.lit(1)).alias("m"))
+    sums = materialize(sums)
+    moved = sums.join(pairs, "row").groupBy("feature_id", "out").agg(
+        F.sum(F.col("c") * F.col("syy")).alias("cyy"), F.array(*[F.sum(F.col("c") * F.col("x")[i] * F.col("sy")) for i in range(p)]).alias("cxy"))
+    fit = sums.join(kinds.select("row", "x"), "row").groupBy("feature_id").agg(
+        *_vector_sum(p, F.col("sy")), F.sum("sy").alias("_y"), F.sum("syy").alias("_yy"), F.sum("m").alias("_m"))
+    fit = fit.withColumn("_s", F.array(*[F.col(f"s{i}") for i in range(p)])).select(
+        "feature_id", F.array(*[_dot(inverse[i], "_s", p) for i in range(p)]).alias("b"), "_y", "_yy", "_m")
+    small = rows.join(kinds.select("row", "u", "h"), "row").join(fixed.withColumnRenamed("out", "row"), "row").join(own.withColumnRenamed("out", "row"), "row")
+    grid = complete_grid(rows, fit, "patient_id", "feature_id").join(small, "patient_id").join(fit, "feature_id").join(
+        y, ["patient_id", "feature_id"], "left").fillna(0.0, ["y"]).join(moved.withColumnRenamed("out", "row"), ["feature_id", "row"])
+    residual = F.col("y") - total(lambda i: F.col("x")[i] * F.col("b")[i])
+    grid = grid.withColumn("_e", residual / (1 - F.col("h"))).withColumn(
+        "bk", F.array(*[F.col("b")[i] - F.col("u")[i] * F.col("_e") for i in range(p)]))
+    square = total(lambda i: F.col("bk")[i] * total(lambda j: F.col("cxx")[i * p + j] * F.col("bk")[j]))
+    left_out = F.col("y") - total(lambda i: F.col("x")[i] * F.col("bk")[i])
+    variance = F.col("cyy") - 2 * total(lambda i: F.col("bk")[i] * F.col("cxy")[i]) + square - F.col("c_own") * left_out * left_out
+    nonzero = F.col("_m") - (F.col("y") > 0).cast("long")
+    spread = (F.col("_yy") - F.col("y") * F.col("y")) - F.pow(F.col("_y") - F.col("y"), F.lit(2.0)) / (n - 1)
+    held = grid.select(
+        F.col("patient_id").alias("omitted_patient"), "feature_id", F.col("b")[k].alias("full_estimate"), F.col("bk")[k].alias("estimate"),
+        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_error"), nonzero.alias("nonzero_patients"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("_sd"))
+    ok = (F.col("nonzero_patients") >= 2) & (F.col("_sd") > 1e-12) & (F.col("std_error") > 0)
+    held = held.withColumn("status", F.when(ok, "ok").otherwise("insufficient_support_or_variation")).withColumn(
+        "_t", F.when(ok, F.col("estimate") / F.col("std_error")))
+    held = held.withColumn("p_value", t_two_sided_tail("_t", F.lit(float(n - 1 - p)))).drop("_t", "_sd")
+    return bh_adjust(materialize(held), keys=["omitted_patient"])
+
+
+def omission_hits(tests: DataFrame, full: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Per feature: valid omissions, omissions with a BH hit and the largest q value."""
+    hit = F.coalesce(F.col("q_value") < alpha, F.lit(False))
+    return tests.groupBy("feature_id").agg(
+        F.count("q_value").alias("valid_omissions"), F.count(F.when(hit, 1)).alias("bh_hit_omissions"), F.max("q_value").alias("maximum_q")
+    ).join(full.select("feature_id", F.coalesce(F.col("q_value") < alpha, F.lit(False)).alias("full_hit")), "feature_id", "left")
+
+
+def omission_retention(tests: DataFrame, full: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Per omitted patient: valid features, hits and the share of the full hits that remain."""
+    held = tests.join(full.select("feature_id", F.coalesce(F.col("q_value") < alpha, F.lit(False)).alias("_full")), "feature_id")
+    hit = F.coalesce(F.col("q_value") < alpha, F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    return held.groupBy("omitted_patient").agg(
+        count(F.col("status") == "ok").alias("valid_features"), count(hit).alias("bh_hits"), count(hit & F.col("_full")).alias("full_hits_retained"),
+        (count(hit & F.col("_full")) / F.greatest(F.lit(1), count(F.col("_full")))).alias("full_hit_fraction_retained"))
+
+
 def omission_summary(omissions: DataFrame, by: str = "feature_id") -> DataFrame:
     """Range of the estimates and share of equal direction per feature (or per patient)."""
     sign = (F.signum(F.round("estimate", 12)) == F.signum(F.round("full_estimate", 12))).cast("double")

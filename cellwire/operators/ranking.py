@@ -213,7 +213,10 @@ def complete_grid(units: DataFrame, features: DataFrame, unit: str, feature: str
         F.substring(digest, 1, 3),
     )
     count = indexed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    spread = features.select(
-        feature, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("_unit")
-    )
+    # Two short sequences instead of one as long as the number of units.
+    high = F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / 1024))
+    low = F.sequence(F.lit(0), F.lit(1023))
+    spread = features.select(feature, F.explode(high).alias("_high")).select(
+        feature, "_high", F.explode(low).alias("_low"))
+    spread = spread.select(feature, (F.col("_high") * 1024 + F.col("_low")).alias("_unit")).where(F.col("_unit") < count)
     return spread.join(indexed, "_unit").select(unit, feature)

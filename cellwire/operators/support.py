@@ -82,8 +82,13 @@ def threshold_transitions(classes: DataFrame, main: int) -> DataFrame:
 
 # ---- one section per patient ------------------------------------------------------------------
 def _numbered_sections(units: DataFrame) -> DataFrame:
-    """Sections with their 0-based number inside the patient and the patient's section count."""
-    held = running(units.select("patient_id", "section_id", "condition"), ["patient_id"], [F.col("section_id")], F.lit(1), "_i")
+    """Sections with their 0-based number inside the patient and the patient's section count.
+
+    Numbered along a hash, whose first digits cut a patient with very many sections into parts.
+    """
+    hashed = units.select("patient_id", "section_id", "condition", F.md5(F.col("section_id").cast("string")).alias("_h")).withColumn(
+        "_part", F.substring("_h", 1, 2))
+    held = running(hashed, ["patient_id"], [F.col("_h"), F.col("section_id")], F.lit(1), "_i", "_part").drop("_h", "_part")
     sizes = units.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
     return held.withColumn("_i", F.col("_i") - 1).join(sizes, "patient_id")
 

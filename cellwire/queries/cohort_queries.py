@@ -235,6 +235,37 @@ def c6_influence(spark, folder):
     return r6(co.omission_summary(omissions(spark, folder), "omitted_patient"), "estimate_min", "estimate_max", "direction_agreement", "estimate_spearman")
 
 
+@query("c6_omission_tests")
+def c6_tests(spark, folder):
+    out = co.leave_one_out_tests(*d.cohort(spark, folder), BY_FRACTION, "conditionDisease", ["run1", "run2"])
+    return r6(out, "full_estimate", "estimate", "std_error", "p_value", "q_value")
+
+
+@query("c6_omission_hits")
+def c6_hits(spark, folder):
+    scores, units = d.cohort(spark, folder)
+    tests_ = co.leave_one_out_tests(scores, units, BY_FRACTION, "conditionDisease", ["run1", "run2"])
+    return r6(co.omission_hits(tests_, hc3(spark, folder)), "maximum_q")
+
+
+@query("c6_omission_retention")
+def c6_retention(spark, folder):
+    scores, units = d.cohort(spark, folder)
+    tests_ = co.leave_one_out_tests(scores, units, BY_FRACTION, "conditionDisease", ["run1", "run2"])
+    return r6(co.omission_retention(tests_, hc3(spark, folder)), "full_hit_fraction_retained")
+
+
+@query("c6_omission_standard_errors", with_(*DENSE, """s AS (SELECT feature_id, condition, sum(y) AS s, sum(y * y) AS q, count(*) AS n FROM py GROUP BY 1, 2),
+  pairs AS (SELECT p.patient_id, p.feature_id, p.condition, p.y, a.s AS sd, a.q AS qd, a.n AS nd, b.s AS sc, b.q AS qc, b.n AS nc FROM py p JOIN s a ON a.feature_id = p.feature_id AND a.condition = 'Disease'
+  JOIN s b ON b.feature_id = p.feature_id AND b.condition = 'Control'),
+  cut AS (SELECT patient_id, feature_id, CASE WHEN condition = 'Disease' THEN sd - y ELSE sd END AS sd, CASE WHEN condition = 'Disease' THEN qd - y * y ELSE qd END AS qd, CASE WHEN condition = 'Disease' THEN nd - 1 ELSE nd END AS nd,
+  CASE WHEN condition = 'Control' THEN sc - y ELSE sc END AS sc, CASE WHEN condition = 'Control' THEN qc - y * y ELSE qc END AS qc, CASE WHEN condition = 'Control' THEN nc - 1 ELSE nc END AS nc FROM pairs)""") + f"""
+  SELECT patient_id AS omitted_patient, feature_id, {q6('sd / nd - sc / nc')} AS estimate, {q6('sqrt((qd - sd * sd / nd) / ((nd - 1) * (nd - 1)) + (qc - sc * sc / nc) / ((nc - 1) * (nc - 1)))')} AS std_error, 'ok' AS status FROM cut""")
+def c6_errors(spark, folder):
+    out = co.leave_one_out_tests(*d.cohort(spark, folder), CONDITION, "conditionDisease")
+    return r6(out.select("omitted_patient", "feature_id", "estimate", "std_error", "status"), "estimate", "std_error")
+
+
 BALANCED = f"""drawn AS (SELECT b, patient_id, row_number() OVER (PARTITION BY b ORDER BY md5('1|' || CAST(b AS VARCHAR) || '|' || CAST(patient_id AS VARCHAR)), patient_id) AS k
   FROM patients, range(1, {REPS + 1}) AS t(b) WHERE condition = 'Disease'),
 chosen AS (SELECT b, patient_id FROM drawn WHERE k <= (SELECT count(*) FROM patients WHERE condition = 'Control') UNION ALL SELECT b, patient_id FROM patients, range(1, {REPS + 1}) AS t(b) WHERE condition = 'Control'),
@@ -364,7 +395,7 @@ def c10_transitions(spark, folder):
     return su.threshold_transitions(classes(spark, folder), 50)
 
 
-DRAW = f"""sec AS (SELECT patient_id, section_id, condition, row_number() OVER (PARTITION BY patient_id ORDER BY section_id) - 1 AS i, count(*) OVER (PARTITION BY patient_id) AS n FROM units),
+DRAW = f"""sec AS (SELECT patient_id, section_id, condition, row_number() OVER (PARTITION BY patient_id ORDER BY md5(section_id), section_id) - 1 AS i, count(*) OVER (PARTITION BY patient_id) AS n FROM units),
 drawn AS (SELECT DISTINCT patient_id, b, CAST('0x' || substr(md5('1|' || CAST(b AS VARCHAR) || '|' || CAST(patient_id AS VARCHAR)), 1, 8) AS BIGINT) % n AS i FROM sec, range(1, {REPS + 1}) AS t(b)),
 pick AS (SELECT b, s.section_id, s.condition FROM drawn JOIN sec s USING (patient_id, i)),
 hit AS (SELECT b, feature_id, count(*) FILTER (condition = 'Disease') AS pf, count(*) FILTER (condition = 'Control') AS ct FROM pick JOIN (SELECT section_id, feature_id FROM scores WHERE score > 0) USING (section_id) GROUP BY 1, 2),

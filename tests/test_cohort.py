@@ -100,13 +100,18 @@ def test_hc3_and_omissions(spark):
         return beta[1], math.sqrt((((inverse @ x.T)[1]) ** 2 * e ** 2 / (1 - h) ** 2).sum())
 
     omitted = {(r["omitted_patient"], r["feature_id"]): r["estimate"] for r in co.leave_one_out(s, u, design, "conditionDisease", ["run1", "run2"]).collect()}
+    tested = {(r["omitted_patient"], r["feature_id"]): r for r in co.leave_one_out_tests(s, u, design, "conditionDisease", ["run1", "run2"]).collect()}
     for r in co.fit_hc3(s, u, design, "conditionDisease", ["run1", "run2"]).collect():
         y = np.array([np.mean([math.log1p(dense[(a[0], r["feature_id"])]) for a in of[p]]) for p in patients])
         estimate, se = fit(x, y)
         assert (r["estimate"], r["std_error"]) == (pytest.approx(estimate), pytest.approx(se))
         for i, p in enumerate(patients):
             keep = np.arange(len(patients)) != i
-            assert omitted[(p, r["feature_id"])] == pytest.approx(fit(x[keep], y[keep])[0], abs=1e-9)
+            one, error = fit(x[keep], y[keep])
+            assert omitted[(p, r["feature_id"])] == pytest.approx(one, abs=1e-9)
+            t = tested[(p, r["feature_id"])]
+            assert (t["estimate"], t["std_error"]) == (pytest.approx(one, abs=1e-9), pytest.approx(error, rel=1e-6))
+            assert t["p_value"] == pytest.approx(float(tails.t_two_sided(one / error, len(patients) - 5)), rel=1e-6)
 
 
 def test_balanced_effects_bounds(spark):
