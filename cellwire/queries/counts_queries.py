@@ -181,6 +181,8 @@ def w8_best(spark, folder):
   AND array_row BETWEEN row_start * 4 AND row_start * 4 + 7 AND array_col BETWEEN col_start * 4 AND col_start * 4 + 11""")
 def w9(spark, folder):
     best = regions(spark, folder).where("rank = 1").first()
+    if best is None:
+        return d.positions(spark, folder).where("false")
     return ct.crop_region(d.positions(spark, folder), best["row_start"], best["col_start"], 2, 3, 4)
 
 

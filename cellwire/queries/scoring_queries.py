@@ -309,7 +309,26 @@ def p19_off(spark, folder):
     return r6(records(spark, folder, contact_dependent=False).drop("pvalue"), "probability")
 
 
-@query("p18_legacy_percent_filter")
+def _decimals(column):
+    """Decimals that one significant digit of the smallest positive value needs."""
+    e = f"floor(log10({column}))"
+    shifted = f"({e} + CASE WHEN round({column} / pow(10, {e})) >= 10 THEN 1 ELSE 0 END)"
+    return f"max(CASE WHEN {column} > 0 THEN greatest(-{shifted}, 0) ELSE 0 END) OVER (PARTITION BY sample_id, lr_index)"
+
+
+def _text(column, decimals):
+    return "CASE " + " ".join(f"WHEN {decimals} = {i} THEN printf('%.{i}f', {column})" for i in range(4)) + " END"
+
+
+LEGACY = f"""decimals AS (SELECT *, {_decimals('fl')} AS dl, {_decimals('fr')} AS dr FROM shares),
+texts AS (SELECT sample_id, lr_index, grp, {_text('fl', 'dl')} >= '0.1' AS okl, {_text('fr', 'dr')} >= '0.1' AS okr FROM decimals)"""
+LEGACY_RECORDS = """records AS (SELECT k.sample_id, k.lr_index, k.sender_group, k.receiver_group, k.probability, k.active_edges FROM linked k
+  JOIN texts a ON a.sample_id = k.sample_id AND a.lr_index = k.lr_index AND a.grp = k.sender_group
+  JOIN texts b ON b.sample_id = k.sample_id AND b.lr_index = k.lr_index AND b.grp = k.receiver_group WHERE o >= 5 AND i >= 5 AND a.okl AND b.okr)"""
+
+
+@query("p18_legacy_percent_filter", with_(*edge_mean_sql()[:-1], LEGACY, LEGACY_RECORDS) + f"""SELECT k.sample_id, k.lr_index, l.interaction_name, l.ligand, l.receptor,
+  sender_group, receiver_group, {q6('probability')} AS probability, active_edges FROM records k JOIN lr l ON l.lr_index = k.lr_index""")
 def p18(spark, folder):
     return r6(records(spark, folder, percent_filter="legacy").drop("pvalue"), "probability")
 
