@@ -233,7 +233,8 @@ def logistic_fit(x: np.ndarray, n: np.ndarray, k: np.ndarray, rounds: int = 25):
         weight = n * mu * (1 - mu)
         target = eta + (k / np.maximum(n, 1) - mu) / (mu * (1 - mu))
         if deviance is not None and abs(current - deviance) / (abs(current) + 0.1) < 1e-8:
-            return beta, cov, "ok"
+            # Errors at the converged fit rather than one step before it.
+            return beta, np.linalg.inv(x.T @ (x * weight[:, None])), "ok"
         deviance = current
     return beta, cov, "fit_failed"
 
