@@ -151,7 +151,8 @@ def fit_glm(
     """
     names = [n for n, _ in design]
     k, p = names.index(coefficient) + 1, len(names) + 1
-    rows = units.select(unit, _x(design).alias("x"))
+    # Read by several small jobs, hence stored once; the same holds for the other models.
+    rows = materialize(units.select(unit, _x(design).alias("x")))
     n = rows.count()
     counted = scores.groupBy("feature_id").agg(
         F.count(F.when(F.col("score") > presence_threshold, 1)).alias("nonzero_units"))
@@ -251,7 +252,7 @@ def fit_lmm(
     """
     names = [n for n, _ in design]
     k, p = names.index(coefficient) + 1, len(names) + 1
-    rows = units.select("section_id", "patient_id", _x(design).alias("x"))
+    rows = materialize(units.select("section_id", "patient_id", _x(design).alias("x")))
     sizes = rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
     n = rows.count()
     sums = [F.sum(F.col("x")[i]).alias(f"t{i}") for i in range(p)]
@@ -370,7 +371,7 @@ def fit_hc3(
     patients, y = patient_table(units, runs), patient_responses(scores, units)
     names = [n for n, _ in design]
     k, p = names.index(coefficient) + 1, len(names) + 1
-    rows = patients.select("patient_id", _x(design).alias("x"))
+    rows = materialize(patients.select("patient_id", _x(design).alias("x")))
     n = rows.count()
     inverse = _invert(_moments(rows, p))
     if inverse is None:
@@ -442,7 +443,7 @@ def leave_one_out(
     patients, y = patient_table(units, runs), patient_responses(scores, units)
     names = [n for n, _ in design]
     k, p = names.index(coefficient) + 1, len(names) + 1
-    rows = patients.select("patient_id", _x(design).alias("x"))
+    rows = materialize(patients.select("patient_id", _x(design).alias("x")))
     inverse = _invert(_moments(rows, p))
     if inverse is None:
         raise ValueError("the patient design is not identifiable")
@@ -519,7 +520,7 @@ def leave_one_out_tests(
     held = held.withColumn("status", F.when(ok, "ok").otherwise("insufficient_support_or_variation")).withColumn(
         "_t", F.when(ok, F.col("estimate") / F.col("std_error")))
     held = held.withColumn("p_value", t_two_sided_tail("_t", F.lit(float(n - 1 - p)))).drop("_t", "_sd")
-    return bh_adjust(materialize(held), keys=["omitted_patient"])
+    return bh_adjust(held, keys=["omitted_patient"])
 
 
 def omission_hits(tests: DataFrame, full: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -562,7 +563,7 @@ def balanced_effects(
     patients, y = patient_table(units, runs), patient_responses(scores, units)
     names = [n for n, _ in design]
     k, p = names.index(coefficient) + 1, len(names) + 1
-    rows = patients.select("patient_id", "condition", _x(design).alias("x"))
+    rows = materialize(patients.select("patient_id", "condition", _x(design).alias("x")))
     is_control = F.col("condition") == control
     tally = rows.agg(F.count(F.when(is_control, 1)).alias("c"), F.count(F.when(~is_control, 1)).alias("d")).first()
     copies = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(

@@ -105,9 +105,10 @@ def bh_adjust(df: DataFrame, p: str = "p_value", q: str = "q_value", keys: Seque
     """Benjamini-Hochberg q values over the non-null p values of each key.
 
     Works on distinct p values with counts. The buckets are fixed functions of p: 1/1024 wide, and
-    powers of two below that, so no group ever meets in one task.
+    powers of two below that, so no group ever meets in one task. The tests are stored first,
+    because ranks, sizes and the final join each read them.
     """
-    keys = list(keys)
+    keys, df = list(keys), materialize(df)
     known = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
     small = -F.least(F.lit(1100.0), F.floor(-F.log2(p)))
     known = known.withColumn(
