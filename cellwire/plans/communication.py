@@ -131,7 +131,7 @@ def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, extra: list[st
     return edges.unionByName(selves).where((F.col("p") > 0) & (F.col("p") < float("inf")))
 
 
-def _percent_mask(levels: DataFrame, cells: DataFrame, s: Settings, keys: list[str], labels: list[str]) -> DataFrame:
+def _percent_mask(levels: DataFrame, cells: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
     """Group fractions with positive ligand and receptor, and whether they pass (``ok_s``, ``ok_r``)."""
     if keys:
         spread = levels.select(
@@ -164,7 +164,7 @@ def _filtered(sums: DataFrame, levels: DataFrame, cells: DataFrame, s: Settings,
     kept = links.where((F.col("_out") >= s.min_cells) & (F.col("_in") >= s.min_cells)).drop("_out", "_in")
     if s.min_percent == 0:
         return kept
-    mask = _percent_mask(levels, cells, s, keys, [])
+    mask = _percent_mask(levels, cells, s, keys)
     send = mask.where("ok_s").select(*by, F.col("g").alias("sender_group"))
     take = mask.where("ok_r").select(*by, F.col("g").alias("receiver_group"))
     return kept.join(send, [*by, "sender_group"], "left_semi").join(take, [*by, "receiver_group"], "left_semi")

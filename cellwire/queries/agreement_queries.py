@@ -7,7 +7,6 @@ from cellwire.operators import agreement as ag
 from cellwire.operators import sampling as sp
 from cellwire.operators import validation as va
 from cellwire.queries import domain as d
-from cellwire.queries.counts_queries import PROFILE  # noqa: F401
 from cellwire.queries.registry import q6, query, r6, with_
 
 # Two record sets per (brand, type, line): scores of two halves of the order lines.
