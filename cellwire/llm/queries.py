@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import pieces
+from cellwire.llm import packing, pieces
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,9 @@ def query(name: str, sql: str | None = None):
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     return pieces.digest(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token pieces with their place in sequences of at most 2048 tokens."""
+    return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
