@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import packing, pieces
+from cellwire.llm import licenses, packing, pieces, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot and shard of every document among 64 shards."""
+    lookup = sharding.lookup_table(spark, [f"shard-{k:02d}" for k in range(64)])
+    return sharding.place(table(spark, folder, "documents"), "doc_id", lookup).select("doc_id", "slot", "shard")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The best licence template of every document and the number of its units that match any."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
@@ -33,3 +46,10 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces with their place in sequences of at most 2048 tokens."""
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_vantage_point_search")
+def op9_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors of largest inner product of every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings")
+    return vp_tree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=0.25)
