@@ -39,7 +39,17 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        # One character of a byte-level token stands for one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
+        self.whole: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bool:
+        """Whether the text may be cut at every space: spaces are single and touch no other white space."""
+        return (
+            "  " not in text and " \n" not in text and "\n " not in text and text.strip() == text != ""
+            and text.replace("\n", "").isprintable() and not any(s in text for s in self.special)
+        )
 
     def stretches(self, text: str) -> list[str]:
         """Parts of the text whose encodings join to the encoding of the text; the last parts start with a space."""
@@ -56,22 +66,39 @@ class WordTokenizer:
             joins = not part or part[-1].isspace()
         return [p for p in out if p]
 
+    def _add_spaced(self, words: list[str]) -> None:
+        """Encode many words, each after a space, as one text and cut its ids where the bytes of a word end."""
+        for start, stop in slices(words, 1 << 17):
+            some = words[start:stop]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)).tolist()
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(some, cuts, strict=True):
+                self.spaced[word] = raw[at:cut]
+                at = cut
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for start, stop in slices(texts):
-            cut = [self.stretches(t) for t in texts[start:stop]]
-            words = set().union(*cut)
-            new = [w for w in words if w not in self.cache]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache = {}
-                new = list(words)
-            for at in range(0, len(new), 10_000):
-                some = new[at:at + 10_000]
-                for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(e.ids, "<u4").tobytes()
-            known = self.cache.__getitem__
-            out += [b"".join(map(known, c)) for c in cut]
+            firsts, rests = [], []
+            for text in texts[start:stop]:
+                if self.plain(text):
+                    parts = text.split(" ")
+                    firsts.append(parts[:1])
+                    rests.append(parts[1:])
+                else:
+                    firsts.append(self.stretches(text))
+                    rests.append([])
+            if len(self.spaced) + len(self.whole) > CACHE_WORDS:
+                self.spaced, self.whole = {}, {}
+            self._add_spaced(list(set().union(*rests).difference(self.spaced)))
+            for word in set().union(*firsts).difference(self.whole):
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                self.whole[word] = np.array(ids, "<u4").tobytes()
+            whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
+            out += [b"".join([*map(whole, f), *map(spaced, r)]) for f, r in zip(firsts, rests, strict=True)]
         return out
 
 
