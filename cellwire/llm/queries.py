@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import licenses, packing, pieces, sharding, vp_tree
+from cellwire.llm import licenses, multi_index, packing, pieces, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -42,6 +42,12 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op5_embedding_near_dedup")
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9 or more."""
+    return multi_index.linked(table(spark, folder, "embeddings"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces with their place in sequences of at most 2048 tokens."""
