@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import licenses, multi_index, packing, pieces, sharding, vp_tree
+from cellwire.llm import licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -48,12 +48,24 @@ def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.linked(table(spark, folder, "embeddings"))
 
 
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that start in an earlier one."""
+    return prefix_free.removed_bytes(table(spark, folder, "documents"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token pieces with their place in sequences of at most 2048 tokens."""
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the windows of 50 words that start in an earlier one."""
+    return relative_lz.removed_words(table(spark, folder, "documents"))
+
+
 @query("op9_vantage_point_search")
 def op9_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 vectors of largest inner product of every vector whose id is divisible by 20."""
