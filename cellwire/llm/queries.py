@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
+from cellwire.llm import chosen_path, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,9 @@ def op9_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 vectors of largest inner product of every vector whose id is divisible by 20."""
     vectors = table(spark, folder, "embeddings")
     return vp_tree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=0.25)
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and links of every document at a Jaccard similarity of 0.8 or more on word 5-grams."""
+    return chosen_path.similar(table(spark, folder, "documents"))
