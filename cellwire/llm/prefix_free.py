@@ -58,26 +58,28 @@ def _spans(removed: np.ndarray) -> int:
     return int(np.count_nonzero(removed[1:] & ~removed[:-1]) + (len(removed) > 0 and removed[0]))
 
 
-def _digest(ids, raws, symbols, removed) -> pd.DataFrame:
+def _digest(batch: pd.DataFrame, symbols: list, removed: list) -> pd.DataFrame:
     rows = [
-        (i, len(s), int(r.sum()), _spans(r), hashlib.sha256(s[~r].tobytes()).hexdigest())
-        for i, s, r in zip(ids, symbols, removed, strict=True)
+        (len(s), int(r.sum()), _spans(r), hashlib.sha256(s[~r].tobytes()).hexdigest())
+        for s, r in zip(symbols, removed, strict=True)
     ]
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    out.insert(0, "doc_id", batch["doc_id"].to_numpy())
     return out
 
 
-def _texts(ids, raws, symbols, removed) -> pd.DataFrame:
+def _texts(batch: pd.DataFrame, symbols: list, removed: list) -> pd.DataFrame:
     # A window may begin or end inside a character; what is left of one is dropped.
-    rows = [(i, s[~r].tobytes().decode("utf-8", "ignore"), int(r.sum())) for i, s, r in zip(ids, symbols, removed, strict=True)]
-    out = pd.DataFrame(rows, columns=["doc_id", "text", "n_removed"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    text = [s[~r].tobytes().decode("utf-8", "ignore") for s, r in zip(symbols, removed, strict=True)]
+    out = batch.drop(columns=["raw", "chunk"])
+    out["text"] = text
     return out
 
 
-def _run(docs: DataFrame, finish, schema: str) -> DataFrame:
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+def _run(docs: DataFrame, finish, schema: str, *carried: str) -> DataFrame:
+    read = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), *carried,
+    )
     return repeats(read, _bytes, lambda s: _BYTE_HASHES[s], _resolve, finish, schema, np.uint8, GRAM)
 
 
@@ -92,5 +94,24 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_removed): the texts that are left, by the rule of ``removed_bytes``; cut characters go."""
-    return _run(docs, _texts, "doc_id long, text string, n_removed long")
+    """``docs`` with the texts that are left by the rule of ``removed_bytes``, and n_chars, if there, their length.
+
+    Every row stays, also one whose text is all gone (empty then; a null text becomes empty too). A
+    character cut by the border of a removed string goes whole. Other columns are kept as they are,
+    except columns called raw or chunk, which raise an error.
+    """
+    if {"raw", "chunk"} & set(docs.columns):
+        raise ValueError("columns named raw or chunk are not supported")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    # What is carried travels as one JSON string, so that nulls and types come back as they were.
+    schema = "doc_id long, carried string, text string"
+    carried = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    kept = _run(docs.withColumn("carried", carried), _texts, schema, "carried")
+    if others:
+        fields = ", ".join(f"`{c}`: {kinds[c]}" for c in others)
+        kept = kept.withColumn("carried", F.from_json("carried", f"struct<{fields}>"))
+    columns = {c: F.col("carried").getField(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(kinds["n_chars"])
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))

@@ -1,10 +1,11 @@
 """Registered queries of this folder: each operator over its whole table, with production parameters."""
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import chosen_path, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
+from cellwire.llm import chosen_path, langid, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -42,6 +43,13 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document by a field fitted on labelled documents outside the held-out quarter."""
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 @query("op5_embedding_near_dedup")
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector at cosine 0.9 or more."""
@@ -77,3 +85,9 @@ def op9_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every document at a Jaccard similarity of 0.8 or more on word 5-grams."""
     return chosen_path.similar(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Language filter, near-duplicate removal, substring dedup and packing of the documents."""
+    return corpus_pipeline.run(spark, folder)

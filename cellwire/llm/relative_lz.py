@@ -88,14 +88,14 @@ def _resolve(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.n
     return np.repeat(owner[place], length)
 
 
-def _digest(ids, raws, symbols, removed) -> pd.DataFrame:
+def _digest(batch: pd.DataFrame, symbols: list, removed: list) -> pd.DataFrame:
     rows = []
-    for i, raw, r in zip(ids, raws, removed, strict=True):
+    for raw, r in zip(batch["raw"], removed, strict=False):
         words = _WORD.findall(raw or b"")
         kept = [w for w, gone in zip(words, r.tolist(), strict=True) if not gone] if r.any() else words
-        rows.append((i, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+        rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
+    out.insert(0, "doc_id", batch["doc_id"].to_numpy())
     return out
 
 

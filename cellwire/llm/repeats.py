@@ -160,9 +160,9 @@ def repeats(
     docs: DataFrame, parse: Callable, hashes: Callable, resolve: Callable, finish: Callable, schema: str,
     kind: type, gram: int, window: int = WINDOW,
 ) -> DataFrame:
-    """One row per document from ``finish(raw, symbols, removed)``.
+    """The rows that ``finish(rows, symbols, removed)`` makes of each chunk of documents.
 
-    ``docs``: (doc_id long, raw binary). ``parse(raw)`` gives the symbols of a document as an array of
+    ``docs``: (doc_id long, raw binary) and columns for ``finish``. ``parse(raw)`` gives the symbols of a document as an array of
     type ``kind``, ``hashes(symbols)`` their 64-bit hashes, ``resolve(symbols, starts, counts, ids)`` the
     smallest id of every window of different phrases. ``removed`` marks symbols covered by a window that
     also starts in a document of smaller id. A null id counts as the largest; rows of one id are not
@@ -172,7 +172,7 @@ def repeats(
     chunks = int(max(1, total >> 23, min(200, total >> 18)))
     bits = max(6, int(total >> 24).bit_length())
     size = np.dtype(kind).itemsize
-    dealt = docs.select("doc_id", "raw", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(chunks)).cast("int"))
     mask = np.uint64((1 << 40) - 1)
 
     def phrases(batch: pd.DataFrame) -> Phrases:
@@ -272,10 +272,9 @@ def repeats(
 
     def applied(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
-            return finish([], [], [], [])
-        sequences_ids, removed = ids_of(batch), None
-        p = phrases(batch)
-        p.repeated(sequences_ids, marked(p, answers))
+            return finish(batch, [], [])
+        ids, p = ids_of(batch), phrases(batch)
+        p.repeated(ids, marked(p, answers))
         change = np.zeros(len(p.flat) + 1, np.int64)
         if len(p.one):
             least = np.empty(len(p.one), np.int64)
@@ -295,7 +294,7 @@ def repeats(
                 offset += len(values)
                 each.append(values)
             each = np.concatenate(each)
-            own = sequences_ids[p.doc]
+            own = ids[p.doc]
             whole = ~various[p.kind] & (least[p.kind] < own)
             np.add.at(change, p.at[whole], 1)
             np.add.at(change, p.at[whole] + p.count[whole] - 1 + window, -1)
@@ -309,7 +308,7 @@ def repeats(
                 np.add.at(change, at + window, -1)
         removed = np.cumsum(change[:-1]) > 0
         cut = [removed[a:a + n] for a, n in zip(p.starts, p.lengths, strict=True)]
-        return finish(batch["doc_id"].tolist(), batch["raw"].tolist(), [p.flat[a:a + n] for a, n in zip(p.starts, p.lengths, strict=True)], cut)
+        return finish(batch, [p.flat[a:a + n] for a, n in zip(p.starts, p.lengths, strict=True)], cut)
 
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.applyInPandas(triggers, "bucket int, chunk int, keys binary")
