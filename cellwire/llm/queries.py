@@ -5,7 +5,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import chosen_path, langid, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
+from cellwire.llm import checks, chosen_path, langid, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -24,14 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_sharding")
+@query("op1_sharding", checks.SHARDING)
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The slot and shard of every document among 64 shards."""
     lookup = sharding.lookup_table(spark, [f"shard-{k:02d}" for k in range(64)])
     return sharding.place(table(spark, folder, "documents"), "doc_id", lookup).select("doc_id", "slot", "shard")
 
 
-@query("op2_license_scan")
+@query("op2_license_scan", checks.LICENSES)
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The best licence template of every document and the number of its units that match any."""
     return licenses.scan(table(spark, folder, "documents"))
@@ -50,13 +50,13 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
-@query("op5_embedding_near_dedup")
+@query("op5_embedding_near_dedup", checks.LINKED)
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector at cosine 0.9 or more."""
     return multi_index.linked(table(spark, folder, "embeddings"))
 
 
-@query("op6_suffix_array_dedup")
+@query("op6_suffix_array_dedup", checks.REMOVED_BYTES)
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that start in an earlier one."""
     return prefix_free.removed_bytes(table(spark, folder, "documents"))
@@ -68,20 +68,20 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", checks.REMOVED_WORDS)
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the windows of 50 words that start in an earlier one."""
     return relative_lz.removed_words(table(spark, folder, "documents"))
 
 
-@query("op9_vantage_point_search")
+@query("op9_vantage_point_search", checks.NEAREST)
 def op9_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 vectors of largest inner product of every vector whose id is divisible by 20."""
     vectors = table(spark, folder, "embeddings")
-    return vp_tree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=0.25)
+    return vp_tree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", checks.JACCARD)
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every document at a Jaccard similarity of 0.8 or more on word 5-grams."""
     return chosen_path.similar(table(spark, folder, "documents"))
