@@ -18,7 +18,7 @@ from cellwire.operators import proximity as near
 from cellwire.operators.expression import molecule_levels, scale_by_maximum
 from cellwire.operators.graph import minimum_distance
 from cellwire.operators.interactions import Interactions, mark_contact, order_interactions, prepare_interactions
-from cellwire.operators.permutation import permuted_labels
+from cellwire.operators.permutation import exceeds_score, permuted_labels
 from cellwire.operators.session import materialize
 
 CELL = ["sample_id", "cell_id"]
@@ -198,7 +198,7 @@ def communication_records(
         kept = _filtered(sums, levels, labelled, s, ["b"])
         whole = W.partitionBy(*PAIR)
         observed = F.max(F.when(F.col("b") == 0, F.col("probability"))).over(whole)
-        exceeding = (F.col("b") > 0) & (F.round("probability", 12) > F.round("_obs", 12))
+        exceeding = (F.col("b") > 0) & exceeds_score(F.col("probability"), F.col("_obs"))
         records = kept.withColumn("_obs", observed).where(F.col("_obs").isNotNull()).groupBy(*PAIR).agg(
             F.max("_obs").alias("probability"),
             F.max(F.when(F.col("b") == 0, F.col("active_edges"))).alias("active_edges"),

@@ -38,7 +38,7 @@ nrec AS (SELECT k.* FROM nlinked k JOIN nshares a ON a.sample_id = k.sample_id A
 
 @query("n1_label_permutation", with_(*sq.edge_mean_sql(), drawn_sql("sample_id"), NULLS) + f"""SELECT o.sample_id, o.lr_index, l.interaction_name, l.ligand, l.receptor,
   o.sender_group, o.receiver_group, {q6('o.probability')} AS probability, o.active_edges,
-  {q6(f'(SELECT count(*) FROM nrec n WHERE n.b > 0 AND n.sample_id = o.sample_id AND n.lr_index = o.lr_index AND n.sender_group = o.sender_group AND n.receiver_group = o.receiver_group AND round(n.probability, 12) > round(o.probability, 12)) / {B}')} AS pvalue
+  {q6(f'(SELECT count(*) FROM nrec n WHERE n.b > 0 AND n.sample_id = o.sample_id AND n.lr_index = o.lr_index AND n.sender_group = o.sender_group AND n.receiver_group = o.receiver_group AND n.probability > o.probability + 1e-12 * abs(o.probability)) / {B}')} AS pvalue
   FROM nrec o JOIN lr l ON l.lr_index = o.lr_index WHERE o.b = 0""")
 def n1(spark, folder):
     return r6(sq.records(spark, folder, n_perm=B, seed=SEED), "probability", "pvalue")
@@ -95,13 +95,13 @@ def block_test(spark, folder, **options):
 
 def _test_sql(compare, p, base="(SELECT * FROM nscore WHERE b = 0)", extra=""):
     return f"""SELECT o.lr_index, o.sender_group, o.receiver_group, {q6('o.probability')} AS probability,
-  count(n.b) FILTER (round(n.probability, 12) {compare} round(o.probability, 12)) AS n_reject, {q6(p)} AS pvalue{extra}
+  count(n.b) FILTER (n.probability {compare} o.probability {'+' if compare == '>' else '-'} 1e-12 * abs(o.probability)) AS n_reject, {q6(p)} AS pvalue{extra}
   FROM {base} o LEFT JOIN nscore n ON n.b > 0 AND n.lr_index = o.lr_index AND n.sender_group = o.sender_group AND n.receiver_group = o.receiver_group
   GROUP BY 1, 2, 3, o.probability"""
 
 
-_STRICT = "count(n.b) FILTER (round(n.probability, 12) > round(o.probability, 12))"
-_EQUAL = "count(n.b) FILTER (round(n.probability, 12) >= round(o.probability, 12))"
+_STRICT = "count(n.b) FILTER (n.probability > o.probability + 1e-12 * abs(o.probability))"
+_EQUAL = "count(n.b) FILTER (n.probability >= o.probability - 1e-12 * abs(o.probability))"
 
 
 @query("n4_block_permutation_test", with_(*NULL_PATH) + _test_sql(">", f"{_STRICT} / {B}"))
