@@ -312,6 +312,12 @@ def search_theta(deviance) -> float:
     grid = np.concatenate([[0.0], np.logspace(-3, 3, 61)])
     values = np.array([deviance(t) for t in grid])
     best = int(np.argmin(values))
+    # As long as the deviance still falls at the end, look further; beyond 1e12 it is flat in floating point.
+    while best == len(grid) - 1 and grid[-1] < 1e12:
+        more = grid[-1] * np.logspace(0.1, 2, 20)
+        grid = np.concatenate([grid, more])
+        values = np.concatenate([values, [deviance(t) for t in more]])
+        best = int(np.argmin(values))
     low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
     ratio = (np.sqrt(5) - 1) / 2
     for _ in range(80):

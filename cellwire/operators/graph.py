@@ -209,6 +209,8 @@ def knn_edges(
         if pending.isEmpty():
             break
         reach *= 2
+    else:
+        raise ValueError(f"cells are left without neighbours after {max_rounds} rounds; start with a larger reach")
     edges = settled
     if max_radius is not None:
         edges = edges.where(F.col("distance") <= max_radius)
@@ -243,20 +245,26 @@ def _dense_reach(points: DataFrame, dims: Sequence[str], k: int) -> float:
 
 def validate_edges(edges: DataFrame, cells: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """One row of named checks of an edge table against its cells."""
+    # A cell is known by sample and id; ids may repeat in other samples. An end that is missing in the
+    # edge's sample is a cross-sample edge if some other sample has the id.
     info = cells.select("sample_id", "cell_id", "compartment")
+    anywhere = cells.select("cell_id").distinct()
     ends = edges
     for side in ("sender", "receiver"):
         ends = ends.join(
-            info.select(F.col("cell_id").alias(f"{side}_id"), F.col("sample_id").alias(f"{side}_sample"),
+            info.select("sample_id", F.col("cell_id").alias(f"{side}_id"), F.col("sample_id").alias(f"{side}_sample"),
                         F.col("compartment").alias(f"{side}_compartment")),
-            f"{side}_id", "left",
+            ["sample_id", f"{side}_id"], "left",
+        ).join(
+            anywhere.select(F.col("cell_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_known")), f"{side}_id", "left",
         )
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     holds = lambda c: F.coalesce(F.min(c.cast("int")), F.lit(1)) == 1
-    copies = edges.groupBy("sender_id", "receiver_id").agg(F.count(F.lit(1)).alias("_n"))
+    copies = edges.groupBy("sample_id", "sender_id", "receiver_id").agg(F.count(F.lit(1)).alias("_n"))
     return ends.agg(
-        holds(F.col("sender_sample").isNotNull() & F.col("receiver_sample").isNotNull()).alias("ends_known"),
-        holds(F.col("sender_sample").eqNullSafe(F.col("receiver_sample"))).alias("no_cross_sample_edges"),
+        holds(F.col("sender_known").isNotNull() & F.col("receiver_known").isNotNull()).alias("ends_known"),
+        holds(F.col("sender_sample").isNotNull().eqNullSafe(F.col("sender_known").isNotNull())
+              & F.col("receiver_sample").isNotNull().eqNullSafe(F.col("receiver_known").isNotNull())).alias("no_cross_sample_edges"),
         holds(F.col("sender_id") != F.col("receiver_id")).alias("no_self_edges"),
         holds(finite("distance") & (F.col("distance") >= 0)).alias("finite_nonnegative_distance"),
         holds(finite("weight") & (F.col("weight") >= -tolerance)).alias("finite_nonnegative_weight"),

@@ -437,7 +437,7 @@ def s1(spark, folder):
     part.orderBy("p_partkey").select(F.col("p_partkey").cast("string")).coalesce(1).write.text(f"{path}/barcodes.tsv")
     size = spark.sql("SELECT explode(array('%%MatrixMarket matrix coordinate integer general', '% counts')) AS value").unionByName(
         sup.agg(F.count("*").alias("a")).join(part.agg(F.count("*").alias("b")), F.lit(True)).select(
-            F.format_string("%d %d 0", "a", "b").alias("value")))
+            F.format_string(f"%d %d {counts.count()}", "a", "b").alias("value")))
     body = counts.select(F.format_string("%d %d %d", F.col("feature_id") + 1, F.col("barcode") + 1, "n").alias("value"))
     write_lines(size, body, f"{path}/matrix.mtx")
     return sources.read_mex(spark, path)

@@ -58,15 +58,20 @@ def duplicate_features(features: DataFrame) -> DataFrame:
 def read_mex(spark: SparkSession, folder: str, gene_column: int = 2, keep_ids: DataFrame | None = None) -> DataFrame:
     """Counts of a sparse matrix folder: barcode, feature_id, gene, n.
 
-    Only gene expression features are kept, optionally those of ``keep_ids(feature_id)``.
+    Only gene expression features are kept, optionally those of ``keep_ids(feature_id)``. The header's
+    rows, columns and entries must agree with the dictionaries and the body, and feature ids must be
+    unique; otherwise it is an error, so a cut file cannot pass for a smaller one.
     """
     body = _lines(spark, _first_existing(spark, folder, ["matrix.mtx.gz", "matrix.mtx"])).where(~F.col("value").startswith("%"))
     size_line = body.where("_start = 0").agg(F.min("_order")).scalar()
     part = F.split(F.trim("value"), r"\s+")
     entries = body.where((F.col("_start") != 0) | (F.col("_order") != size_line)).select(
         part[0].cast("long").alias("row"), part[1].cast("long").alias("col"), part[2].cast("long").alias("n"))
-    features = read_features(spark, _first_existing(
-        spark, folder, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"])).where("feature_type = 'Gene Expression'")
+    listed = read_features(spark, _first_existing(
+        spark, folder, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]))
+    if not duplicate_features(listed).isEmpty():
+        raise ValueError("feature ids of the matrix are not unique")
+    features = listed.where("feature_type = 'Gene Expression'")
     if keep_ids is not None:
         lost = keep_ids.select("feature_id").join(features, "feature_id", "left_anti")
         if not lost.isEmpty():
@@ -74,6 +79,17 @@ def read_mex(spark: SparkSession, folder: str, gene_column: int = 2, keep_ids: D
         features = features.join(keep_ids.select("feature_id").distinct(), "feature_id", "left_semi")
     barcodes = numbered_lines(spark, _first_existing(spark, folder, ["barcodes.tsv.gz", "barcodes.tsv"])).select(
         F.col("line").alias("col"), F.split("value", "\t")[0].alias("barcode"))
+    header = body.where((F.col("_start") == 0) & (F.col("_order") == size_line)).select(
+        *(part[k].cast("long").alias(c) for k, c in enumerate(["rows", "cols", "entries"])))
+    found = entries.agg(
+        F.count(F.lit(1)).alias("entries"), F.min("row").alias("low_row"), F.max("row").alias("high_row"),
+        F.min("col").alias("low_col"), F.max("col").alias("high_col")).first()
+    want = header.first()
+    given = (listed.count(), barcodes.count(), found["entries"])
+    if want is None or tuple(want) != given:
+        raise ValueError(f"the matrix header says {want and tuple(want)}, the files hold {given}")
+    if given[2] and not (found["low_row"] >= 1 and found["high_row"] <= given[0] and found["low_col"] >= 1 and found["high_col"] <= given[1]):
+        raise ValueError("the matrix has indices outside its dictionaries")
     name = "feature_id" if gene_column == 1 else "feature_name"
     return entries.join(features, "row").join(barcodes, "col").where("n > 0").select(
         "barcode", "feature_id", F.col(name).alias("gene"), "n")
