@@ -101,6 +101,10 @@ def near_join(
     return pairs.where(F.col("d2") <= square + F.greatest(F.lit(1.0), square) * (16 * EPS))
 
 
+# Parts into which the senders of a crowded place are split.
+PLACE_SALTS = 16
+
+
 def strict_near_join(
     senders: DataFrame,
     receivers: DataFrame,
@@ -140,10 +144,14 @@ def strict_near_join(
     neighbours = near_join(
         spots, r_spots, place_on, widest, dims, strict=True
     ).drop("d2")
+    # Senders of one place are split, and its receivers copied to each part, so that two crowded places
+    # meet in several tasks.
+    salted = s_hot.withColumn("_salt", F.pmod(F.xxhash64(*s_hot.columns), F.lit(PLACE_SALTS)))
+    copied = r_hot.drop(*[c for c in r_hot.columns if c in s_hot.columns and c not in on]).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACE_SALTS - 1).cast("long"))))
     hot_pairs = (
-        s_hot.join(neighbours, s_place)
-        .join(r_hot.drop(*[c for c in r_hot.columns if c in s_hot.columns and c not in on]),
-              [*on, *[f"r_{d}" for d in dims]])
+        salted.join(neighbours, s_place)
+        .join(copied, [*on, *[f"r_{d}" for d in dims], "_salt"])
         .withColumn("d2", squared_distance(dims))
         .where(F.sqrt("d2") <= span)
     )

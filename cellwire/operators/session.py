@@ -26,6 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the tables that ``materialize`` has written and nobody has dropped, oldest first.
+_TABLES: list[str] = []
+
+
+def stored_tables() -> list[str]:
+    return list(_TABLES)
+
+
+def drop_tables(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete stored tables (all of them by default); frames that read them must not be used any more."""
+    for path in stored_tables() if paths is None else paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the table to the shared folder once and read it back.
 
@@ -34,6 +51,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cellwire-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,11 +9,11 @@ from cellwire.operators import validation as va
 from cellwire.queries import domain as d
 from cellwire.queries.registry import q6, query, r6, with_
 
-# Two record sets per (brand, type, line): scores of two halves of the order lines.
+# Two record sets per (brand, type, line): scores of the two halves of all order lines, by order.
 SIDE = """side_{flag} AS (SELECT p_brand AS sender_group, p_type AS receiver_group, 'I' || CAST(l_suppkey % 40 AS VARCHAR) AS interaction_name,
   round(avg(l_extendedprice) / 1e5, 9) AS probability, round((count(*) % 12) / 100.0, 9) AS pvalue FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE l_returnflag = '{flag}' GROUP BY 1, 2, 3 HAVING count(*) > {least})"""
-LEFT, RIGHT = SIDE.format(flag="A", least=1), SIDE.format(flag="R", least=2)
+  WHERE l_orderkey % 2 = {half} GROUP BY 1, 2, 3 HAVING count(*) > {least})"""
+LEFT, RIGHT = SIDE.format(flag="A", half=0, least=1), SIDE.format(flag="R", half=1, least=2)
 PAIRS = """pairs AS (SELECT coalesce(a.sender_group, b.sender_group) AS sender_group, coalesce(a.receiver_group, b.receiver_group) AS receiver_group,
   coalesce(a.interaction_name, b.interaction_name) AS interaction_name, a.probability AS pl, b.probability AS pr, a.pvalue AS vl, b.pvalue AS vr,
   CASE WHEN a.sender_group IS NULL THEN 'right_only' WHEN b.sender_group IS NULL THEN 'left_only' ELSE 'both' END AS side
@@ -21,9 +21,9 @@ PAIRS = """pairs AS (SELECT coalesce(a.sender_group, b.sender_group) AS sender_g
 BASE = (LEFT, RIGHT, PAIRS)
 
 
-def side(spark, folder, flag, least):
+def side(spark, folder, half, least):
     line, part = d.table(spark, folder, "lineitem"), d.table(spark, folder, "part")
-    return line.where(F.col("l_returnflag") == flag).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+    return line.where(F.col("l_orderkey") % 2 == half).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.col("p_brand").alias("sender_group"), F.col("p_type").alias("receiver_group"),
         F.concat(F.lit("I"), (F.col("l_suppkey") % 40).cast("string")).alias("interaction_name"),
     ).agg(F.round(F.avg("l_extendedprice") / 1e5, 9).alias("probability"),
@@ -31,7 +31,7 @@ def side(spark, folder, flag, least):
 
 
 def sides(spark, folder):
-    return side(spark, folder, "A", 1), side(spark, folder, "R", 2)
+    return side(spark, folder, 0, 1), side(spark, folder, 1, 2)
 
 
 def pairs(spark, folder):

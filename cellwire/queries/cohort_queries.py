@@ -352,9 +352,8 @@ MESSAGES = """msg AS (SELECT CASE l_linenumber WHEN 1 THEN 'Hessian: 1 negative
   WHEN contains(message, 'max|grad|') AND contains(message, 'very large eigenvalue') THEN 'gradient_and_scale_warning' WHEN contains(message, 'max|grad|') THEN 'gradient_warning'
   WHEN contains(message, 'very large eigenvalue') THEN 'scale_warning' ELSE 'other' END AS convergence_class, count(*) AS features FROM msg WHERE message <> '' GROUP BY 1""")
 def c15_messages(spark, folder):
-    d.table(spark, folder, "lineitem").createOrReplaceTempView("_message_lines")
-    expr = MESSAGES.replace("msg AS (", "").rsplit(")", 1)[0].replace("FROM lineitem", "FROM _message_lines")
-    return co.classify_messages(spark.sql(expr), "message")
+    expr = MESSAGES.replace("msg AS (", "").rsplit(")", 1)[0].replace("FROM lineitem", "FROM {lines}")
+    return co.classify_messages(spark.sql(expr, lines=d.table(spark, folder, "lineitem")), "message")
 
 
 @query("c16_hit_overlap", with_(*MODELS, """j AS (SELECT p.status AS ps, r.status AS rs, p.estimate AS pe, r.estimate AS re, p.status = 'ok' AND p.q_value < 0.05 AS hp, r.status = 'ok' AND r.q_value < 0.05 AS hr FROM mp p JOIN mr r USING (feature_id)),

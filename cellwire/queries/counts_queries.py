@@ -180,10 +180,9 @@ def w8_best(spark, folder):
 @query("w9_region_crop", with_(*CC, d.POSITIONS, WINDOWS, BEST) + """SELECT p.* FROM positions p, best b WHERE rank = 1
   AND array_row BETWEEN row_start * 4 AND row_start * 4 + 7 AND array_col BETWEEN col_start * 4 AND col_start * 4 + 11""")
 def w9(spark, folder):
-    best = regions(spark, folder).where("rank = 1").first()
-    if best is None:
-        return d.positions(spark, folder).where("false")
-    return ct.crop_region(d.positions(spark, folder), best["row_start"], best["col_start"], 2, 3, 4)
+    best = regions(spark, folder).where("rank = 1")
+    start = [best.select(c).scalar() for c in ("row_start", "col_start")]
+    return ct.crop_region(d.positions(spark, folder), *start, 2, 3, 4)
 
 
 # ---- mixtures ---------------------------------------------------------------------------------
@@ -351,14 +350,14 @@ def a27_status(spark, folder):
         "status", F.col("dominant_type").isNotNull().alias("labelled")).agg(F.count("*").alias("bins"))
 
 
-HALVES = """ga AS (SELECT 'f' || CAST(l_suppkey % 60 AS VARCHAR) AS gene, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
-gb AS (SELECT 'f' || CAST(l_suppkey % 70 AS VARCHAR) AS gene, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
+HALVES = """ga AS (SELECT 'f' || CAST(l_suppkey % 60 AS VARCHAR) AS gene, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
+gb AS (SELECT 'f' || CAST(l_suppkey % 70 AS VARCHAR) AS gene, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1)"""
 
 
 def halves(spark, folder):
     out = []
-    for flag, m in (("A", 60), ("R", 70)):
-        out.append(d.table(spark, folder, "lineitem").where(F.col("l_returnflag") == flag).select(
+    for half, m in ((0, 60), (1, 70)):
+        out.append(d.table(spark, folder, "lineitem").where(F.col("l_orderkey") % 2 == half).select(
             F.concat(F.lit("f"), (F.col("l_suppkey") % m).cast("string")).alias("gene"), F.col("l_quantity").cast("long").alias("n")))
     return out
 
