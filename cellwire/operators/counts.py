@@ -213,7 +213,7 @@ def best_regions(
 
 
 def crop_region(positions: DataFrame, row_start: int, col_start: int, rows: int, cols: int, factor: int) -> DataFrame:
-    """Positions inside a physical rectangle given in blocks of ``factor`` bins."""
+    """Positions inside a physical rectangle given in blocks of ``factor`` bins; the start may be a column."""
     return positions.where(
         F.col("array_row").between(row_start * factor, (row_start + rows) * factor - 1)
         & F.col("array_col").between(col_start * factor, (col_start + cols) * factor - 1))
