@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwire.llm.common import components
-from cellwire.llm.multi_index import _joined
+from cellwire.llm.common import components, joined
 from cellwire.llm.relative_lz import _words
 from cellwire.llm.repeats import gram_hashes, mixed
 from cellwire.operators.session import materialize
@@ -120,7 +119,7 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     """Each id that is joined to a smaller one, with the smallest it reaches."""
     distinct, where = np.unique(ids, return_inverse=True)
-    root = distinct[_joined(len(distinct), where[a], where[b])]
+    root = distinct[joined(len(distinct), where[a], where[b])]
     off = root != distinct
     return pd.DataFrame({"u": distinct[off], "v": root[off]})
 
@@ -219,10 +218,10 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         _blocks(large, "bucket", "size", 2 * BLOCK).join(tokens, "rep").groupBy("bucket", "low", "high")
         .applyInPandas(search_blocks, "u long, v long")
     )
-    joined = components(met)
-    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
+    grouped = components(met)
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
     plan = materialize(
-        joined.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("bucket"), "size")
+        grouped.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("bucket"), "size")
         .join(unique.select("rep", "weight"), "rep")
     )
     # The texts of the joined sets' representatives, once; each goes to the tasks that verify its group.
@@ -239,7 +238,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     def outcome(ids: np.ndarray, links: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         distinct, where = np.unique(ids, return_inverse=True)
-        root = distinct[_joined(len(distinct), where[a], where[b])]
+        root = distinct[joined(len(distinct), where[a], where[b])]
         out = pd.DataFrame({"u": ids, "v": root[where], "links": links})
         return out[(out["links"] > 0) | (out["u"] != out["v"])]
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ def text_of(column) -> list[str]:
     return [t if isinstance(t, str) else "" for t in column]
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position reachable from each of ``n`` positions through the pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: (node, component), component = smallest node reachable.
 

@@ -5,20 +5,42 @@ of ``documents``. Rows that share a doc_id are taken for one document and stay o
 """
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwire.llm import chosen_path, langid, packing, prefix_free
-from cellwire.operators.session import materialize
+from cellwire.operators.session import drop_tables, materialize, stored_tables
+
+# Tables that the last stage stored for itself. Its result is written when the next stage begins.
+_LEFT: list[str] = []
+
+
+def _stage(work):
+    """A stage that first deletes what the stage before it stored on the way."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _LEFT)
+        _LEFT.clear()
+        before = set(stored_tables())
+        out = work(spark, docs, sf_dir)
+        _LEFT.extend(t for t in stored_tables() if t not in before)
+        return out
+
+    return run_stage
 
 
+@_stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; texts that are null or have no letter go."""
     label = langid.language(langid.fit(docs), spark)
     return docs.where(label("text").getField("lang_pred") != langid.UNKNOWN)
 
 
+@_stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; documents without an id stay."""
     kept = chosen_path.similar(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
@@ -26,11 +48,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return with_id.unionByName(docs.where("doc_id IS NULL"))
 
 
+@_stage
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that start in a document of smaller id."""
     return prefix_free.deduplicated(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 2048 tokens."""
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
