@@ -3,7 +3,7 @@
 Each text gives itself and its lines as units. A unit whose number of bigrams lies outside the bounds
 that the threshold sets for every template cannot match and is dropped before its bigrams are spread.
 The rest meet the templates through an inverted index of template bigrams, a table of fixed size.
-Everything is SQL functions.
+Bounds on the number of words spare the bigrams of most whole texts. Everything is SQL functions.
 """
 from __future__ import annotations
 
@@ -29,20 +29,21 @@ TEMPLATES = {
 }
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct bigrams of the words of a text: runs of ASCII letters and digits, in lower case."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
-    return F.array_distinct(F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    ))
+def words(text: Column) -> Column:
+    """The normalised words of a text: runs of ASCII letters and digits of the text in lower case."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def bigrams(own: Column) -> Column:
+    """64-bit hashes of the distinct pairs of neighbouring words."""
+    n = F.greatest(F.size(own) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(own, 1, n), F.slice(own, 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, size, bigram): one row per template and distinct bigram."""
     rows = spark.createDataFrame(list(templates.items()), "license string, template string")
-    rows = rows.select("license", bigrams(F.col("template")).alias("own"))
+    rows = rows.select("license", bigrams(words(F.col("template"))).alias("own"))
     return rows.select("license", F.size("own").alias("size"), F.explode("own").alias("bigram"))
 
 
@@ -64,12 +65,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             fits = fits | F.size(own).between(size / ratio - 1e-9, size * ratio + 1e-9)
         return fits
 
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    parts = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(lines)
-    units = read.select("doc_id", F.posexplode(parts).alias("unit", "part"))
-    # Filtering a one-element array keeps the bigrams from being computed once per bound.
-    units = units.select("doc_id", "unit", F.explode(F.filter(F.array(bigrams(F.col("part"))), possible)).alias("own"))
+    low, high = min(sizes, default=0) / ratio, max(sizes, default=0) * ratio
+
+    def bounded(own: Column) -> Column:
+        # A unit has at most as many bigrams as words and, up to one, at least as many as distinct words.
+        return (F.size(own) > low - 1e-9) & ((F.size(own) <= high + 1) | (F.size(F.array_distinct(own)) <= high + 1))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words)
+    # Filtering a one-element array names a value, so that it is computed once.
+    parts = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 1, F.concat(F.array(F.flatten(x)), x)).otherwise(x))[0]
+    numbered = F.filter(F.transform(parts, lambda own, unit: F.struct(unit.alias("unit"), own.alias("own"))), lambda u: bounded(u["own"]))
+    units = docs.select("doc_id", F.explode(numbered).alias("u")).select("doc_id", F.col("u.unit").alias("unit"), F.col("u.own").alias("words"))
+    units = units.select("doc_id", "unit", F.explode(F.filter(F.array(bigrams(F.col("words"))), possible)).alias("own"))
     spread = units.select("doc_id", "unit", F.size("own").alias("n"), F.explode("own").alias("bigram"))
     joined = spread.join(F.broadcast(table), "bigram").where(
         (F.col("n") >= F.col("size") / ratio - 1e-9) & (F.col("n") <= F.col("size") * ratio + 1e-9)
