@@ -4,7 +4,7 @@ A rolling hash of ``gram`` symbols runs over each document. The smallest hash in
 window's trigger, so equal windows have equal triggers at equal offsets, and consecutive windows of
 one trigger form a phrase, at most ``2 * window - gram`` symbols long. Triggers cut documents into
 phrases the same way wherever a passage stands, and the distinct phrases are a small dictionary of a
-repetitive corpus. One lazy plan of three exchanges over the documents' chunks and two over buckets:
+repetitive corpus. Whole copies of a document are told by digests first. One lazy plan of three exchanges over the documents' chunks and two over buckets:
 
 1. a chunk of documents sends the hashes of its triggers to buckets (40 bits each, once per chunk);
 2. a bucket answers which of them other chunks hold too (one bit each);
@@ -19,6 +19,7 @@ have 64 bits, and windows of different phrases are compared by ``resolve``.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwire.operators.session import materialize
+
 WINDOW = 50
 POSITION_BITS = 28
 NO_ID = np.iinfo(np.int64).max
@@ -172,19 +175,42 @@ def repeats(
     chunks = int(max(1, total >> 23, min(200, total >> 18)))
     bits = max(6, int(total >> 24).bit_length())
     size = np.dtype(kind).itemsize
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(chunks)).cast("int"))
+    chunk_of = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(chunks)).cast("int")
+    # Whole copies of a document of smaller id need no search: all their windows start there. Digests
+    # find them, and each chunk learns of its own as packed rows of ids and digests.
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.conv(F.substring(F.sha2("raw", 256), 1, 15), 16, 10).cast("long").alias("digest"), F.octet_length("raw").alias("size"))
+    named = named.where(F.col("size") >= window)
+    shared_texts = named.groupBy("digest", "size").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copied = named.join(shared_texts, ["digest", "size"]).where("id > least").select("id", "digest")
+    known = materialize(
+        copied.groupBy(chunk_of.alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("id", "digest")).alias("rows"))
+        .select("chunk", F.col("rows.id").alias("copy_ids"), F.col("rows.digest").alias("copy_digests"))
+    )
+    dealt = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("chunk", chunk_of).drop("id")
     mask = np.uint64((1 << 40) - 1)
 
-    def phrases(batch: pd.DataFrame) -> Phrases:
-        return Phrases([parse(r) for r in batch["raw"]], hashes, window, gram, 40 + bits)
+    def phrases(batch: pd.DataFrame, right: pd.DataFrame) -> tuple[Phrases, list[np.ndarray], list[bool]]:
+        """The phrases of a chunk without its copies, the symbols of all its rows, and which are copies."""
+        listed = {}
+        for some, digests in zip(right["copy_ids"], right["copy_digests"], strict=True):
+            for i, d in zip(some if some is not None else [], digests if some is not None else [], strict=True):
+                listed.setdefault(int(i), set()).add(int(d))
+        parsed = [parse(r) for r in batch["raw"]]
+        copy = [
+            i in listed and len(r) >= window and int(hashlib.sha256(r).hexdigest()[:15], 16) in listed[i]
+            for i, r in zip(ids_of(batch).tolist(), batch["raw"], strict=True)
+        ]
+        return Phrases([x[:0] if c else x for x, c in zip(parsed, copy, strict=True)], hashes, window, gram, 40 + bits), parsed, copy
 
     def ids_of(batch: pd.DataFrame) -> np.ndarray:
         return np.array([NO_ID if pd.isna(i) else int(i) for i in batch["doc_id"]], np.int64)
 
-    def triggers(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        distinct = np.unique(phrases(batch).trigger)
+    def triggers(batch: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch):
+            return pd.DataFrame([], columns=["bucket", "chunk", "keys"])
+        distinct = np.unique(phrases(batch, right)[0].trigger)
         rows = [
-            (bucket, int(key[0]), (distinct[a:b] & mask).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            (bucket, int(batch["chunk"].iloc[0]), (distinct[a:b] & mask).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             for bucket, a, b in _split(distinct >> np.uint64(40))
         ]
         return pd.DataFrame(rows, columns=["bucket", "chunk", "keys"])
@@ -206,7 +232,7 @@ def repeats(
     def marked(p: Phrases, marks: pd.DataFrame) -> np.ndarray | None:
         distinct = np.unique(p.trigger)
         out = np.zeros(len(distinct), bool)
-        of = dict(zip(marks["bucket"], marks["marks"], strict=True))
+        of = {b: m for b, m in zip(marks["bucket"], marks["marks"], strict=True) if m is not None}
         for bucket, a, b in _split(distinct >> np.uint64(40)):
             if bucket in of:
                 out[a:b] = np.unpackbits(np.frombuffer(of[bucket], np.uint8), count=b - a).astype(bool)
@@ -216,7 +242,7 @@ def repeats(
         columns = ["bucket", "chunk", "marks", "head", "ids", "counts", "symbols"]
         if not len(batch):
             return pd.DataFrame([], columns=columns)
-        p, ids = phrases(batch), ids_of(batch)
+        (p, _, _), ids = phrases(batch, marks), ids_of(batch)
         p.repeated(ids, marked(p, marks))
         of = dict(zip(marks["bucket"], marks["marks"], strict=True))
         rows, chunk = [], int(batch["chunk"].iloc[0])
@@ -273,14 +299,14 @@ def repeats(
     def applied(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return finish(batch, [], [])
-        ids, p = ids_of(batch), phrases(batch)
+        ids, (p, parsed, copy) = ids_of(batch), phrases(batch, answers)
         p.repeated(ids, marked(p, answers))
         change = np.zeros(len(p.flat) + 1, np.int64)
         if len(p.one):
             least = np.empty(len(p.one), np.int64)
             various = np.zeros(len(p.one), bool)
             each, each_at = [], np.zeros(len(p.one), np.int64)
-            of = {b: row for b, *row in answers[["bucket", "least", "mixed", "each"]].itertuples(index=False)}
+            of = {b: row for b, *row in answers[["bucket", "least", "mixed", "each"]].itertuples(index=False) if row[0] is not None}
             offset = 0
             for bucket, a, b in _split(p.trigger[p.one] >> np.uint64(40)):
                 low, flags, values = of[bucket]
@@ -308,15 +334,16 @@ def repeats(
                 np.add.at(change, at + window, -1)
         removed = np.cumsum(change[:-1]) > 0
         cut = [removed[a:a + n] for a, n in zip(p.starts, p.lengths, strict=True)]
-        return finish(batch, [p.flat[a:a + n] for a, n in zip(p.starts, p.lengths, strict=True)], cut)
+        cut = [np.full(len(x), len(x) >= window) if c else r for x, c, r in zip(parsed, copy, cut, strict=True)]
+        return finish(batch, parsed, cut)
 
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.applyInPandas(triggers, "bucket int, chunk int, keys binary")
+    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInPandas(triggers, "bucket int, chunk int, keys binary")
     both = sent.groupBy("bucket").applyInPandas(shared, "bucket int, chunk int, marks binary")
-    phrases_sent = by_chunk.cogroup(both.groupBy("chunk")).applyInPandas(
+    phrases_sent = by_chunk.cogroup(both.unionByName(known, allowMissingColumns=True).groupBy("chunk")).applyInPandas(
         dictionary, "bucket int, chunk int, marks binary, head binary, ids binary, counts binary, symbols binary"
     )
     answers = phrases_sent.groupBy("bucket").applyInPandas(
         solved, "bucket int, chunk int, marks binary, least binary, mixed binary, each binary"
     )
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(applied, schema)
+    return by_chunk.cogroup(answers.unionByName(known, allowMissingColumns=True).groupBy("chunk")).applyInPandas(applied, schema)
