@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwire.llm.common import components
+from cellwire.llm.common import components, joined
 from cellwire.llm.vectors import BLOCK, dealt, matrix, valid_vectors
 from cellwire.operators.session import materialize
 
 # Rows the codebooks and the visiting bound are fitted on.
 SAMPLE = 4096
-RECALL = 0.9999
+# Share of the partners at exactly the threshold that one side meets; a pair is found if either side meets the other.
+RECALL = 0.99
 MAX_WORDS = 512
 
 
@@ -64,7 +65,7 @@ class Grid:
         i, j = self.cells(moved)
         rows = np.arange(len(unit))
         reached = first[rows, i] + second[rows, j]
-        self.bound = float(np.quantile(reached, recall)) * 1.25 + 1e-12
+        self.bound = float(np.quantile(reached, recall)) + 1e-12
 
     def _halves(self, unit: np.ndarray) -> list[np.ndarray]:
         return [unit[:, : self.cut], unit[:, self.cut:]]
@@ -109,20 +110,6 @@ class Grid:
         return rows[order], cells[order]
 
 
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest position reachable from each of ``n`` positions through the pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked(
     vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK,
 ) -> DataFrame:
@@ -139,7 +126,7 @@ def linked(
     # Equal vectors are one row: its smallest id and how many there are.
     unique = materialize(valid.groupBy("dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     n = unique.count()
-    words = int(np.clip(round((n / 128) ** 0.5), 2, MAX_WORDS))
+    words = int(np.clip(round((n / 256) ** 0.5), 2, MAX_WORDS))
     grids = {}
     for row in unique.select("dim").distinct().collect():  # one per vector length
         some = unique.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").toPandas()
@@ -202,7 +189,7 @@ def linked(
             pairs.append((rows, cols))
         ids = np.unique(np.concatenate([x_id, y_id]))
         rows, cols = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        root = ids[_joined(len(ids), np.searchsorted(ids, y_id[rows]), np.searchsorted(ids, x_id[cols]))]
+        root = ids[joined(len(ids), np.searchsorted(ids, y_id[rows]), np.searchsorted(ids, x_id[cols]))]
         out = pd.DataFrame({"u": np.r_[y_id, x_id], "links": np.r_[y_links, x_links]})
         out["v"] = root[np.searchsorted(ids, out["u"].to_numpy())]
         return out[(out["links"] > 0) | (out["u"] != out["v"])][["u", "v", "links"]]
@@ -213,9 +200,9 @@ def linked(
         .applyInPandas(meet, "u long, v long, links long")
     )
     links = met.groupBy("u").agg(F.sum("links").alias("links"))
-    joined = components(met.select("u", "v"))
+    classes_of = components(met.select("u", "v"))
     classes = (
-        unique.join(links, unique["rep"] == links["u"], "left").join(joined, unique["rep"] == joined["node"], "left")
+        unique.join(links, unique["rep"] == links["u"], "left").join(classes_of, unique["rep"] == classes_of["node"], "left")
         .select("dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
