@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cellwire.llm.vectors import BLOCK, dealt, matrix, sequential_dot, valid_vectors
 
 LEAF = 512
+# Queries that go down a tree together; bounds the candidates held at once where all rows tie.
+QUERIES = 512
 # Fraction of the k-th distance beyond which a shell is left out; 1 restores exact search.
 FACTOR = 1.0
 
@@ -50,36 +52,56 @@ class Tree:
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and row numbers of the ``k`` best rows of each query, -1 where there are fewer."""
+        return self._visited(queries, k, factor)[:2]
+
+    def candidates(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row), sorted by query, of every row that is not below the query's k-th best score by more than rounding."""
+        return self._visited(queries, k, factor)[2:]
+
+    def _visited(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, ...]:
         n = len(queries)
         scores = np.full((n, k), -np.inf)
         found = np.full((n, k), -1, np.int64)
-        reach = np.full(n, np.inf)
+        reach, least = np.full(n, np.inf), np.full(n, -np.inf)
         squares = np.einsum("ij,ij->i", queries, queries) + self.top
+        # Above the rounding of a squared distance or of twice a score, whatever the order of summing; ``close`` is the part of squares.
+        close = 16 * (self.rows.shape[1] + 4) * np.finfo(np.float64).eps
+        slack = close * squares
+        met = []
 
         def visit(node, asked: np.ndarray) -> None:
             if not len(asked):
                 return
             if isinstance(node, np.ndarray):
-                s = np.hstack([scores[asked], queries[asked] @ self.rows[node].T])
+                own = queries[asked] @ self.rows[node].T
+                s = np.hstack([scores[asked], own])
                 r = np.hstack([found[asked], np.broadcast_to(node, (len(asked), len(node)))])
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 scores[asked] = np.take_along_axis(s, best, 1)
                 found[asked] = np.take_along_axis(r, best, 1)
-                reach[asked] = factor * np.sqrt(np.maximum(squares[asked] - 2 * scores[asked].min(axis=1), 0)) + 1e-9
+                least[asked] = scores[asked].min(axis=1) - slack[asked]
+                reach[asked] = factor * np.sqrt(np.maximum(squares[asked] - 2 * least[asked] + slack[asked], 0))
+                i, j = np.nonzero(own >= least[asked][:, None])
+                met.append((asked[i], node[j], own[i, j]))
                 return
             at, inner, outer, far, inside, outside = node
-            d = np.sqrt(np.maximum(squares[asked] - 2 * (queries[asked] @ self.rows[at]), 0))
-            near = d <= (inner + outer) / 2
+            d = squares[asked] - 2 * (queries[asked] @ self.rows[at])
+            # The distance lies between both; a shell goes only if it is beyond the reach in any case.
+            low, high = np.sqrt(np.maximum(d - slack[asked], 0)), np.sqrt(np.maximum(d, 0) + slack[asked])
+            near = high <= (inner + outer) / 2
             visit(inside, asked[near])
             visit(outside, asked[~near])
             # The other side, for those whose reach meets its shell by now.
-            left, dl = asked[near], d[near]
-            visit(outside, left[(outer - dl <= reach[left])])
-            left, dl = asked[~near], d[~near]
-            visit(inside, left[dl - inner <= reach[left]])
+            left = asked[near]
+            visit(outside, left[~(outer * (1 - close) - high[near] > reach[left])])
+            left = asked[~near]
+            visit(inside, left[~(low[~near] - inner * (1 + close) > reach[left])])
 
         visit(self.root, np.arange(n))
-        return scores, found
+        query, row, own = (np.concatenate(c) for c in zip(*met)) if met else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kept = np.flatnonzero(own >= least[query])
+        kept = kept[np.argsort(query[kept], kind="stable")]
+        return scores, found, query[kept], row[kept]
 
 
 def nearest(
@@ -110,16 +132,18 @@ def nearest(
         x, where = np.unique(x, axis=0, return_inverse=True)
         order = np.lexsort((ids, where.ravel()))
         starts = np.searchsorted(where.ravel()[order], np.arange(len(x) + 1))
-        want = min(k + 4, len(x))
-        scores, found = Tree(x).search(q, want, factor)
-        out = []
-        for i in range(len(q)):
-            rows = found[i][found[i] >= 0]
-            some = np.concatenate([order[starts[r]:min(starts[r + 1], starts[r] + k + 1)] for r in rows])
-            some = some[ids[some] != query_ids[i]]
-            exact = sequential_dot(x[where.ravel()[some]], np.broadcast_to(q[i], (len(some), q.shape[1])))
-            best = np.lexsort((ids[some], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[some][best], "score": exact[best]}))
+        tree, out = Tree(x), []
+        # One of k + 1 different vectors may be the query's own, so k candidates are among them; all rows that tie with the last stay.
+        want = min(k + 1, len(x))
+        for at in range(0, len(q), QUERIES):
+            query, row = tree.candidates(q[at:at + QUERIES], want, factor)
+            ends = np.searchsorted(query, np.arange(len(q[at:at + QUERIES]) + 1))
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True), at):
+                some = np.concatenate([order[starts[r]:min(starts[r + 1], starts[r] + k + 1)] for r in row[a:b]])
+                some = some[ids[some] != query_ids[i]]
+                exact = sequential_dot(x[where.ravel()[some]], np.broadcast_to(q[i], (len(some), q.shape[1])))
+                best = np.lexsort((ids[some], -exact))[:k]
+                out.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[some][best], "score": exact[best]}))
         return pd.concat(out, ignore_index=True)
 
     met = left.groupBy("dim", "part", "ask").cogroup(right.groupBy("dim", "part", "ask")).applyInPandas(

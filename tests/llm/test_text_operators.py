@@ -219,6 +219,27 @@ def test_vantage_point_pruning():
     assert (np.sort(-scores, axis=1) <= want[:, -1:] + 1e-9).mean() > 0.9
 
 
+def test_vantage_points_among_ties(spark):
+    """Many different vectors of one inner product: the smallest ids of them, also far from the origin."""
+    rng = np.random.default_rng(9)
+    rows = np.unique([rng.permutation([1.0] * 6 + [0.0] * 10) for _ in range(1500)], axis=0)[rng.permutation(1200)]
+    data = [(int(k), v.tolist()) for k, v in zip(rng.permutation(1200), rows, strict=True)]
+    table = spark.createDataFrame([*data, (5000, [1.0] * 16), (5001, [1.0] * 8 + [0.0] * 8)], "vec_id long, embedding array<double>")
+    live = {r["vec_id"]: np.array(r["embedding"]) for r in table.collect()}
+    got = {}
+    for r in vp_tree.nearest(table, table.where("vec_id >= 5000 OR vec_id < 20"), k=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {*range(20), 5000, 5001}
+    for i, mine in got.items():
+        near = sorted((-float(live[i] @ w), j) for j, w in live.items() if j != i)[:7]
+        assert sorted(mine) == [(k + 1, j, -s) for k, (s, j) in enumerate(near)]
+    for scale in (1.0, 1e8):
+        x = (rows + 3) * scale
+        query, row = vp_tree.Tree(x, leaf=16).candidates(x[:40], 5, 1.0)
+        s = x[:40] @ x.T
+        assert {*zip(query, row)} >= {*zip(*np.nonzero(s >= np.sort(s, axis=1)[:, -5:-4]))}
+
+
 def brute_windows(rows, split):
     sequences = [(i if i is not None else 1 << 62, split(t or "")) for i, t, _ in rows]
     first = {}
