@@ -23,7 +23,7 @@ from cellwire.operators.session import materialize
 # Rows the codebooks and the visiting bound are fitted on.
 SAMPLE = 4096
 # Share of the partners at exactly the threshold that one side meets; a pair is found if either side meets the other.
-RECALL = 0.99
+RECALL = 0.9999
 MAX_WORDS = 512
 
 
@@ -65,7 +65,7 @@ class Grid:
         i, j = self.cells(moved)
         rows = np.arange(len(unit))
         reached = first[rows, i] + second[rows, j]
-        self.bound = float(np.quantile(reached, recall)) + 1e-12
+        self.bound = float(np.quantile(reached, recall)) * 1.25 + 1e-12
 
     def _halves(self, unit: np.ndarray) -> list[np.ndarray]:
         return [unit[:, : self.cut], unit[:, self.cut:]]
@@ -146,21 +146,23 @@ def linked(
                 for at in range(0, len(part), 1024):
                     few = part.iloc[at:at + 1024]
                     rows, cells = shared.value[dim].visits(_unit(matrix(few["vec"])))
-                    yield few.iloc[rows].assign(cell=cells)
+                    ends = np.searchsorted(rows, np.arange(len(few) + 1))
+                    yield few.assign(cells=[cells[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     schema = "dim int, vec array<float>, rep long, weight long"
     read = unique.select("dim", F.col("vec").cast("array<float>").alias("vec"), "rep", "weight")
     if dict(valid.dtypes)["vec"] != "array<float>":
         schema, read = schema.replace("float", "double"), unique.select("dim", F.col("vec").cast("array<double>").alias("vec"), "rep", "weight")
     listed = materialize(read.mapInPandas(list_cells, f"{schema}, cell long"))
-    visits = materialize(read.mapInPandas(list_visits, f"{schema}, cell long"))
+    # A vector with the list of its cells: copies of it are made only on the way to the cells.
+    visits = materialize(read.mapInPandas(list_visits, f"{schema}, cells array<long>"))
     size = listed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
-    asks = visits.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("asks"))
+    asks = visits.select("dim", F.explode("cells").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).alias("asks"))
     plan = materialize(size.join(asks, ["dim", "cell"]))
     left = listed.join(plan, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn(
         "ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))
     )
-    right = visits.join(plan, ["dim", "cell"]).withColumn("ask", F.pmod(F.xxhash64("rep"), F.col("asks"))).withColumn(
+    right = visits.withColumn("cell", F.explode("cells")).drop("cells").join(plan, ["dim", "cell"]).withColumn("ask", F.pmod(F.xxhash64("rep"), F.col("asks"))).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     )
     columns = ["dim", "cell", "part", "ask", "rep", "weight", "vec"]

@@ -189,6 +189,28 @@ def test_multi_index_recall_in_blocks(spark):
     assert 0.99 * want <= got <= want
 
 
+def test_multi_index_recall_at_the_threshold():
+    """Partners at exactly the threshold, moved anywhere or towards other vectors (so across borders), against the default bound."""
+    rng = np.random.default_rng(3)
+    unit = multi_index._unit(rng.standard_normal((60, 64))[rng.integers(0, 60, 8192)] + 0.7 * rng.standard_normal((8192, 64)))
+    grid = multi_index.Grid(unit[:4096], 14, 0.9, multi_index.RECALL)
+    own = unit[4096:]
+
+    def met(way):
+        way = way - (way * own).sum(1)[:, None] * own
+        other = 0.9 * own + np.sqrt(1 - 0.81) * multi_index._unit(way)
+        sides = []
+        for x, y in ((own, other), (other, own)):
+            (first, second), (i, j) = grid.margins(x), grid.cells(y)
+            sides.append(first[np.arange(len(x)), i] + second[np.arange(len(x)), j] <= grid.bound)
+        return sides
+
+    one, other = met(rng.standard_normal(own.shape))
+    assert one.mean() >= 0.999 and (one | other).all()
+    one, other = met(own[rng.permutation(len(own))])
+    assert (one | other).mean() >= 0.999
+
+
 def test_vantage_points(spark):
     rows, table = vectors(spark)
     asked = table.where("vec_id % 5 = 0 OR vec_id > 199")
