@@ -13,6 +13,10 @@ repetitive corpus. Whole copies of a document are told by digests first. One laz
    gives each the smallest document that holds it (``resolve``, the operators' own step);
 5. a chunk marks the windows whose smallest document is below their own.
 
+A trigger with more than ``HOT`` different phrases (the ends of a line that stands between different
+neighbours) goes another way from step 3 on: its windows are dealt by their own hashes, so that its
+phrases never meet in one task; one entry per chunk and different window.
+
 Rows are arrays packed per (chunk, bucket), so a passage in every document is one entry per chunk.
 Chunks and buckets follow the size of the text. Hashes only choose candidates and name phrases: they
 have 64 bits, and windows of different phrases are compared by ``resolve``.
@@ -33,6 +37,8 @@ WINDOW = 50
 POSITION_BITS = 28
 NO_ID = np.iinfo(np.int64).max
 SLICE = 1 << 20
+# Different phrases at one trigger, over all chunks that have more than two of them, above which its windows are dealt one by one.
+HOT = 1024
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S = np.uint64(32)
@@ -123,23 +129,31 @@ class Phrases:
         name = joined(joined(whole[first], whole[first + count - 1]), (count * 64 + where - first).astype(np.uint64))
         return mixed(grams[where]), name, doc[first], first + base, count
 
-    def repeated(self, ids: np.ndarray, marked: np.ndarray | None) -> None:
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct triggers, and how many different phrases each has here."""
+        distinct, where, times = np.unique(self.trigger, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[where] > 2)
+        some = some[np.lexsort((self.name[some], where[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (where[some][1:] != where[some][:-1]) | (self.name[some][1:] != self.name[some][:-1])
+        return distinct, np.maximum(np.bincount(where[some[new]], minlength=len(distinct)), 1)
+
+    def repeated(self, ids: np.ndarray, marked: np.ndarray, hot: np.ndarray) -> None:
         """Keep phrases whose trigger is marked (by position among the distinct ones) or is in two documents here."""
         distinct, where = np.unique(self.trigger, return_inverse=True)
         low = np.full(len(distinct), NO_ID)
         high = np.full(len(distinct), np.iinfo(np.int64).min)
         np.minimum.at(low, where, ids[self.doc])
         np.maximum.at(high, where, ids[self.doc])
-        keep = low != high
-        if marked is not None:
-            keep |= marked
-        keep = keep[where]
+        keep = ((low != high) | marked)[where]
+        hot = hot[where][keep]
         self.trigger, self.name, self.doc, self.at, self.count = (
             x[keep] for x in (self.trigger, self.name, self.doc, self.at, self.count)
         )
         order = np.lexsort((ids[self.doc], self.name, self.trigger))
         first = np.r_[True, (self.trigger[order][1:] != self.trigger[order][:-1]) | (self.name[order][1:] != self.name[order][:-1])] if len(order) else np.zeros(0, bool)
         self.one = order[first]  # one phrase of each kind, with its smallest document
+        self.hot = hot[self.one]
         self.kind = np.empty(len(order), np.int64)
         self.kind[order] = np.cumsum(first) - 1
 
@@ -175,15 +189,16 @@ def repeats(
     chunks = int(max(1, total >> 23, min(200, total >> 18)))
     bits = max(6, int(total >> 24).bit_length())
     size = np.dtype(kind).itemsize
-    chunk_of = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(chunks)).cast("int")
+    # With the text, so that rows of one id are spread too: they don't remove from each other anyway.
+    chunk_of = F.pmod(F.xxhash64("id", "raw", F.lit(11)), F.lit(chunks)).cast("int")
     # Whole copies of a document of smaller id need no search: all their windows start there. Digests
     # find them, and each chunk learns of its own as packed rows of ids and digests.
-    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.conv(F.substring(F.sha2("raw", 256), 1, 15), 16, 10).cast("long").alias("digest"), F.octet_length("raw").alias("size"))
+    named = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).select("id", chunk_of.alias("chunk"), F.conv(F.substring(F.sha2("raw", 256), 1, 15), 16, 10).cast("long").alias("digest"), F.octet_length("raw").alias("size"))
     named = named.where(F.col("size") >= window)
     shared_texts = named.groupBy("digest", "size").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copied = named.join(shared_texts, ["digest", "size"]).where("id > least").select("id", "digest")
+    copied = named.join(shared_texts, ["digest", "size"]).where("id > least").select("id", "digest", "chunk")
     known = materialize(
-        copied.groupBy(chunk_of.alias("chunk"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("id", "digest")).alias("rows"))
+        copied.groupBy("chunk", F.pmod(F.xxhash64("id", "digest"), F.lit(16)).alias("part")).agg(F.collect_list(F.struct("id", "digest")).alias("rows"))
         .select("chunk", F.col("rows.id").alias("copy_ids"), F.col("rows.digest").alias("copy_digests"))
     )
     dealt = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("chunk", chunk_of).drop("id")
@@ -207,56 +222,102 @@ def repeats(
 
     def triggers(batch: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
-            return pd.DataFrame([], columns=["bucket", "chunk", "keys"])
-        distinct = np.unique(phrases(batch, right)[0].trigger)
-        rows = [
-            (bucket, int(batch["chunk"].iloc[0]), (distinct[a:b] & mask).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            for bucket, a, b in _split(distinct >> np.uint64(40))
-        ]
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "keys"])
+            return pd.DataFrame([], columns=["bucket", "chunk", "keys", "kinds"])
+        distinct, kinds = phrases(batch, right)[0].kinds()
+        rows = []
+        for bucket, a, b in _split(distinct >> np.uint64(40)):
+            several = np.flatnonzero(kinds[a:b] > 2)
+            rows.append((
+                bucket, int(batch["chunk"].iloc[0]), (distinct[a:b] & mask).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+                np.stack([several, kinds[a:b][several]]).astype(np.uint32).tobytes(),
+            ))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "kinds"])
 
     def shared(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("chunk")
         counts = [len(k) // 5 for k in batch["keys"]]
+        ends = np.cumsum(counts)
         wide = np.zeros((sum(counts), 8), np.uint8)
         wide[:, :5] = np.frombuffer(b"".join(batch["keys"]), np.uint8).reshape(-1, 5)
         keys = wide.view(np.uint64).ravel()
+        kinds = np.zeros(len(keys), np.int64)
+        for e, n, several in zip(ends, counts, batch["kinds"], strict=True):
+            at, k = np.frombuffer(several, np.uint32).reshape(2, -1)
+            kinds[at.astype(np.int64) + e - n] = k
         order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
+        twice, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         twice[order] = np.r_[False, same] | np.r_[same, False]
-        ends = np.cumsum(counts)
-        rows = [(int(key[0]), c, np.packbits(twice[e - n:e]).tobytes()) for c, e, n in zip(batch["chunk"], ends, counts, strict=True)]
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "marks"])
+        first = np.flatnonzero(np.r_[True, ~same])
+        hot[order] = np.repeat(np.add.reduceat(kinds[order], first) > HOT, np.diff(np.r_[first, len(keys)]))
+        rows = [
+            (int(key[0]), c, np.packbits(twice[e - n:e]).tobytes(), np.flatnonzero(hot[e - n:e]).astype(np.uint32).tobytes())
+            for c, e, n in zip(batch["chunk"], ends, counts, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "marks", "hot"])
 
-    def marked(p: Phrases, marks: pd.DataFrame) -> np.ndarray | None:
+    def marked(p: Phrases, marks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         distinct = np.unique(p.trigger)
-        out = np.zeros(len(distinct), bool)
-        of = {b: m for b, m in zip(marks["bucket"], marks["marks"], strict=True) if m is not None}
+        out, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        of = {b: (m, h) for b, m, h in zip(marks["bucket"], marks["marks"], marks["hot"], strict=True) if m is not None}
         for bucket, a, b in _split(distinct >> np.uint64(40)):
             if bucket in of:
-                out[a:b] = np.unpackbits(np.frombuffer(of[bucket], np.uint8), count=b - a).astype(bool)
-        return out
+                out[a:b] = np.unpackbits(np.frombuffer(of[bucket][0], np.uint8), count=b - a).astype(bool)
+                hot[a + np.frombuffer(of[bucket][1], np.uint32).astype(np.int64)] = True
+        return out, hot
+
+    def spread(p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows of phrases at hot triggers by their hashes, which of them each window is, and the windows' phrases."""
+        one = p.one[p.hot]
+        if not len(one):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), one
+        count = p.count[one]
+        length = count + window - 1
+        whole = gram_hashes(hashes(_gather(p.flat, p.at[one], length)), window)
+        at = _gather(np.arange(len(whole)), np.cumsum(length) - length, count)
+        phrase = np.repeat(one, count)
+        keys, where = np.unique(joined(p.trigger[phrase], whole[at]), return_inverse=True)
+        return keys, where, phrase
+
+    def dealt_windows(keys: np.ndarray) -> np.ndarray:
+        """The buckets of sorted windows, numbers below zero."""
+        return -1 - (keys >> np.uint64(64 - bits)).astype(np.int64)
 
     def dictionary(batch: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "chunk", "marks", "head", "ids", "counts", "symbols"]
+        columns = ["bucket", "chunk", "marks", "hot", "head", "ids", "counts", "symbols"]
         if not len(batch):
             return pd.DataFrame([], columns=columns)
         (p, _, _), ids = phrases(batch, marks), ids_of(batch)
-        p.repeated(ids, marked(p, marks))
-        of = dict(zip(marks["bucket"], marks["marks"], strict=True))
+        p.repeated(ids, *marked(p, marks))
+        of = {b: (m, h) for b, m, h in zip(marks["bucket"], marks["marks"], marks["hot"], strict=True)}
         rows, chunk = [], int(batch["chunk"].iloc[0])
         for bucket, a, b in _split(p.trigger[p.one] >> np.uint64(40)):
-            one = p.one[a:b]
-            symbols = _gather(p.flat, p.at[one], p.count[one] + window - 1)
+            one = p.one[a:b][~p.hot[a:b]]
+            symbols = _gather(p.flat, p.at[one], p.count[one] + window - 1) if len(one) else p.flat[:0]
             rows.append((
-                bucket, chunk, of.get(bucket), np.stack([p.trigger[one], p.name[one]]).tobytes(), ids[p.doc[one]].tobytes(),
+                bucket, chunk, *of.get(bucket, (None, None)), np.stack([p.trigger[one], p.name[one]]).tobytes(), ids[p.doc[one]].tobytes(),
                 p.count[one].astype(np.uint8).tobytes(), symbols.tobytes(),
             ))
+        keys, where, phrase = spread(p)
+        least = np.full(len(keys), NO_ID)
+        np.minimum.at(least, where, ids[p.doc[phrase]])
+        for bucket, a, b in _split(dealt_windows(keys)):
+            rows.append((bucket, chunk, None, None, keys[a:b].tobytes(), least[a:b].tobytes(), b"", b""))
         return pd.DataFrame(rows, columns=columns)
 
+    def least_of_windows(batch: pd.DataFrame) -> pd.DataFrame:
+        keys, where = np.unique(np.frombuffer(b"".join(batch["head"]), np.uint64), return_inverse=True)
+        least = np.full(len(keys), NO_ID)
+        np.minimum.at(least, where, np.frombuffer(b"".join(batch["ids"]), np.int64))
+        ends = np.cumsum([len(h) // 8 for h in batch["head"]])
+        out = batch[["bucket", "chunk", "marks", "hot"]].copy()
+        out["least"] = [x.tobytes() for x in np.split(least[where], ends[:-1])]
+        return out.assign(mixed=b"", each=b"")
+
     def solved(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("chunk").reset_index(drop=True)
+        if batch["bucket"].iloc[0] < 0:
+            return least_of_windows(batch)
         heads = [np.frombuffer(h, np.uint64).reshape(2, -1) for h in batch["head"]]
         trigger, name = np.concatenate(heads, axis=1)
         ids = np.frombuffer(b"".join(batch["ids"]), np.int64)
@@ -266,13 +327,13 @@ def repeats(
         start = np.cumsum(length) - length
         order = np.lexsort((ids, name, trigger))
         t, m = trigger[order], name[order]
-        first = np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])]
+        first = np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])][:len(t)]
         one = order[first]
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(first) - 1
         least = ids[one]
         t = trigger[one]
-        alone = np.r_[True, t[1:] != t[:-1]] & np.r_[t[1:] != t[:-1], True]
+        alone = (np.r_[True, t[1:] != t[:-1]] & np.r_[t[1:] != t[:-1], True])[:len(t)]
         many = np.flatnonzero(~alone)
         windows: dict[int, np.ndarray] = {}
         if len(many):
@@ -285,22 +346,22 @@ def repeats(
             for j in np.flatnonzero(low != high).tolist():
                 windows[int(many[j])] = found[ends[j] - count[k[j]]:ends[j]]
         rows, at = [], 0
-        for chunk, marks, head in zip(batch["chunk"], batch["marks"], heads, strict=True):
+        for chunk, marks, hot, head in zip(batch["chunk"], batch["marks"], batch["hot"], heads, strict=True):
             mine = of[at:at + head.shape[1]]
             at += head.shape[1]
             mixed_ = np.array([k in windows for k in mine.tolist()], bool) if windows else np.zeros(len(mine), bool)
             each = [windows[k] for k in mine[mixed_].tolist()]
             rows.append((
-                int(batch["bucket"].iloc[0]), chunk, marks, least[mine].tobytes(), np.packbits(mixed_).tobytes(),
+                int(batch["bucket"].iloc[0]), chunk, marks, hot, least[mine].tobytes(), np.packbits(mixed_).tobytes(),
                 np.concatenate(each).tobytes() if each else b"",
             ))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "marks", "least", "mixed", "each"])
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "marks", "hot", "least", "mixed", "each"])
 
     def applied(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(batch):
             return finish(batch, [], [])
         ids, (p, parsed, copy) = ids_of(batch), phrases(batch, answers)
-        p.repeated(ids, marked(p, answers))
+        p.repeated(ids, *marked(p, answers))
         change = np.zeros(len(p.flat) + 1, np.int64)
         if len(p.one):
             least = np.empty(len(p.one), np.int64)
@@ -308,17 +369,25 @@ def repeats(
             each, each_at = [], np.zeros(len(p.one), np.int64)
             of = {b: row for b, *row in answers[["bucket", "least", "mixed", "each"]].itertuples(index=False) if row[0] is not None}
             offset = 0
-            for bucket, a, b in _split(p.trigger[p.one] >> np.uint64(40)):
+            cold = np.flatnonzero(~p.hot)
+            for bucket, a, b in _split(p.trigger[p.one[cold]] >> np.uint64(40)):
                 low, flags, values = of[bucket]
-                least[a:b] = np.frombuffer(low, np.int64)
+                least[cold[a:b]] = np.frombuffer(low, np.int64)
                 some = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a).astype(bool)
-                various[a:b] = some
-                where = np.flatnonzero(some) + a
+                various[cold[a:b]] = some
+                where = cold[a:b][some]
                 sizes = p.count[p.one[where]]
                 each_at[where] = offset + np.cumsum(sizes) - sizes
                 values = np.frombuffer(values, np.int64)
                 offset += len(values)
                 each.append(values)
+            keys, where, _ = spread(p)
+            if len(keys):
+                of_window = np.concatenate([np.frombuffer(of[bucket][0], np.int64) for bucket, _, _ in _split(dealt_windows(keys))])
+                sizes = p.count[p.one[p.hot]]
+                various[p.hot] = True
+                each_at[p.hot] = offset + np.cumsum(sizes) - sizes
+                each.append(of_window[where])
             each = np.concatenate(each)
             own = ids[p.doc]
             whole = ~various[p.kind] & (least[p.kind] < own)
@@ -338,12 +407,12 @@ def repeats(
         return finish(batch, parsed, cut)
 
     by_chunk = dealt.groupBy("chunk")
-    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInPandas(triggers, "bucket int, chunk int, keys binary")
-    both = sent.groupBy("bucket").applyInPandas(shared, "bucket int, chunk int, marks binary")
+    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInPandas(triggers, "bucket int, chunk int, keys binary, kinds binary")
+    both = sent.groupBy("bucket").applyInPandas(shared, "bucket int, chunk int, marks binary, hot binary")
     phrases_sent = by_chunk.cogroup(both.unionByName(known, allowMissingColumns=True).groupBy("chunk")).applyInPandas(
-        dictionary, "bucket int, chunk int, marks binary, head binary, ids binary, counts binary, symbols binary"
+        dictionary, "bucket int, chunk int, marks binary, hot binary, head binary, ids binary, counts binary, symbols binary"
     )
     answers = phrases_sent.groupBy("bucket").applyInPandas(
-        solved, "bucket int, chunk int, marks binary, least binary, mixed binary, each binary"
+        solved, "bucket int, chunk int, marks binary, hot binary, least binary, mixed binary, each binary"
     )
     return by_chunk.cogroup(answers.unionByName(known, allowMissingColumns=True).groupBy("chunk")).applyInPandas(applied, schema)

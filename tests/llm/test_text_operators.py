@@ -322,6 +322,28 @@ def test_removed_words(overlapping):
     assert relative_lz.removed_words(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("module", [prefix_free, relative_lz])
+def test_hot_triggers_are_spread(spark, monkeypatch, module):
+    """A frequent passage between different neighbours: right results, and no task gets all the phrases at its ends."""
+    rnd = random.Random(11)
+    near = lambda n: " ".join(f"{rnd.randrange(1 << 30):x}" for _ in range(n))
+    n = 2 if module is prefix_free else 30
+    rows = [(k if k % 50 else None, f"{near(n)} {PASSAGE} {near(n)}", "en") for k in range(2500)]
+    real = module._resolve
+
+    def bounded(flat, starts, counts, ids):
+        assert len(counts) < 1500, len(counts)
+        return real(flat, starts, counts, ids)
+
+    monkeypatch.setattr(module, "_resolve", bounded)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    split = (lambda t: t.encode()) if module is prefix_free else str.split
+    want = sorted((i, len(s), sum(g)) for i, s, g in brute_windows(rows, split))
+    made = module.removed_bytes(table) if module is prefix_free else module.removed_words(table)
+    got = sorted((1 << 62 if r[0] is None else r[0], r[1], r["n_removed"]) for r in made.collect())
+    assert got == want
+
+
 def test_word_hashes():
     assert len(set(relative_lz._words("ab ba a b aa  aab\tab".encode()).tolist())) == 6
     assert len(relative_lz._words(b"")) == len(relative_lz._words(b" \n")) == 0
