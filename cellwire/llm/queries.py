@@ -5,7 +5,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwire.llm import checks, chosen_path, langid, licenses, multi_index, packing, pieces, prefix_free, relative_lz, sharding, vp_tree
+from cellwire.llm import (
+    audit_checks, checks, chosen_path, langid, licenses, multi_index, packing, periodic, pieces, prefix_free, relative_lz, sharding, vp_tree,
+)
 from cellwire.llm.common import table
 
 QUERIES: dict = {}
@@ -87,6 +89,12 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.similar(table(spark, folder, "documents"))
 
 
+@query("op11_periodic_runs", audit_checks.PERIODIC)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of which get a periodic tail first."""
+    return periodic.digest(periodic.periodic_runs(periodic.with_planted_runs(table(spark, folder, "documents"))))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Language filter, near-duplicate removal, substring dedup and packing of the documents."""
