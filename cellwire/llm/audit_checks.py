@@ -36,3 +36,33 @@ SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS pe
 FROM planted p LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.doc_id = p.doc_id
 LEFT JOIN listed ON listed.doc_id = p.doc_id LEFT JOIN kept ON kept.doc_id = p.doc_id
 """
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_F = "(p - q) * (p - q) // q"
+
+
+def _share(n: str, total: str) -> str:
+    return f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({n} + 1)) // ({total} + v) AS BIGINT)"
+
+
+SOURCES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+one AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS all_n FROM one GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sized AS (SELECT lang, count(*) AS v, sum(all_n) AS all_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM one JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_share('coalesce(n, 0)', 'total')} AS p, {_share('all_n', 'all_total')} AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sized s ON s.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+met AS (SELECT x.lang, x.source, y.source AS item, x.p, y.p AS q FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source),
+summed AS (SELECT lang, source, item, sum({_F}) AS value FROM met GROUP BY lang, source, item),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_F} AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellwire.llm import (
-    audit_checks, checks, chosen_path, langid, licenses, multi_index, packing, periodic, pieces, prefix_free, relative_lz, sharding, vp_tree,
+    audit_checks, checks, chosen_path, interpolation, langid, licenses, multi_index, packing, periodic, pieces, prefix_free, relative_lz,
+    sharding, source_audit, vp_tree,
 )
 from cellwire.llm.common import table
 
@@ -95,6 +96,18 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.with_planted_runs(table(spark, folder, "documents"))))
 
 
+@query("op12_source_divergence", audit_checks.SOURCES)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far every source diverges from the others of its language, and by which terms from the language."""
+    return source_audit.audit(table(spark, folder, "documents"))
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document by words alone and by deleted interpolation of trigrams."""
+    return interpolation.scored(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Language filter, near-duplicate removal, substring dedup and packing of the documents."""
