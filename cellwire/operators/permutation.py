@@ -2,7 +2,8 @@
 
 A replicate is a column value, not a loop: every cell carries an array with its true label at
 position 0 and its permuted labels after it, and one aggregation keyed by replicate gives the
-observed and all null statistics together.
+observed and all null statistics together. The labels come from keyed bijections of the cell's
+position in its stratum, so drawing them exchanges each cell once, whatever the number of replicates.
 """
 from __future__ import annotations
 
@@ -17,24 +18,78 @@ from cellwire.operators.expression import group_sizes, group_trimean, molecule_l
 from cellwire.operators.interactions import Interactions
 from cellwire.operators.ranking import running
 from cellwire.operators.scoring import group_pair_scores
-from cellwire.operators.session import ROWS_PER_TASK, exceeds
+from cellwire.operators.session import ROWS_PER_TASK, exceeds, materialize
 
 CELL = ["sample_id", "cell_id"]
 RECORD = ["lr_index", "sender_group", "receiver_group"]
 
 
+ROUNDS = 6
+# Strata up to this size are ordered by hash, larger ones go through a network, which mixes small ones badly.
+ORDERED = 64
+# Shapes that are tried for the domain of a network.
+SHAPES = 64
+
+
 def _hash_rank(df: DataFrame, keys: Sequence[str], digest: str, name: str, split: bool) -> DataFrame:
     """Position of each row in the order of its digest, within ``keys``.
 
     The digest is uniform, so its leading digits cut a large stratum into even parts.
     """
-    order = [F.col(digest), F.col("cell_id")]
+    order = [F.col(digest), *[F.col(c) for c in CELL]]
     if not split:
         return running(df, keys, order, F.lit(1), name)
     parts = df.withColumn("_part", F.substring(digest, 1, 3))
     return running(parts, keys, order, F.lit(1), name, "_part").drop("_part")
 
 
+def _keyed(strata: DataFrame, keys: Sequence[str], size: str, seed: int) -> DataFrame:
+    """Add what the bijections of a stratum need: ``_key``, and a domain of ``_wide`` x ``_high`` positions.
+
+    Of up to ``SHAPES`` near-square domains the one with the fewest positions beyond ``size`` is taken.
+    """
+    text = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in (F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *text))
+    wide = f"CAST(ceil(sqrt({size})) AS BIGINT)"
+    widths = f"sequence({wide}, {wide} + least({SHAPES - 1}, {wide} div 4))"
+    shapes = f"transform({widths}, w -> struct(w * (({size} + w - 1) div w) AS d, w AS w))"
+    return strata.withColumn("_key", F.conv(F.substring(digest, 1, 7), 16, 10).cast("long")).withColumn(
+        "_shape", F.expr(f"array_min({shapes})")).withColumn("_wide", F.col("_shape.w")).withColumn(
+        "_high", F.expr("_shape.d div _shape.w")).drop("_shape")
+
+
+def bijection(position: str, replicate: str, size: str = "_size") -> str:
+    """SQL of where replicate ``replicate`` of a stratum puts ``position``, both in [0, size).
+
+    Up to ``ORDERED`` positions are ranked by their hashes. More go through a Feistel network over the stratum's
+    domain: its two coordinates take turns being shifted by a hash of the other one. A position that lands beyond
+    ``size`` goes on through the network until it is back; there are ``_wide * _high - size`` such positions, so that
+    many steps are always enough.
+    """
+    drawn = f"(_key * 4294967296 + {replicate} * 64)"
+
+    def hashed(what: str) -> str:
+        return f"xxhash64({drawn}, CAST({what} AS BIGINT))"
+
+    step = f"named_struct('x', s.y, 'y', (s.x + pmod(xxhash64({drawn} + i, s.y), s.m)) % s.m, 'm', s.n, 'n', s.m)"
+
+    def network(at: str) -> str:
+        start = f"named_struct('x', {at} div _high, 'y', {at} % _high, 'm', _wide, 'n', _high)"
+        return f"reduce(sequence(1, {ROUNDS}), {start}, (s, i) -> {step}, s -> s.x * _high + s.y)"
+
+    walk = f"CASE WHEN t < {size} THEN t ELSE {network('t')} END"
+    far = f"reduce(sequence(CAST(0 AS BIGINT), _wide * _high - {size}), {network(position)}, (t, u) -> {walk})"
+    own = hashed(position)
+    smaller = f"{hashed('j')} < {own} OR {hashed('j')} = {own} AND j < {position}"
+    near = f"CAST(size(filter(sequence(CAST(0 AS BIGINT), {size} - 1), j -> {smaller})) AS BIGINT)"
+    return f"CASE WHEN {size} <= {ORDERED} THEN {near} ELSE {far} END"
+
+
+def label_codes(cells: DataFrame, label: str = "group") -> DataFrame:
+    """(label, code): labels numbered in their order. Labels are a dictionary, so one array holds them."""
+    return cells.agg(F.sort_array(F.collect_set(label)).alias("_l")).select(F.posexplode("_l").alias("code", label))
+
+
 def permuted_labels(
     cells: DataFrame,
     strata: Sequence[str],
@@ -43,46 +98,47 @@ def permuted_labels(
     label: str = "group",
     limit: int = ROWS_PER_TASK,
     first: int = 1,
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """``labels``: array of the true label and ``n_perm`` labels permuted within the strata.
 
-    Replicate b gives each cell a random position by md5 order and the label that owns the
-    position when labels are laid out in order with their counts. This is a uniform permutation of
-    the labels and needs no exchange of rows between cells. ``first`` numbers the first replicate,
-    so that later batches continue the sequence.
+    Every cell gets one position in its stratum, by md5 of sample and cell. Replicate b sends the position through
+    a bijection keyed by b and takes the label that owns the new position when labels are laid out in order
+    with their counts: a permutation of the labels that needs no row per replicate. With ``codes``
+    (label, code) the array holds codes. ``first`` numbers the first replicate, so that later batches continue the
+    sequence.
     """
     strata = list(strata)
-    tally = cells.groupBy(*strata, label).agg(F.count(F.lit(1)).alias("_n"))
-    through = running(tally, strata, [F.col(label)], F.col("_n"), "_upper")
+    mark = label
+    if codes is not None:
+        cells, mark = cells.join(F.broadcast(codes.select(label, F.col("code").alias("_code"))), label), "_code"
+    tally = cells.groupBy(*strata, mark).agg(F.count(F.lit(1)).alias("_n"))
+    through = running(tally, strata, [F.col(mark)], F.col("_n"), "_upper")
     # One entry per label of a stratum, never per cell.
     owners = through.groupBy(*strata).agg(
-        F.sort_array(F.collect_list(F.struct("_upper", F.col(label).alias("_label")))).alias("_owners"),
+        F.sort_array(F.collect_list(F.struct("_upper", F.col(mark).alias("_label")))).alias("_owners"),
         F.sum("_n").alias("_size"),
     )
+    owners = materialize(_keyed(owners, strata, "_size", seed))
     split = exceeds(owners, "_size", limit)
-    base = cells.select(*dict.fromkeys([*CELL, *strata]))
-    copies = base.withColumn("b", F.explode(F.sequence(F.lit(first), F.lit(first + n_perm - 1))))
-    drawn = copies.withColumn("_digest", hash_order(seed, F.col("b"), F.col("cell_id")))
-    ranked = _hash_rank(drawn, [*strata, "b"], "_digest", "_rank", split)
-    owner = F.size(F.filter("_owners", lambda o: o["_upper"] < F.col("_rank")))
-    given = ranked.join(owners.drop("_size"), strata).select(
-        *CELL, "b", F.col("_owners")[owner]["_label"].alias("_label"))
-    arrays = given.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("b", "_label"))).alias("_drawn"))
-    return cells.join(arrays, CELL).withColumn(
-        "labels", F.concat(F.array(F.col(label)), F.col("_drawn._label"))).drop("_drawn")
+    ranked = _hash_rank(cells.withColumn("_digest", hash_order(seed, *[F.col(c) for c in CELL])), strata, "_digest", "_rank", split)
+    places = f"transform(sequence({first}L, {first + n_perm - 1}L), b -> {bijection('(_rank - 1)', 'b')})"
+    owner = "_owners[size(filter(_owners, o -> o._upper <= p))]._label"
+    return ranked.join(owners, strata).withColumn(
+        "labels", F.expr(f"concat(array({mark}), transform({places}, p -> {owner}))")
+    ).drop("_digest", "_rank", "_owners", "_size", "_key", "_wide", "_high", "_code")
 
 
 def permute_within_blocks(blocks: DataFrame, seed: int = 1, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Source cell for every target cell: a bijection inside each block; single cells stay."""
-    sizes = group_sizes(blocks, ["block_id"])
+    sizes = materialize(_keyed(group_sizes(blocks, ["block_id"]), ["block_id"], "n", seed))
     split = exceeds(sizes, "n", limit)
-    target = _hash_rank(
-        blocks.select("block_id", "cell_id", hash_order(seed, F.lit("target"), F.col("cell_id")).alias("_d")),
-        ["block_id"], "_d", "_slot", split).drop("_d")
-    source = _hash_rank(
-        blocks.select("block_id", "cell_id", hash_order(seed, F.lit("source"), F.col("cell_id")).alias("_d")),
-        ["block_id"], "_d", "_slot", split).drop("_d").withColumnRenamed("cell_id", "source_id")
-    return target.join(source, ["block_id", "_slot"]).select("block_id", "cell_id", "source_id")
+    ranked = _hash_rank(
+        blocks.select("block_id", *CELL, hash_order(seed, *[F.col(c) for c in CELL]).alias("_d")), ["block_id"], "_d", "_slot", split).drop("_d")
+    ranked = materialize(ranked.withColumn("_slot", F.col("_slot") - 1))
+    moved = ranked.join(sizes, "block_id").withColumn("_slot", F.expr(bijection("_slot", "1L", "n")))
+    source = ranked.select("block_id", "_slot", F.col("cell_id").alias("source_id"))
+    return moved.join(source, ["block_id", "_slot"]).select("block_id", "cell_id", "source_id")
 
 
 def exchangeability(cells: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -103,14 +159,21 @@ def exchangeability(cells: DataFrame, labels: DataFrame | None = None) -> DataFr
 
 
 def null_trimeans(
-    expr: DataFrame, labelled: DataFrame, genes: DataFrame, limit: int = ROWS_PER_TASK
+    expr: DataFrame, labelled: DataFrame, genes: DataFrame, limit: int = ROWS_PER_TASK, codes: DataFrame | None = None
 ) -> DataFrame:
-    """Group triMeans of every replicate (b = 0 is the observed one) for the referenced genes."""
+    """Group triMeans of every replicate (b = 0 is the observed one) for the referenced genes.
+
+    ``codes`` (group, code): the labels are codes, and names come back only on the aggregated rows.
+    """
     scaled = scale_by_maximum(expr).join(genes.select("gene").distinct(), "gene", "left_semi")
     spread = scaled.join(labelled.select(*CELL, "labels"), CELL).select(
         "gene", "value", F.posexplode("labels").alias("b", "group"))
-    sizes = group_sizes(labelled, ["group"])
-    return group_trimean(spread, sizes, ["b", "group", "gene"], ["group"], limit)
+    sizes = group_sizes(labelled.select(F.col("labels")[0].alias("group")), ["group"])
+    means = group_trimean(spread, sizes, ["b", "group", "gene"], ["group"], limit)
+    if codes is None:
+        return means
+    names = F.broadcast(codes.select(F.col("code").alias("group"), F.col("group").alias("_name")))
+    return means.join(names, "group").select("b", F.col("_name").alias("group"), "gene", "value")
 
 
 MARGIN = 1e-12
@@ -177,12 +240,13 @@ def block_permutation_scores(
     n: float = 1.0,
     records: DataFrame | None = None,
     limit: int = ROWS_PER_TASK,
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of all replicates for the supported pairs, or for the requested records only."""
     members = interactions.members
     if records is not None:
         members = members.join(records.select("lr_index").distinct(), "lr_index", "left_semi")
-    values = null_trimeans(expr, labelled, members, limit)
+    values = null_trimeans(expr, labelled, members, limit, codes)
     levels = molecule_levels(values, members, ["b", "group"], kh, n)
     pairs = support.select("sender_group", "receiver_group")
     scores = group_pair_scores(levels, pairs, ["b"], kh, n)
@@ -211,6 +275,7 @@ def block_permutation_test(
     mixed = blocks.groupBy("block_id").agg(F.countDistinct("group").alias("g"))
     if not exceeds(mixed, "g", 1):
         raise ValueError("no block spans several groups; increase the block size")
-    labelled = permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit, first=first)
-    scores = block_permutation_scores(expr, labelled, support, interactions, kh, n, records, limit)
+    codes = materialize(label_codes(blocks))
+    labelled = permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit, first=first, codes=codes)
+    scores = block_permutation_scores(expr, labelled, support, interactions, kh, n, records, limit, codes)
     return summarize_nulls(scores, n_perm, records, tail, finite_correction, moments)

@@ -101,10 +101,6 @@ def near_join(
     return pairs.where(F.col("d2") <= square + F.greatest(F.lit(1.0), square) * (16 * EPS))
 
 
-# Parts into which the senders of a crowded place are split.
-PLACE_SALTS = 16
-
-
 def strict_near_join(
     senders: DataFrame,
     receivers: DataFrame,
@@ -129,7 +125,8 @@ def strict_near_join(
     place_on = [k for k in points_on if k in on]
     spots = (
         points.groupBy(*place_on, *[f"s_{d}" for d in dims])
-        .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+        .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        .select("*", F.ceil(F.col("_n") / F.lit(limit)).alias("_parts")).drop("_n")
     )
     if spots.isEmpty():
         return near_join(senders, receivers, **plain)
@@ -141,17 +138,18 @@ def strict_near_join(
         receivers.join(r_spots, r_place, "left_anti"), receivers.join(r_spots, r_place, "left_semi")
     )
     widest = points.agg(F.max(span)).scalar() if isinstance(reach, Column) else span
+    # Senders of a place are dealt into as many parts as their number asks for, and the receivers of a
+    # neighbouring place copied to the parts of its largest neighbour, so two crowded places meet in many tasks.
     neighbours = near_join(
-        spots, r_spots, place_on, widest, dims, strict=True
+        spots.withColumnRenamed("_parts", "s_parts"), r_spots, place_on, widest, dims, strict=True
     ).drop("d2")
-    # Senders of one place are split, and its receivers copied to each part, so that two crowded places
-    # meet in several tasks.
-    salted = s_hot.withColumn("_salt", F.pmod(F.xxhash64(*s_hot.columns), F.lit(PLACE_SALTS)))
-    copied = r_hot.drop(*[c for c in r_hot.columns if c in s_hot.columns and c not in on]).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PLACE_SALTS - 1).cast("long"))))
+    most = neighbours.groupBy(*r_place).agg(F.max("s_parts").alias("_most"))
+    salted = s_hot.join(neighbours, s_place).withColumn(
+        "_salt", F.pmod(F.xxhash64(*s_hot.columns), F.col("s_parts"))).drop("s_parts")
+    copied = r_hot.join(most, r_place).drop(*[c for c in r_hot.columns if c in s_hot.columns and c not in on]).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1))).drop("_most")
     hot_pairs = (
-        salted.join(neighbours, s_place)
-        .join(copied, [*on, *[f"r_{d}" for d in dims], "_salt"])
+        salted.join(copied, [*on, *[f"r_{d}" for d in dims], "_salt"])
         .withColumn("d2", squared_distance(dims))
         .where(F.sqrt("d2") <= span)
     )

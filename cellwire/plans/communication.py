@@ -1,9 +1,9 @@
 """Edge-mean communication probability per (sample, interaction, sender group, receiver group).
 
-The plan is built around one shuffle of cell-by-interaction rows: senders and receivers meet in
-spatial tiles keyed by (sample, interaction, tile), edges are scored inside the join stage and
-partially aggregated to group pairs before the next exchange. The edge list itself is neither
-stored nor shuffled.
+The plan is built around one distance join of cells: senders and receivers carry the levels of all
+their interactions as arrays and meet in spatial tiles keyed by (sample, tile), edges are scored
+inside the join stage and partially aggregated to group pairs before the next exchange. The edge list
+itself is neither stored nor shuffled.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from cellwire.operators import proximity as near
 from cellwire.operators.expression import molecule_levels, scale_by_maximum
 from cellwire.operators.graph import minimum_distance
 from cellwire.operators.interactions import Interactions, mark_contact, order_interactions, prepare_interactions
-from cellwire.operators.permutation import exceeds_score, permuted_labels
+from cellwire.operators.permutation import exceeds_score, label_codes, permuted_labels
 from cellwire.operators.session import materialize
 
 CELL = ["sample_id", "cell_id"]
@@ -83,62 +83,71 @@ def legacy_percent_strings(fractions: DataFrame, keys: list[str], column: str, n
     return out.withColumn(name, F.when(F.col("_d") > 3, scientific).otherwise(fixed)).drop("_d")
 
 
-def _levels(expr: DataFrame, cells: DataFrame, inter: Interactions, s: Settings, extra: list[str]) -> DataFrame:
-    """Molecule levels with place and group, one row per (cell, interaction).
+def _levels(expr: DataFrame, cells: DataFrame, inter: Interactions, s: Settings) -> DataFrame:
+    """Molecule levels with the interaction's reach, one row per (cell, interaction).
 
-    Stored once: senders, receivers, self edges and the percent filter each read a few columns.
+    Stored once: the arrays of both sides, self edges and the percent filter each read a few columns.
     """
     scaled = scale_by_maximum(expr, ["sample_id"])
     levels = molecule_levels(scaled, inter.members, CELL, s.kh, s.n, s.use_modulators)
     lr = mark_contact(inter.lr, s.contact_dependent, s.contact_forced).select("lr_index", "contact")
     reach = F.when(F.col("contact"), F.lit(s.contact_radius)).otherwise(F.lit(s.radius))
-    place = cells.select(*CELL, *near.axes(cells), "group", *extra)
-    return materialize(levels.join(lr, "lr_index").join(place, CELL).withColumn("span", reach))
-
-
-def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, extra: list[str]) -> DataFrame:
-    """Scored edges as (sample, interaction, both labels, probability), self edges included."""
-    dims, shared = near.axes(cells), ["sample_id", "lr_index", "contact", "span"]
-    columns = [*shared, "cell_id", *dims, "group", "modulator", *extra]
-    senders = near.prefixed(levels.where("ligand_level > 0").select(*columns, "ligand_level"), "s", shared)
-    receivers = near.prefixed(levels.where("receptor_level > 0").select(*columns, "receptor_level"), "r", shared)
-    spans = F.array(*[
-        F.struct(F.lit(c).alias("contact"), F.lit(v).alias("span"))
-        for c, v in ((False, s.radius), (True, s.contact_radius))])
-    points = near.prefixed(
-        cells.select("sample_id", "cell_id", *dims, F.explode(spans).alias("_k")).select(
-            "sample_id", "cell_id", *dims, "_k.*"), "s", ["sample_id", "contact", "span"])
-    crowded = near.crowded_tiles(points, ["sample_id", "contact"], F.col("span"), dims, s.tile_limit)
+    return materialize(levels.join(lr, "lr_index").select(*levels.columns, reach.alias("span")))
+
+
+def _side(levels: DataFrame, places: DataFrame, side: str, level: str) -> DataFrame:
+    """One row per cell with arrays of its interactions: which, level, modulator and reach."""
+    held = levels.where(F.col(level) > 0).groupBy(*CELL).agg(
+        F.sort_array(F.collect_list(F.struct("lr_index", F.col(level).alias("level"), "modulator", "span"))).alias("of"))
+    arrays = [F.col("of")[c].alias(c) for c in ("lr_index", "level", "modulator", "span")]
+    names = [c for c in places.columns if c not in CELL]
+    return near.prefixed(held.join(places, CELL).select(*CELL, *names, *arrays), side, ["sample_id"])
+
+
+def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, label: str) -> DataFrame:
+    """Scored edges as (sample, interaction, both labels, probability), self edges included.
+
+    Cells meet once, whatever the number of interactions: each side carries an array per cell, and the interactions
+    of a pair are those of the sender that the receiver has too.
+    """
+    dims = near.axes(cells)
+    places = cells.select(*CELL, *dims, label)
+    senders, receivers = _side(levels, places, "s", "ligand_level"), _side(levels, places, "r", "receptor_level")
+    points = near.prefixed(cells.select("sample_id", "cell_id", *dims), "s", ["sample_id"])
+    crowded = near.crowded_tiles(points, ["sample_id"], F.lit(s.radius), dims, s.tile_limit)
     pairs = near.strict_near_join(
-        senders, receivers, points, ["sample_id", "lr_index"], F.col("span"), dims,
-        ["sample_id", "contact"], crowded, s.tile_limit)
+        senders, receivers, points, ["sample_id"], s.radius, dims, ["sample_id"], crowded, s.tile_limit)
 
-    def probability(weight: Column, left: str, right: str) -> Column:
-        product = F.col(f"{left}ligand_level") * F.col(f"{right}receptor_level")
-        return hill(product, s.kh, s.n) * weight * (F.col(f"{left}modulator") * F.col(f"{right}modulator"))
+    def probability(weight: Column, left: Column, right: Column, modulators: Column) -> Column:
+        return hill(left * right, s.kh, s.n) * weight * modulators
 
     weight = 1.0 / (F.sqrt("d2") * F.lit(s.ratio) * F.lit(s.scale_distance))
-    labels = [*extra, "group"]
-    edges = pairs.select(
-        "sample_id", "lr_index", *[f"{side}_{c}" for c in labels for side in "sr"],
-        probability(weight, "s_", "r_").alias("p"))
+    both = F.arrays_zip("s_lr_index", "s_level", "s_modulator", "s_span")
+    met = pairs.where(F.arrays_overlap("s_lr_index", "r_lr_index")).select(
+        "sample_id", f"s_{label}", f"r_{label}", "d2", "r_lr_index", "r_level", "r_modulator", F.explode(both).alias("e"))
+    spot = F.array_position("r_lr_index", F.col("e.s_lr_index")).cast("int")
+    met = met.withColumn("_at", spot).where((F.col("_at") > 0) & (F.sqrt("d2") <= F.col("e.s_span")))
+    mine = lambda c: F.element_at(c, F.col("_at"))
+    edges = met.select(
+        "sample_id", F.col("e.s_lr_index").alias("lr_index"), f"s_{label}", f"r_{label}",
+        probability(weight, F.col("e.s_level"), mine("r_level"), F.col("e.s_modulator") * mine("r_modulator")).alias("p"))
     nearest = minimum_distance(cells, s.radius, None if crowded is None else s.tile_limit)
-    own = levels.where("ligand_level > 0 AND receptor_level > 0").join(nearest, "sample_id")
+    own = levels.where("ligand_level > 0 AND receptor_level > 0").join(nearest, "sample_id").join(cells.select(*CELL, label), CELL)
     self_weight = 1.0 / (F.col("min_distance") * F.lit(s.ratio) * F.lit(s.scale_distance))
     selves = own.select(
-        "sample_id", "lr_index", *[F.col(c).alias(f"{side}_{c}") for c in labels for side in "sr"],
-        probability(self_weight, "", "").alias("p"))
+        "sample_id", "lr_index", F.col(label).alias(f"s_{label}"), F.col(label).alias(f"r_{label}"),
+        probability(self_weight, F.col("ligand_level"), F.col("receptor_level"), F.col("modulator") * F.col("modulator")).alias("p"))
     return edges.unionByName(selves).where((F.col("p") > 0) & (F.col("p") < float("inf")))
 
 
 def _percent_mask(levels: DataFrame, cells: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
     """Group fractions with positive ligand and receptor, and whether they pass (``ok_s``, ``ok_r``)."""
-    if keys:
-        spread = levels.select(
-            "sample_id", "lr_index", "ligand_level", "receptor_level", F.posexplode("labels").alias("b", "g"))
-    else:
-        spread = levels.select("sample_id", "lr_index", "ligand_level", "receptor_level", F.col("group").alias("g"))
-    sizes = cells.groupBy("sample_id", F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("_size"))
+    label = "labels" if keys else "group"
+    placed = levels.select("sample_id", "cell_id", "lr_index", "ligand_level", "receptor_level").join(cells.select(*CELL, label), CELL)
+    given = F.posexplode("labels").alias("b", "g") if keys else F.col("group").alias("g")
+    spread = placed.select("sample_id", "lr_index", "ligand_level", "receptor_level", given)
+    true = F.col("labels")[0] if keys else F.col("group")
+    sizes = cells.groupBy("sample_id", true.alias("g")).agg(F.count(F.lit(1)).alias("_size"))
     positive = spread.groupBy("sample_id", "lr_index", *keys, "g").agg(
         F.count(F.when(F.col("ligand_level") > 0, 1)).alias("_l"),
         F.count(F.when(F.col("receptor_level") > 0, 1)).alias("_r"),
@@ -180,16 +189,17 @@ def communication_records(
     """
     s = settings
     if s.n_perm == 0:
-        levels = _levels(expr, cells, interactions, s, [])
-        terms = _edge_terms(levels, cells, s, [])
+        levels = _levels(expr, cells, interactions, s)
+        terms = _edge_terms(levels, cells, s, "group")
         sums = terms.groupBy(
             "sample_id", "lr_index", F.col("s_group").alias("sender_group"), F.col("r_group").alias("receiver_group")
         ).agg(F.avg("p").alias("probability"), F.count(F.lit(1)).alias("active_edges"))
         records = _filtered(sums, levels, cells, s, []).withColumn("pvalue", F.lit(None).cast("double"))
     else:
-        labelled = permuted_labels(cells, ["sample_id"], s.n_perm, s.seed)
-        levels = _levels(expr, labelled, interactions, s, ["labels"])
-        terms = _edge_terms(levels, labelled, s, ["labels"])
+        codes = materialize(label_codes(cells))
+        labelled = materialize(permuted_labels(cells, ["sample_id"], s.n_perm, s.seed, codes=codes))
+        levels = _levels(expr, cells, interactions, s)
+        terms = _edge_terms(levels, labelled, s, "labels")
         both = F.posexplode(F.arrays_zip("s_labels", "r_labels")).alias("b", "_g")
         sums = terms.select("sample_id", "lr_index", "p", both).groupBy(
             "sample_id", "lr_index", "b", F.col("_g.s_labels").alias("sender_group"),
@@ -204,6 +214,9 @@ def communication_records(
             F.max(F.when(F.col("b") == 0, F.col("active_edges"))).alias("active_edges"),
             (F.count(F.when(exceeding, 1)) / float(s.n_perm)).alias("pvalue"),
         )
+        for side in ("sender_group", "receiver_group"):
+            named = codes.select(F.col("code").alias(side), F.col("group").alias("_name"))
+            records = records.join(named, side).withColumn(side, F.col("_name")).drop("_name")
     names = interactions.lr.select("lr_index", "interaction_name", "ligand", "receptor")
     return records.join(names, "lr_index").select(
         "sample_id", "lr_index", "interaction_name", "ligand", "receptor",
@@ -233,8 +246,8 @@ def active_edges_per_interaction(
 ) -> DataFrame:
     """Active edges per interaction with the minimum distance and self weight of the sample."""
     s = settings
-    levels = _levels(expr, cells, interactions, s, [])
-    counts = _edge_terms(levels, cells, s, []).groupBy("sample_id", "lr_index").agg(
+    levels = _levels(expr, cells, interactions, s)
+    counts = _edge_terms(levels, cells, s, "group").groupBy("sample_id", "lr_index").agg(
         F.count(F.lit(1)).alias("active_edges"))
     nearest = minimum_distance(cells, s.radius, s.tile_limit).withColumn("min_distance", F.col("min_distance") * s.ratio)
     return counts.join(nearest, "sample_id").withColumn(

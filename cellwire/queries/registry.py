@@ -34,4 +34,4 @@ def q6(expression: str) -> str:
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(dict.fromkeys(parts)) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(dict.fromkeys(parts)) + "\n"

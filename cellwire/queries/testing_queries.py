@@ -15,11 +15,54 @@ B, SEED, BLOCK = 20, 1, 12.0
 # ---- global label permutation -----------------------------------------------------------------
 
 
+def _xxhash(*values: str) -> str:
+    """The signed 64-bit hash of long columns, by its published definition, in unsigned 128-bit arithmetic."""
+    big = "CAST({} AS UHUGEINT)".format
+    p1, p2, p3, p4, p5 = (big(f"'{p}'") for p in (
+        11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    word = big("'18446744073709551616'")
+
+    def turned(x: str, r: int) -> str:
+        return f"list_transform([{x}], lambda v: (v * {big(2 ** r)}) % {word} + v // {big(2 ** (64 - r))})[1]"
+
+    def mixed(x: str, shift: int, factor: str) -> str:
+        return f"list_transform([{x}], lambda v: (xor(v, v // {big(2 ** shift)}) * {factor}) % {word})[1]"
+
+    seed = big(42)
+    for value in values:
+        unsigned = f"{big(f'(CAST({value} AS HUGEINT) + 18446744073709551616) % 18446744073709551616')}"
+        part = f"({turned(f'({unsigned} * {p2}) % {word}', 31)} * {p1}) % {word}"
+        start = f"xor(({seed} + {p5} + {big(8)}) % {word}, {part})"
+        seed = f"({turned(start, 27)} * {p1} + {p4}) % {word}"
+        seed = mixed(mixed(mixed(seed, 33, p2), 29, p3), 32, big(1))
+    return f"list_transform([{seed}], lambda v: CAST(v AS HUGEINT) - CASE WHEN v >= {big(2 ** 63)} THEN 18446744073709551616 ELSE 0 END)[1]"
+
+
+def moved_sql(strata: str, source: str, last: int) -> str:
+    """``drawn(st, b, cell_id, k)``: the position from 1 that replicate b gives each cell of its stratum, and ``sized`` before it.
+
+    Strata of at most 64 cells are ordered by hash; larger ones walk through a network of six rounds, one per step.
+    """
+    drawn = "(key * 4294967296 + b * 64)"
+    turn = "CASE WHEN i = 6 THEN 1 ELSE i + 1 END"
+    text = " || '|' || ".join(f"length({c}) || ':' || {c}" for c in strata.split(", "))
+    return f"""sized AS (SELECT {strata} AS st, sample_id, cell_id, row_number() OVER (PARTITION BY {strata} ORDER BY md5('{SEED}|' || sample_id || '|' || cell_id), sample_id, cell_id) - 1 AS k FROM {source}),
+shapes AS (SELECT st, size, key, unnest(range(w0, w0 + least(63, w0 // 4) + 1)) AS wide FROM (
+  SELECT {strata} AS st, count(*) AS size, CAST(ceil(sqrt(count(*))) AS BIGINT) AS w0,
+    CAST('0x' || substr(md5('{SEED}|' || {text}), 1, 7) AS BIGINT) AS key FROM {source} GROUP BY {strata})),
+shape AS (SELECT st, size, key, arg_min(wide, (wide * ((size + wide - 1) // wide), wide)) AS wide FROM shapes GROUP BY 1, 2, 3),
+spots AS (SELECT z.st, cell_id, k, b, key, size, wide, (size + wide - 1) // wide AS high FROM sized z JOIN shape USING (st), range(1, {last + 1}) AS t(b)),
+placed AS (SELECT st, b, cell_id, row_number() OVER (PARTITION BY st, b ORDER BY {_xxhash(drawn, 'k')}, k) AS k FROM spots WHERE size <= 64),
+walk AS (SELECT st, b, cell_id, key, size, high, k // high AS x, k % high AS y, wide AS m, high AS n, 0 AS i FROM spots WHERE size > 64
+  UNION ALL SELECT st, b, cell_id, key, size, high, y, CAST((x + ({_xxhash(f'{drawn} + {turn}', 'y')} % m + m) % m) % m AS BIGINT), n, m, {turn}
+  FROM walk WHERE i < 6 OR x * high + y >= size),
+drawn AS (SELECT * FROM placed UNION ALL SELECT st, b, cell_id, x * high + y + 1 FROM walk WHERE i = 6 AND x * high + y < size)"""
+
+
 def drawn_sql(strata: str, source: str = "cells") -> str:
-    """Permuted labels: random position b within the stratum takes the label at that position."""
+    """Permuted labels: replicate b moves every cell's position and takes the label that owns the new one."""
     return f"""slots AS (SELECT {strata} AS st, "group" AS g, row_number() OVER (PARTITION BY {strata} ORDER BY "group", cell_id) AS k FROM {source}),
-drawn AS (SELECT st, b, cell_id, row_number() OVER (PARTITION BY st, b ORDER BY md5('{SEED}|' || CAST(b AS VARCHAR) || '|' || cell_id), cell_id) AS k
-  FROM (SELECT {strata} AS st, cell_id, b FROM {source}, range(1, {B + 1}) AS t(b))),
+{moved_sql(strata, source, B)},
 labels AS (SELECT d.b, d.cell_id, s.g FROM drawn d JOIN slots s ON s.st = d.st AND s.k = d.k
   UNION ALL SELECT 0, cell_id, "group" FROM {source})"""
 
@@ -65,9 +108,8 @@ def blocks(spark, folder):
     return graph.spatial_blocks(d.cells(spark, folder), BLOCK)
 
 
-@query("n3_block_permutation", with_(d.CELLS, BLOCKS, """t AS (SELECT block_id, cell_id, row_number() OVER (PARTITION BY block_id ORDER BY md5('1|target|' || cell_id), cell_id) AS k FROM blocks),
-  s AS (SELECT block_id, cell_id AS source_id, row_number() OVER (PARTITION BY block_id ORDER BY md5('1|source|' || cell_id), cell_id) AS k FROM blocks)""")
-       + "SELECT t.block_id, t.cell_id, s.source_id FROM t JOIN s ON t.block_id = s.block_id AND t.k = s.k")
+@query("n3_block_permutation", with_(d.CELLS, BLOCKS, moved_sql("block_id", "blocks", 1)) + """SELECT t.st AS block_id, t.cell_id, s.cell_id AS source_id
+  FROM drawn t JOIN sized s ON t.st = s.st AND t.k = s.k + 1""")
 def n3(spark, folder):
     return pm.permute_within_blocks(blocks(spark, folder), SEED)
 
