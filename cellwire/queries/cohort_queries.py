@@ -7,6 +7,7 @@ from cellwire.operators import cohort as co
 from cellwire.operators import support as su
 from cellwire.operators.ranking import bh_adjust
 from cellwire.operators.validation import varying_within
+from cellwire.queries import cohort_checks as ck
 from cellwire.queries import domain as d
 from cellwire.queries.registry import q6, query, r6, with_
 
@@ -136,43 +137,43 @@ OLS = """o AS (SELECT feature_id, avg(ln(1 + score)) FILTER (condition = 'Diseas
   count(*) FILTER (score > 0) AS nonzero_units, count(*) AS total_units FROM dense GROUP BY 1)"""
 
 
-@query("c1_glm", with_(*DENSE, OLS) + f"""SELECT feature_id, 'conditionDisease' AS coefficient, {q6('estimate')} AS estimate, {q6('std_error')} AS std_error,
-  {q6('estimate / std_error')} AS statistic, nonzero_units, CAST(total_units AS INTEGER) AS total_units, 'ok' AS status FROM o""")
+@query("c1_glm", with_(*DENSE, OLS, ck.GLM_TESTED, ck.adjusted("tested", "done")) + f"SELECT {ck.GLM_COLUMNS} FROM done")
 def c1(spark, folder):
-    out = glm(spark, folder).drop("p_value", "q_value")
-    return r6(out, "estimate", "std_error", "statistic")
+    return r6(glm(spark, folder), *MODEL)
 
 
 def glm(spark, folder, **options):
     return co.fit_glm(*d.cohort(spark, folder), CONDITION, "conditionDisease", **options)
 
 
-@query("c1_glm_tests")
+MODEL = ["estimate", "std_error", "statistic", "p_value", "q_value"]
+INTERVAL = ["estimate", "std_error", "ci_lower", "ci_upper", "p_value", "residual_df", "q_value"]
+
+
+@query("c1_glm_tests", with_(*DENSE, ck.RUN_GLM, ck.adjusted("tested", "done")) + f"SELECT {ck.GLM_COLUMNS} FROM done")
 def c1_tests(spark, folder):
-    return r6(co.fit_glm(*d.cohort(spark, folder), BY_RUN, "conditionDisease"), "estimate", "std_error", "statistic", "p_value", "q_value")
+    return r6(co.fit_glm(*d.cohort(spark, folder), BY_RUN, "conditionDisease"), *MODEL)
 
 
 @query("c1_presence", with_(*DENSE, """b AS (SELECT feature_id, avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END) FILTER (condition = 'Disease') AS a, count(*) FILTER (condition = 'Disease') AS na,
   avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END) FILTER (condition = 'Control') AS c, count(*) FILTER (condition = 'Control') AS nc, count(*) FILTER (score > 0) AS k, count(*) AS n FROM dense GROUP BY 1)""") + f"""
-  SELECT feature_id, 'conditionDisease' AS coefficient, {q6('ln(a / (1 - a)) - ln(c / (1 - c))')} AS estimate, {q6('sqrt(1 / (na * a * (1 - a)) + 1 / (nc * c * (1 - c)))')} AS std_error,
-  k AS nonzero_units, CAST(n AS INTEGER) AS total_units, 'ok' AS status FROM b""")
+  , tested AS (SELECT *, estimate / std_error AS statistic, {ck.normal_tail('estimate / std_error')} AS p_value FROM (SELECT feature_id, ln(a / (1 - a)) - ln(c / (1 - c)) AS estimate,
+    sqrt(1 / (na * a * (1 - a)) + 1 / (nc * c * (1 - c))) AS std_error, k AS nonzero_units, n AS total_units FROM b)), {ck.adjusted("tested", "done")}
+  SELECT {ck.GLM_COLUMNS} FROM done""")
 def c1_presence(spark, folder):
-    return r6(glm(spark, folder, family="binomial_presence").drop("statistic", "p_value", "q_value"), "estimate", "std_error")
+    return r6(glm(spark, folder, family="binomial_presence"), *MODEL)
 
 
 def lmm(spark, folder, design=None, **options):
     return co.fit_lmm(*d.cohort(spark, folder), design or CONDITION, "conditionDisease", **options)
 
 
-MODEL = ["estimate", "std_error", "statistic", "p_value", "q_value"]
-
-
-@query("c2_lmm")
+@query("c2_lmm", with_(*DENSE, ck.mixed_model(reml=False, by_run=False)) + f"SELECT {ck.MIXED_COLUMNS} FROM tested")
 def c2(spark, folder):
     return r6(lmm(spark, folder), *MODEL, "response_sd", "zero_fraction", "random_effect_variance", "residual_variance")
 
 
-@query("c2_lmm_reml_run")
+@query("c2_lmm_reml_run", with_(*DENSE, ck.mixed_model(reml=True, by_run=True)) + f"SELECT {ck.MIXED_COLUMNS} FROM tested")
 def c2_reml(spark, folder):
     return r6(lmm(spark, folder, BY_RUN, reml=True), *MODEL, "response_sd", "zero_fraction", "random_effect_variance", "residual_variance")
 
@@ -185,23 +186,23 @@ HC3 = """g AS (SELECT feature_id, avg(y) FILTER (condition = 'Disease') AS md, a
   var_samp(y) FILTER (condition = 'Control') AS vc, count(*) FILTER (condition = 'Disease') AS nd, count(*) FILTER (condition = 'Control') AS nc, count(*) FILTER (y > 0) AS k FROM py GROUP BY 1)"""
 
 
-@query("c4_patient_hc3", with_(*DENSE, HC3) + f"""SELECT feature_id, {q6('md - mc')} AS estimate, {q6('sqrt(vd / (nd - 1) + vc / (nc - 1))')} AS std_error,
-  CAST(nd + nc - 2 AS DOUBLE) AS residual_df, CAST(nd + nc AS INTEGER) AS total_patients, k AS nonzero_patients, 'ok' AS status FROM g""")
+def intervals(out):
+    return r6(out.withColumn("total_patients", F.col("total_patients").cast("long")), *INTERVAL)
+
+
+@query("c4_patient_hc3", with_(*DENSE, HC3, ck.HC3_PLAIN, ck.adjusted("tested", "done")) + f"SELECT {ck.T_COLUMNS} FROM done")
 def c4(spark, folder):
-    out = co.fit_hc3(*d.cohort(spark, folder), CONDITION, "conditionDisease")
-    return r6(out.drop("ci_lower", "ci_upper", "p_value", "q_value"), "estimate", "std_error")
+    return intervals(co.fit_hc3(*d.cohort(spark, folder), CONDITION, "conditionDisease"))
 
 
-@query("c4_run_adjusted_hc3")
+@query("c4_run_adjusted_hc3", with_(*DENSE, ck.HC3_RUNS) + f"SELECT {ck.T_COLUMNS} FROM full_tests")
 def c4_runs(spark, folder):
-    return r6(hc3(spark, folder), "estimate", "std_error", "ci_lower", "ci_upper", "p_value", "q_value")
+    return intervals(hc3(spark, folder))
 
 
-@query("c5_welch", with_(*DENSE, HC3) + f"""SELECT feature_id, {q6('md - mc')} AS estimate, {q6('sqrt(vd / nd + vc / nc)')} AS std_error,
-  {q6('pow(vd / nd + vc / nc, 2) / (pow(vd / nd, 2) / (nd - 1) + pow(vc / nc, 2) / (nc - 1))')} AS residual_df, CAST(nd + nc AS BIGINT) AS total_patients, k AS nonzero_patients, 'ok' AS status FROM g""")
+@query("c5_welch", with_(*DENSE, HC3, ck.WELCH, ck.adjusted("tested", "done")) + f"SELECT {ck.T_COLUMNS} FROM done")
 def c5(spark, folder):
-    out = co.welch_contrast(*d.cohort(spark, folder)).withColumn("total_patients", F.col("total_patients").cast("long"))
-    return r6(out.drop("ci_lower", "ci_upper", "p_value", "q_value"), "estimate", "std_error", "residual_df")
+    return intervals(co.welch_contrast(*d.cohort(spark, folder)))
 
 
 LOPO = """t AS (SELECT feature_id, sum(y) FILTER (condition = 'Disease') AS sd, sum(y) FILTER (condition = 'Control') AS sc, count(*) FILTER (condition = 'Disease') AS nd, count(*) FILTER (condition = 'Control') AS nc FROM py GROUP BY 1),
@@ -235,20 +236,23 @@ def c6_influence(spark, folder):
     return r6(co.omission_summary(omissions(spark, folder), "omitted_patient"), "estimate_min", "estimate_max", "direction_agreement", "estimate_spearman")
 
 
-@query("c6_omission_tests")
+@query("c6_omission_tests", with_(*DENSE, ck.HC3_RUNS, ck.OMITTED) + f"""SELECT omitted_patient, feature_id, {q6('full_estimate')} AS full_estimate, {q6('estimate')} AS estimate,
+  {q6('std_error')} AS std_error, nonzero_patients, 'ok' AS status, {q6('p_value')} AS p_value, {q6('q_value')} AS q_value FROM omissions""")
 def c6_tests(spark, folder):
     out = co.leave_one_out_tests(*d.cohort(spark, folder), BY_FRACTION, "conditionDisease", ["run1", "run2"])
     return r6(out, "full_estimate", "estimate", "std_error", "p_value", "q_value")
 
 
-@query("c6_omission_hits")
+@query("c6_omission_hits", with_(*DENSE, ck.HC3_RUNS, ck.OMITTED) + f"""SELECT feature_id, count(*) AS valid_omissions, count(*) FILTER (hit) AS bh_hit_omissions,
+  {q6('max(q_value)')} AS maximum_q, any_value(full_hit) AS full_hit FROM omissions GROUP BY 1""")
 def c6_hits(spark, folder):
     scores, units = d.cohort(spark, folder)
     tests_ = co.leave_one_out_tests(scores, units, BY_FRACTION, "conditionDisease", ["run1", "run2"])
     return r6(co.omission_hits(tests_, hc3(spark, folder)), "maximum_q")
 
 
-@query("c6_omission_retention")
+@query("c6_omission_retention", with_(*DENSE, ck.HC3_RUNS, ck.OMITTED) + f"""SELECT omitted_patient, count(*) AS valid_features, count(*) FILTER (hit) AS bh_hits,
+  count(*) FILTER (hit AND full_hit) AS full_hits_retained, {q6('count(*) FILTER (hit AND full_hit) / greatest(1, count(*) FILTER (full_hit))')} AS full_hit_fraction_retained FROM omissions GROUP BY 1""")
 def c6_retention(spark, folder):
     scores, units = d.cohort(spark, folder)
     tests_ = co.leave_one_out_tests(scores, units, BY_FRACTION, "conditionDisease", ["run1", "run2"])
@@ -417,7 +421,8 @@ def c11(spark, folder):
     return r6(out, *[f"p_{c}" for c in su.CLASSES], "retention", "pf_mean", "control_mean")
 
 
-@query("c12_support_distribution")
+@query("c12_support_distribution", with_(*DENSE, ck.SUPPORTED) + f"""SELECT feature_id, {q6('pt * c0')} AS p_pf_restricted, {q6('ct * p0')} AS p_control_restricted, {q6('pt * ct')} AS p_shared,
+  {q6('1 - pt * c0 - ct * p0 - pt * ct')} AS p_other FROM sides""")
 def c12(spark, folder):
     out = su.exact_class_probabilities(*d.cohort(spark, folder), 50)
     return r6(out, *[f"p_{c}" for c in su.CLASSES])
