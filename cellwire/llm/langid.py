@@ -6,8 +6,8 @@ with learned transitions they give every word of a text its label probabilities
 so words of code-switched text are labelled in context. A text's language has the largest mean
 probability over its words, and that mean is the score.
 
-The field is fitted on a bounded sample of labelled rows (``SAMPLE`` texts of at most ``SAMPLE_BYTES``
-bytes), spliced into code-switched sequences so that transitions are learned. Every text is labelled
+The field is fitted on a bounded sample of labelled rows (``SAMPLE`` texts, equally many of each language, at most
+``SAMPLE_BYTES`` bytes of each), spliced into code-switched sequences so that transitions are learned. Every text is labelled
 whole: words are scored once each, and forward-backward runs over blocks of words, first with the
 blocks' transfer matrices, then inside all blocks at once.
 """
@@ -17,7 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwire.llm.common import slices, text_of
@@ -25,6 +25,7 @@ from cellwire.llm.repeats import gram_hashes, mixed
 
 SAMPLE = 1500
 SAMPLE_BYTES = 20_000
+LEAST_OF_EACH = 8
 FEATURES = 1 << 16
 BLOCK = 32
 CACHE_WORDS = 400_000
@@ -302,14 +303,31 @@ def learnt(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL AND lang IS NOT NULL AND coalesce(crc32(CAST(doc_id AS STRING)) % 4, 2) <> 2")
 
 
+def sample_of(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, least: int = LEAST_OF_EACH) -> DataFrame:
+    """(doc_id, text, lang) of the labelled rows that a field is fitted on, chosen by a hash of the id.
+
+    Every language gives equally many documents, ``sample`` in all, or ``least`` each where that is more; one
+    with fewer gives all it has. A text above ``sample_bytes`` bytes gives a stretch of a quarter as many characters.
+    """
+    usable = learnt(docs).select("doc_id", "text", "lang")
+    langs = usable.select("lang").distinct().count()
+    each = max(least, sample // max(1, langs))
+    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    # Ids first: a document of several rows counts once, and no text is sorted.
+    ids = usable.select("lang", "doc_id").distinct().withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= each).drop("_n")
+    rows = usable.join(F.broadcast(ids), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
+    length = sample_bytes // 4
+    start = f"1 + pmod(xxhash64(doc_id, 5), greatest(char_length(text) - {length}, 1))"
+    cut = F.expr(f"CASE WHEN octet_length(text) > {sample_bytes} THEN substring(text, CAST({start} AS INT), {length}) ELSE text END")
+    return rows.select("doc_id", cut.alias("text"), "lang")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
-    """Fit on at most ``sample`` whole labelled texts of at most ``sample_bytes`` bytes, chosen by a hash of the id.
+    """Fit on ``sample_of(docs)``; its size is bounded by the parameters, and nothing else reaches the driver.
 
-    The sample is the only thing that reaches the driver; its size is bounded by the parameters.
+    Without labelled rows the field has the single label ``und``.
     """
-    usable = learnt(docs).where(F.octet_length("text") <= sample_bytes).select("doc_id", "text", "lang")
-    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    rows = sorted(usable.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample_of(docs, sample, sample_bytes).collect(), key=lambda r: (r["doc_id"], r["lang"]))
     if not rows:
         return Field([UNKNOWN], {})
     return Field.fit([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -93,25 +93,54 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     return _run(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+# Types that travel as text and come back as they were.
+_PLAIN = {"string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp_ntz"}
+
+
+def _as_text(column, kind: str):
+    if kind == "timestamp":
+        return F.unix_micros(column).cast("string")
+    return F.base64(column) if kind == "binary" else column.cast("string")
+
+
+def _from_text(column, kind: str):
+    if kind == "timestamp":
+        return F.timestamp_micros(column.cast("long"))
+    return F.unbase64(column) if kind == "binary" else column.cast(kind)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that are left by the rule of ``removed_bytes``, and n_chars, if there, their length.
 
     Every row stays, also one whose text is all gone (empty then; a null text becomes empty too). A
-    character cut by the border of a removed string goes whole. Other columns are kept as they are,
-    except columns called raw or chunk, which raise an error.
+    character cut by the border of a removed string goes whole. Other columns, whatever their names and types, are
+    kept as they are: plain ones travel with the text; with any other, the texts that change come back by a join.
+    A null doc_id stays null; one that is no number is an error.
     """
-    if {"raw", "chunk"} & set(docs.columns):
-        raise ValueError("columns named raw or chunk are not supported")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    # What is carried travels as one JSON string, so that nulls and types come back as they were.
-    schema = "doc_id long, carried string, text string"
-    carried = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
-    kept = _run(docs.withColumn("carried", carried), _texts, schema, "carried")
-    if others:
-        fields = ", ".join(f"`{c}`: {kinds[c]}" for c in others)
-        kept = kept.withColumn("carried", F.from_json("carried", f"struct<{fields}>"))
-    columns = {c: F.col("carried").getField(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    plain = all(kinds[c] in _PLAIN | {"timestamp", "binary"} or kinds[c].startswith("decimal") for c in others)
+    if plain:
+        texts = F.struct(*[_as_text(quoted[c], kinds[c]).alias(f"c{k}") for k, c in enumerate(others)]) if others else None
+        carried = F.to_json(texts) if others else F.lit("{}")
+        read = docs.select("doc_id", "text", carried.alias("carried"))
+        kept = _run(read, _texts, "doc_id long, carried string, text string", "carried")
+        fields = ", ".join(f"c{k} string" for k in range(len(others)))
+        held = F.from_json("carried", fields) if others else F.lit(None)
+        kept = kept.withColumn("carried", held)
+        columns = {c: _from_text(F.col(f"carried.c{k}"), kinds[c]) for k, c in enumerate(others)}
+        columns |= {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text")}
+    else:
+        # Equal texts of one id leave the same, so the id and a digest of the text name the result.
+        name = F.sha2(F.coalesce(quoted["text"], F.lit("")), 256)
+        read = docs.select("doc_id", "text", name.alias("digest"))
+        left = _run(read, _texts, "doc_id long, digest string, text string", "digest").where(F.sha2("text", 256) != F.col("digest"))
+        left = left.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("text").alias("_left")).distinct()
+        rows = docs.select(F.struct(*quoted.values()).alias("row"), quoted["doc_id"].cast("long").alias("_key"), name.alias("_name"))
+        kept = rows.join(left, rows["_key"].eqNullSafe(left["_id"]) & (rows["_name"] == left["_digest"]), "left")
+        columns = {c: F.col("row").getField(c) for c in docs.columns}
+        columns["text"] = F.coalesce("_left", columns["text"], F.lit(""))
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("text").cast(kinds["n_chars"])
+        columns["n_chars"] = F.length(columns["text"]).cast(kinds["n_chars"])
     return kept.select(*(columns[c].alias(c) for c in docs.columns))
