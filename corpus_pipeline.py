@@ -33,11 +33,23 @@ def _stage(work):
     return run_stage
 
 
+# A text whose words are on average less certain than this to be of its language has none.
+LEAST_SCORE = 0.5
+
+
 @_stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; texts that are null or have no letter go."""
-    label = langid.language(langid.fit(docs), spark)
-    return docs.where(label("text").getField("lang_pred") != langid.UNKNOWN)
+    """Documents whose text has a language.
+
+    Texts that are null or have no letter go, and those that the field places with a score below
+    ``LEAST_SCORE``. Where no row has a language to learn from, every document stays.
+    """
+    field = langid.fit(docs)
+    if field.labels == [langid.UNKNOWN]:
+        return docs
+    found = langid.language(field, spark)("text")
+    return docs.withColumn("_found", found).where(
+        (F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
 
 
 @_stage
