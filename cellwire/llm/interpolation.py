@@ -7,9 +7,10 @@ number of start marks, which are never counted as tokens, and end with an end to
 
 Counts cover all training documents. They are gathered without a row per token: a chunk of documents sends its
 distinct grams, packed, to buckets of the hash space; a bucket adds them up over all chunks and answers each chunk
-with what the others hold. Words keep 64-bit hashes; longer grams keep ``24 + log2(tokens)`` bits, so about one gram
-in sixteen million shares its count with another at any size. The chunks then store the counts along their texts,
-from which the texts are scored without another exchange.
+with what the others hold. Grams of three and more are asked about in a second round, and only where all their pairs
+stand in other chunks too; the others can't. Words keep 64-bit hashes; longer grams keep ``22 + log2(tokens)`` bits,
+so about one gram in four million shares its count with another at any size. The chunks then store the counts along
+their texts, from which the texts are scored without another exchange.
 
 The weights are learned by expectation-maximisation on held-out counts: training documents are halved by their id, and
 the tokens of each half are predicted from the counts of the other. Tokens with the same buckets and, to an eighth
@@ -18,10 +19,9 @@ the driver gets one row per pair of buckets.
 """
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from cellwire.llm.repeats import joined, mixed
 from cellwire.operators.session import materialize
 
 ORDER = 3
-CHUNK = 1 << 24  # bytes of text
+CHUNK = 1 << 23  # bytes of text
 GRAMS = 1 << 21  # of a bucket, about
 PART = 1 << 22  # bytes that are cut into words at once
 STEPS = 4  # of estimates, per binary order
@@ -90,92 +90,150 @@ def _counted(own: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences of the fewest bytes that hold the largest."""
+    """Ascending keys as differences of a fixed number of bytes, the few larger ones as eight bytes behind them."""
     if not len(keys):
         return b""
     steps = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    limit = {w: np.uint64(256 ** w - 1) for w in range(1, 8)}
+    width = min(limit, key=lambda w: w * len(steps) + 8 * int((steps >= limit[w]).sum()))
+    large = steps[steps >= limit[width]]
+    low = np.minimum(steps, limit[width]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + len(steps).to_bytes(8, "little") + np.ascontiguousarray(low).tobytes() + large.astype("<u8").tobytes()
 
 
 def unpacked_keys(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    width = raw[0]
-    steps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8, n * width, 9).reshape(-1, width)
+    steps = steps.view("<u8").ravel()
+    steps[steps == np.uint64(256 ** width - 1)] = np.frombuffer(raw, "<u8", offset=9 + n * width)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def packed_counts(*columns: np.ndarray) -> bytes:
     """Columns of counts, one byte each; those from 255 on follow as eight bytes."""
     flat = np.concatenate(columns).astype(np.int64)
     large = flat[flat >= 255].astype("<i8").tobytes()
-    return zlib.compress(np.minimum(flat, 255).astype(np.uint8).tobytes() + large, 1)
+    return zstandard.compress(np.minimum(flat, 255).astype(np.uint8).tobytes() + large, 3)
 
 
 def unpacked_counts(raw: bytes, n: int, columns: int) -> np.ndarray:
-    data = zlib.decompress(raw)
+    data = zstandard.decompress(raw)
     flat = np.frombuffer(data, np.uint8, n * columns).astype(np.int64)
     flat[flat == 255] = np.frombuffer(data, "<i8", offset=n * columns)
     return flat.reshape(columns, n)
 
 
+def packed_texts(rows: pd.DataFrame) -> bytes:
+    """Ids, halves and texts of some documents, compressed; a null id has its mark."""
+    raws = [r or b"" for r in rows["raw"]]
+    known = rows["doc_id"].notna().to_numpy()
+    ids = rows["doc_id"].fillna(0).to_numpy(np.int64)
+    parts = [np.array([len(raws)], np.int64), ids, np.array([len(r) for r in raws], np.int64), known.astype(np.int8), rows["half"].to_numpy(np.int8)]
+    return zstandard.compress(b"".join([p.tobytes() for p in parts] + raws), 3)
+
+
+def unpacked_texts(packs) -> tuple[list, np.ndarray, list[bytes]]:
+    ids, halves, raws = [], [], []
+    for pack in packs:
+        data = zstandard.decompress(pack)
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        numbers = np.frombuffer(data, np.int64, 2 * n, 8)
+        marks = np.frombuffer(data, np.int8, 2 * n, 8 + 16 * n)
+        ids += [i if k else None for i, k in zip(numbers[:n].tolist(), marks[:n].tolist(), strict=True)]
+        halves.append(marks[n:])
+        ends = 8 + 18 * n + np.cumsum(numbers[n:])
+        raws += [data[a:b] for a, b in zip((ends - numbers[n:]).tolist(), ends.tolist(), strict=True)]
+    return ids, np.concatenate(halves), raws
+
+
 def digits(counts: np.ndarray) -> np.ndarray:
     """The number of binary digits of a count; 0 for 0."""
     return np.frexp(counts.astype(np.float64))[1]
 
 
+class Part:
+    """The distinct grams of one kind in a chunk, with their number in each half, cut by bucket."""
+
+    def __init__(self, keys: np.ndarray, half: np.ndarray, size: int, bucket_bits: int):
+        self.keys, self.at, self.cut = _distinct(keys)
+        self.own = np.stack([_counted(half == k, self.at, self.cut) for k in (0, 1)])
+        self.base = np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(size - bucket_bits)
+        self.edges = np.r_[np.searchsorted(self.keys, self.base), len(self.keys)].tolist()
+
+    def asked(self, chunk: int, kind: int) -> list[tuple]:
+        rows = []
+        for b, base in enumerate(self.base):
+            some = slice(self.edges[b], self.edges[b + 1])
+            if self.edges[b] < self.edges[b + 1]:
+                rows.append((chunk, b, kind, packed_keys(self.keys[some] - base), packed_counts(*self.own[:, some])))
+        return rows
+
+    def others(self, answers: pd.DataFrame) -> np.ndarray:
+        """What other chunks hold of each distinct gram: counts of both halves, and whether any has it, counted or not."""
+        out = np.zeros((3, len(self.keys)), np.int64)
+        for b, raw in zip(answers["bucket"], answers["counts"], strict=True):
+            out[:, self.edges[b]:self.edges[b + 1]] = unpacked_counts(raw, self.edges[b + 1] - self.edges[b], 3)
+        return out
+
+    def along(self, counts: np.ndarray) -> np.ndarray:
+        """The counts of the distinct grams at every gram that went in."""
+        out = np.empty(len(self.at), counts.dtype)
+        out[self.at] = np.repeat(counts, np.diff(np.r_[self.cut, len(self.at)]))
+        return out
+
+
 class Chunk:
-    """The distinct grams of a chunk's texts, words and longer ones apart, by bucket."""
+    """The texts of a chunk as tokens and grams. Words (kind 0), pairs (1) and longer grams (2) are asked for apart."""
 
-    def __init__(self, raws: list[bytes], half: np.ndarray, order: int, bits: int, bucket_bits: int):
+    def __init__(self, texts: pd.DataFrame, order: int, bits: int, bucket_bits: int):
+        self.ids, half, raws = unpacked_texts(texts["texts"])
         self.words, self.sizes = tokens(raws)
-        each = grams(self.words, self.sizes, order)
+        del raws
+        self.half = np.repeat(half, self.sizes)
+        self.bits, self.bucket_bits = bits, bucket_bits
         shift = np.uint64(64 - bits)
-        half = np.repeat(half, self.sizes)
-        self.parts = []
-        for keys, size in [(each[0], 64)] + ([(np.concatenate(each[1:]) >> shift, bits)] if order > 1 else []):
-            times = len(keys) // max(1, len(self.words))
-            distinct, at, cut = _distinct(keys)
-            own = [_counted(np.tile(half == k, times), at, cut) for k in (0, 1)]
-            base = np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(size - bucket_bits)
-            edges = np.r_[np.searchsorted(distinct, base), len(distinct)]
-            self.parts.append((distinct, at, cut, own, base, edges))
-
-
-def _asked(chunk: int, held: Chunk, buckets: int) -> pd.DataFrame:
-    rows = []
-    for b in range(buckets):
-        row = []
-        for distinct, _, _, own, base, edges in held.parts:
-            some = slice(edges[b], edges[b + 1])
-            row += [packed_keys(distinct[some] - base[b]), packed_counts(own[0][some], own[1][some])]
-        if any(row[::2]):
-            rows.append((chunk, b, *(row + [b"", b""])[:4]))
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "words", "word_counts", "grams", "gram_counts"])
+        self.grams = [self.words, *(g >> shift for g in grams(self.words, self.sizes, order)[1:])]
+
+    def part(self, kind: int, opened: list[np.ndarray] | None = None) -> Part:
+        if kind < 2:
+            return Part(self.grams[kind], self.half, self.bits if kind else 64, self.bucket_bits)
+        keys = np.concatenate([g[o] for g, o in zip(self.grams[2:], opened, strict=True)])
+        return Part(keys, np.concatenate([self.half[o] for o in opened]), self.bits, self.bucket_bits)
+
+    def opened(self, pairs: Part, others: np.ndarray, order: int) -> list[np.ndarray]:
+        """For each order from three on, the tokens whose gram may stand in other chunks: all its pairs do."""
+        seen = pairs.along(others[2] > 0)
+        place = np.arange(len(seen)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        out = [seen]
+        for back in range(1, order - 1):
+            before = np.ones_like(seen)
+            before[back:] = seen[:-back]
+            out.append(out[-1] & (before | (place < back)))
+        return out[1:]
+
+
+ASKED = "chunk int, bucket int, kind int, keys binary, counts binary"
+ANSWERED = "chunk int, bucket int, kind int, counts binary, known long"
 
 
 def _answered(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk's keys, what other chunks hold; the bucket's own totals go with one of them."""
+    """For each chunk's keys, what other chunks hold; the bucket's number of known words goes with one of them."""
     rows = rows.sort_values("chunk")
-    out = {"chunk": rows["chunk"].to_numpy(), "bucket": rows["bucket"].to_numpy()}
-    known = 0
-    for name in ("word", "gram"):
-        keys = [unpacked_keys(k) for k in rows[f"{name}s"]]
-        sizes = [len(k) for k in keys]
-        own = np.concatenate([unpacked_counts(c, n, 2) if c else np.zeros((2, 0), np.int64) for c, n in zip(rows[f"{name}_counts"], sizes, strict=True)], axis=1)
-        distinct, at, cut = _distinct(np.concatenate(keys))
-        del keys
-        place = np.empty(len(at), np.int64)
-        place[at] = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(at)]))
-        total = np.stack([_counted(own[k], at, cut) for k in (0, 1)])
-        if name == "word":
-            known = int((total.sum(axis=0) > 0).sum())
-        others = total[:, place] - own
-        edges = np.cumsum([0, *sizes])
-        out[f"{name}_counts"] = [packed_counts(others[0, a:b], others[1, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    out = pd.DataFrame(out)
+    keys = [unpacked_keys(k) for k in rows["keys"]]
+    edges = np.cumsum([0, *(len(k) for k in keys)]).tolist()
+    distinct, at, cut = _distinct(np.concatenate(keys))
+    del keys, distinct
+    place = np.empty(len(at), np.int64)
+    place[at] = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(at)]))
+    own = np.concatenate([unpacked_counts(c, b - a, 2) for c, a, b in zip(rows["counts"], edges[:-1], edges[1:], strict=True)], axis=1)
+    total = np.stack([_counted(c, at, cut) for c in own])
+    known = int((total.sum(axis=0) > 0).sum()) if rows["kind"].iloc[0] == 0 else 0
+    others = np.vstack([total[:, place] - own, (np.diff(np.r_[cut, len(at)]) > 1)[place]])
+    out = rows[["chunk", "bucket", "kind"]].copy()
+    out["counts"] = [packed_counts(*others[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     out["known"] = [known, *[0] * (len(out) - 1)]
     return out
 
@@ -199,29 +257,42 @@ def _contexts(counts: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _longer(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int, bucket_bits: int) -> pd.DataFrame:
+    """What a chunk asks about its grams of three and more tokens, once it knows which pairs stand elsewhere."""
+    held = Chunk(texts, order, bits, bucket_bits)
+    pairs = held.part(1)
+    opened = held.opened(pairs, pairs.others(answers[answers["kind"] == 1]), order)
+    del pairs
+    return pd.DataFrame(held.part(2, opened).asked(int(texts["chunk"].iloc[0]), 2), columns=["chunk", "bucket", "kind", "keys", "counts"])
+
+
 def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int, bucket_bits: int) -> pd.DataFrame:
     """The counts along each text of a chunk, and the held-out counts of its training tokens by cell."""
-    half = texts["half"].to_numpy()
-    held = Chunk([r or b"" for r in texts["raw"]], half, order, bits, bucket_bits)
+    held = Chunk(texts, order, bits, bucket_bits)
     n = len(held.words)
     along: list[list[np.ndarray]] = [[], []]
-    for part, name in zip(held.parts, ("word", "gram"), strict=False):
-        distinct, at, cut, own, _, edges = part
-        total = np.stack(own)
-        for b, raw in zip(answers["bucket"], answers[f"{name}_counts"], strict=True):
-            size = edges[b + 1] - edges[b]
-            if size:
-                total[:, edges[b]:edges[b + 1]] += unpacked_counts(raw, size, 2)
-        times = np.diff(np.r_[cut, len(at)])
+    opened: list[np.ndarray] = []
+    for kind in range(min(order, 3)):
+        part = held.part(kind, opened)
+        others = part.others(answers[answers["kind"] == kind])
+        if kind == 1 and order > 2:
+            opened = held.opened(part, others, order)
         for k in (0, 1):
-            place = np.empty(len(at), np.int64)
-            place[at] = np.repeat(total[k], times)
-            along[k] += list(place.reshape(-1, n)) if n else [place] * (1 if name == "word" else order - 1)
-    of_token = np.repeat(half, held.sizes)
+            counts = part.along(part.own[k] + others[k])
+            if kind < 2:
+                along[k].append(counts)
+                continue
+            # Grams that nobody was asked about stand in this chunk only.
+            ends = np.cumsum([o.sum() for o in opened])
+            for gram, some, asked in zip(held.grams[2:], np.split(counts, ends[:-1]), opened, strict=True):
+                alone = Part(gram[~asked], held.half[~asked], held.bits, 0)
+                whole = np.empty(n, np.int64)
+                whole[asked], whole[~asked] = some, alone.along(alone.own[k])
+                along[k].append(whole)
     cells = []
     for k in (0, 1):
         # The tokens of one half by the counts of the other.
-        some = of_token == k
+        some = held.half == k
         counts, sizes = along[1 - k], held.sizes
         words = np.where(counts[0] > 0, 1 + np.rint(STEPS * np.log2(np.maximum(counts[0], 1))), 0).astype(np.int64)
         code = k * LEVELS + words
@@ -229,22 +300,21 @@ def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int
             code = (code * BUCKETS + digits(context)) * LEVELS + _code(context, count)
         cells.append(code[some])
     cell, times = np.unique(np.concatenate(cells), return_counts=True)
+    packed = (packed_keys(cell.astype(np.uint64)), packed_counts(times), len(cell))
+    del cells, cell, times
     both = [a + b for a, b in zip(*along, strict=True)]
-    train = [int((of_token == k).sum()) for k in (0, 1)]
-    rows, first, at, k = [], True, 0, 0
-    while k < len(texts) or first:
+    train = [int((held.half == k).sum()) for k in (0, 1)]
+    rows, at, k = [], 0, 0
+    while k < len(held.sizes):
         stop, total = k, 0
-        while stop < len(texts) and (stop == k or total + held.sizes[stop] <= PART // 16):
+        while stop < len(held.sizes) and (stop == k or total + held.sizes[stop] <= PART // 16):
             total += held.sizes[stop]
             stop += 1
-        ids = [None if pd.isna(i) else int(i) for i in texts["doc_id"].iloc[k:stop]]
-        rows.append((
-            ids, held.sizes[k:stop].tolist(), packed_counts(*(c[at:at + total] for c in both)),
-            cell.tolist() if first else [], times.tolist() if first else [],
-            int(answers["known"].sum()) if first else 0, train[0] if first else 0, train[1] if first else 0,
-        ))
-        first, at, k = False, at + total, stop
-    return pd.DataFrame(rows, columns=["ids", "sizes", "counts", "cell", "times", "known", "train_0", "train_1"])
+        counts = packed_counts(*(c[at:at + total] for c in both))
+        rows.append((held.ids[k:stop], held.sizes[k:stop].tolist(), counts, *(packed if not k else (b"", b"", 0)),
+                     *((int(answers["known"].sum()), *train) if not k else (0, 0, 0))))
+        at, k = at + total, stop
+    return pd.DataFrame(rows, columns=["ids", "sizes", "counts", "cells", "times", "n_cells", "known", "train_0", "train_1"])
 
 
 def held_out(column: str = "doc_id") -> F.Column:
@@ -259,26 +329,41 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
     raw = F.coalesce("text", F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(max(1, size // CHUNK, min(48, size >> 20)))
-    bucket_bits = max(0, int(size // 6 * order // GRAMS).bit_length())
-    bits = min(64, 24 + int(size // 6 + 1).bit_length())
+    bucket_bits = max(0, int(size // 6 // GRAMS).bit_length())
+    bits = min(64, 22 + int(size // 6 + 1).bit_length())
     # Training documents are halved by another digit of the same hash.
     half = F.when(held_out(), 2).otherwise(F.coalesce(F.expr("CAST(crc32(CAST(doc_id AS STRING)) div 5 % 2 AS INT)"), F.lit(0)))
     chunk = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(chunks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"), half.alias("half"), chunk.alias("chunk")).repartition(chunks, "chunk")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"), half.alias("half"), chunk.alias("chunk"))
+
+    def pack(batches):
+        for batch in batches:
+            packs = [(int(k), packed_texts(part)) for k, part in batch.groupby("chunk")]
+            yield pd.DataFrame(packs, columns=["chunk", "texts"])
+
+    dealt = rows.mapInPandas(pack, "chunk int, texts binary").repartition(chunks, "chunk")
 
     def ask(texts: pd.DataFrame) -> pd.DataFrame:
-        held = Chunk([r or b"" for r in texts["raw"]], texts["half"].to_numpy(), order, bits, bucket_bits)
-        return _asked(int(texts["chunk"].iloc[0]), held, 1 << bucket_bits)
+        held, chunk = Chunk(texts, min(order, 2), bits, bucket_bits), int(texts["chunk"].iloc[0])
+        rows = [row for kind in range(min(order, 2)) for row in held.part(kind).asked(chunk, kind)]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "keys", "counts"])
+
+    def longer(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _longer(texts, answers, order, bits, bucket_bits)
 
     def annotate(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return _annotated(texts, answers, order, bits, bucket_bits)
 
-    asked = dealt.groupBy("chunk").applyInPandas(ask, "chunk int, bucket int, words binary, word_counts binary, grams binary, gram_counts binary")
-    answered = asked.repartition(1 << bucket_bits, "bucket").groupBy("bucket").applyInPandas(
-        _answered, "chunk int, bucket int, word_counts binary, gram_counts binary, known long")
-    both = dealt.groupBy("chunk").cogroup(answered.repartition(chunks, "chunk").groupBy("chunk"))
+    def answered(asked: DataFrame) -> DataFrame:
+        return asked.repartition(1 << bucket_bits, "bucket").groupBy("bucket", "kind").applyInPandas(_answered, ANSWERED).repartition(chunks, "chunk")
+
+    answers = answered(dealt.groupBy("chunk").applyInPandas(ask, ASKED))
+    if order > 2:
+        again = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(longer, ASKED)
+        answers = answers.unionByName(answered(again))
+    both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return materialize(both.applyInPandas(
-        annotate, "ids array<long>, sizes array<long>, counts binary, cell array<long>, times array<long>, known long, train_0 long, train_1 long"))
+        annotate, "ids array<long>, sizes array<long>, counts binary, cells binary, times binary, n_cells long, known long, train_0 long, train_1 long"))
 
 
 class Mixture:
@@ -357,7 +442,14 @@ class Mixture:
 def model(stored: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Mixture:
     """Learn the mixture weights from the cells of a table of ``counted``."""
     totals = stored.agg(F.sum("known"), F.sum("train_0"), F.sum("train_1")).first()
-    cells = stored.select(F.explode(F.arrays_zip("cell", "times")).alias("c")).groupBy("c.cell").agg(F.sum("c.times").alias("times"))
+
+    def unpack(batches):
+        for batch in batches:
+            for cells, times, n in zip(batch["cells"], batch["times"], batch["n_cells"], strict=True):
+                yield pd.DataFrame({"cell": unpacked_keys(cells).astype(np.int64), "times": unpacked_counts(times, int(n), 1)[0]})
+
+    packed = stored.where("n_cells > 0").select("cells", "times", "n_cells")
+    cells = packed.mapInPandas(unpack, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
     return Mixture(order, totals[0] or 0, (totals[1] or 0, totals[2] or 0), rounds).learned(cells)
 
 
