@@ -20,13 +20,6 @@ LIB = "lib AS (SELECT barcode, CAST(sum(n) AS BIGINT) AS umi, count(DISTINCT gen
 CC = (d.COUNTS, LIB)
 
 
-def write_lines(head, body, path):
-    """One gzip text file with the head lines first."""
-    lines = head.withColumn("_k", F.lit(0)).unionByName(body.withColumn("_k", F.lit(1)))
-    lines.coalesce(1).sortWithinPartitions("_k", F.col("value").startswith("%").desc(), "value").select(
-        "value").write.text(path, compression="gzip")
-
-
 def new_path(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -428,17 +421,11 @@ FEATURE_NAMES = "'f' || CAST(s_suppkey % 60 AS VARCHAR)"
 def s1(spark, folder):
     """Write the counts as a sparse matrix folder and read them back."""
     path = new_path(spark, "mex")
-    counts = d.counts(spark, folder)
-    sup, part = d.table(spark, folder, "supplier"), d.table(spark, folder, "part")
-    sup.orderBy("s_suppkey").select(F.concat_ws(
-        "\t", F.col("s_suppkey").cast("string"), F.concat(F.lit("f"), (F.col("s_suppkey") % 60).cast("string")), F.lit("Gene Expression"))
-    ).coalesce(1).write.text(f"{path}/features.tsv")
-    part.orderBy("p_partkey").select(F.col("p_partkey").cast("string")).coalesce(1).write.text(f"{path}/barcodes.tsv")
-    size = spark.sql("SELECT explode(array('%%MatrixMarket matrix coordinate integer general', '% counts')) AS value").unionByName(
-        sup.agg(F.count("*").alias("a")).join(part.agg(F.count("*").alias("b")), F.lit(True)).select(
-            F.format_string(f"%d %d {counts.count()}", "a", "b").alias("value")))
-    body = counts.select(F.format_string("%d %d %d", F.col("feature_id") + 1, F.col("barcode") + 1, "n").alias("value"))
-    write_lines(size, body, f"{path}/matrix.mtx")
+    features = d.table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("feature_id"), F.concat(F.lit("f"), (F.col("s_suppkey") % 60).cast("string")).alias("feature_name"),
+        F.lit("Gene Expression").alias("feature_type"))
+    barcodes = d.table(spark, folder, "part").select(F.col("p_partkey").alias("barcode"))
+    sources.write_mex(d.counts(spark, folder), features, barcodes, path)
     return sources.read_mex(spark, path)
 
 
@@ -458,7 +445,7 @@ def s3(spark, folder):
     path = new_path(spark, "features")
     key = F.col("s_suppkey").cast("string")
     d.table(spark, folder, "supplier").orderBy("s_suppkey").select(
-        F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws("\t", key, "s_name")).otherwise(key)).coalesce(1).write.text(path)
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws("\t", key, "s_name")).otherwise(key)).write.text(path)
     return sources.read_features(spark, path)
 
 
@@ -470,12 +457,7 @@ WIDE = """wide AS (SELECT CAST(s_nationkey AS VARCHAR) || 'x' || CAST(s_nationke
 def s5(spark, folder):
     """Write a gene by spot text table and read it back as long counts."""
     path = new_path(spark, "wide")
-    long = spot_counts(spark, folder)
-    spots = [r[0] for r in d.table(spark, folder, "supplier").select(spot_name()).distinct().orderBy("spot_id").collect()]
-    table = long.groupBy("gene").pivot("spot_id", spots).sum("n").fillna(0)
-    head = spark.sql("SELECT :line AS value", args={"line": "\t".join(["", *spots])})
-    row = F.concat_ws("\t", "gene", *[F.col(f"`{s}`").cast("string") for s in spots]).alias("value")
-    write_lines(head, table.select(row), path)
+    sources.write_wide_counts(spot_counts(spark, folder), path)
     return sources.read_wide_counts(spark, path)
 
 

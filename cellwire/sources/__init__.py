@@ -5,4 +5,10 @@ from cellwire.sources.readers import (  # noqa: F401
     read_positions,
     read_wide_counts,
 )
-from cellwire.sources.writers import rebuild_zero_filled, write_nonzero, write_records  # noqa: F401
+from cellwire.sources.writers import (  # noqa: F401
+    rebuild_zero_filled,
+    write_mex,
+    write_nonzero,
+    write_records,
+    write_wide_counts,
+)

@@ -18,10 +18,19 @@ POSITION_COLUMNS = [
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their file split and their order inside it."""
+    """Text lines with their file split and their order inside it; files of a folder follow each other by name."""
     return spark.read.text(path).select(
         "value", F.format_string("%s|%020d", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("_split"),
-        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_order"))
+        F.monotonically_increasing_id().alias("_order"))
+
+
+def _head_and_body(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first line of the first split and all others; one pair of values comes to the driver."""
+    first = lines.agg(F.min(F.struct("_split", "_order")).alias("f")).select("f.*").first()
+    if first is None or first["_split"] is None:
+        return lines.limit(0), lines
+    is_head = (F.col("_split") == first["_split"]) & (F.col("_order") == first["_order"])
+    return lines.where(is_head), lines.where(~is_head)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -63,9 +72,9 @@ def read_mex(spark: SparkSession, folder: str, gene_column: int = 2, keep_ids: D
     unique; otherwise it is an error, so a cut file cannot pass for a smaller one.
     """
     body = _lines(spark, _first_existing(spark, folder, ["matrix.mtx.gz", "matrix.mtx"])).where(~F.col("value").startswith("%"))
-    size_line = body.where("_start = 0").agg(F.min("_order")).scalar()
+    head, body = _head_and_body(body)
     part = F.split(F.trim("value"), r"\s+")
-    entries = body.where((F.col("_start") != 0) | (F.col("_order") != size_line)).select(
+    entries = body.select(
         part[0].cast("long").alias("row"), part[1].cast("long").alias("col"), part[2].cast("long").alias("n"))
     listed = read_features(spark, _first_existing(
         spark, folder, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]))
@@ -79,7 +88,7 @@ def read_mex(spark: SparkSession, folder: str, gene_column: int = 2, keep_ids: D
         features = features.join(keep_ids.select("feature_id").distinct(), "feature_id", "left_semi")
     barcodes = numbered_lines(spark, _first_existing(spark, folder, ["barcodes.tsv.gz", "barcodes.tsv"])).select(
         F.col("line").alias("col"), F.split("value", "\t")[0].alias("barcode"))
-    header = body.where((F.col("_start") == 0) & (F.col("_order") == size_line)).select(
+    header = head.select(
         *(part[k].cast("long").alias(c) for k, c in enumerate(["rows", "cols", "entries"])))
     found = entries.agg(
         F.count(F.lit(1)).alias("entries"), F.min("row").alias("low_row"), F.max("row").alias("high_row"),
@@ -116,13 +125,12 @@ def read_wide_counts(spark: SparkSession, path: str) -> DataFrame:
     Fields that are no integers come back as null counts, for the count validation to report.
     """
     lines = _lines(spark, path)
-    head = lines.where("_start = 0").orderBy("_order").limit(1)
+    head, body = _head_and_body(lines)
     clean = lambda c: F.regexp_replace(c, '"', "")
     names = head.select(F.posexplode(F.split(clean("value"), "\t")).alias("_i", "spot_id"))
     # The first field may be empty or absent; counting from the right aligns both forms.
     width = head.select(F.size(F.split("value", "\t"))).scalar()
     names = names.withColumn("_from_right", width - F.col("_i")).drop("_i")
-    body = lines.where((F.col("_start") != 0) | (F.col("_order") != head.select("_order").scalar()))
     part = F.split("value", "\t")
     long = body.select(clean(part[0]).alias("gene"), F.size(part).alias("_w"), F.posexplode(part).alias("_i", "_v")).where("_i > 0")
     return long.withColumn("_from_right", F.col("_w") - F.col("_i")).withColumn("n", F.col("_v").try_cast("long")).where(
