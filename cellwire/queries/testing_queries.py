@@ -8,6 +8,7 @@ from cellwire.operators import graph
 from cellwire.operators import permutation as pm
 from cellwire.queries import domain as d
 from cellwire.queries import scoring_queries as sq
+from cellwire.queries import testing_checks as tk
 from cellwire.queries.registry import q6, query, r6, with_
 
 B, SEED, BLOCK = 20, 1, 12.0
@@ -59,10 +60,10 @@ walk AS (SELECT st, b, cell_id, key, size, high, k // high AS x, k % high AS y,
 drawn AS (SELECT * FROM placed UNION ALL SELECT st, b, cell_id, x * high + y + 1 FROM walk WHERE i = 6 AND x * high + y < size)"""
 
 
-def drawn_sql(strata: str, source: str = "cells") -> str:
+def drawn_sql(strata: str, source: str = "cells", last: int = B) -> str:
     """Permuted labels: replicate b moves every cell's position and takes the label that owns the new one."""
     return f"""slots AS (SELECT {strata} AS st, "group" AS g, row_number() OVER (PARTITION BY {strata} ORDER BY "group", cell_id) AS k FROM {source}),
-{moved_sql(strata, source, B)},
+{moved_sql(strata, source, last)},
 labels AS (SELECT d.b, d.cell_id, s.g FROM drawn d JOIN slots s ON s.st = d.st AND s.k = d.k
   UNION ALL SELECT 0, cell_id, "group" FROM {source})"""
 
@@ -189,32 +190,27 @@ def strata(spark, folder):
 
 
 SIMPLE_LR = "slr AS (SELECT * FROM (VALUES (1, 'g02', 'g03'), (2, 'g04', 'g05'), (5, 'g12', 'g13'), (8, 'g23', 'g26'), (11, 'g30', 'g31'), (14, 'g35', 'g36')) AS t(lr_index, lg, rg))"
-ANALYTIC = """tri_obs AS (SELECT grp, gene, (quantile_cont(v, 0.25) + 2 * quantile_cont(v, 0.5) + quantile_cont(v, 0.75)) / 4 AS t, count(*) AS n FROM dval GROUP BY 1, 2),
-gq AS (SELECT gene, quantile_cont(v, 0.25) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.75) AS q2, quantile_cont(v, 0.30) - quantile_cont(v, 0.20) AS s0,
+ANALYTIC = """gq AS (SELECT gene, quantile_cont(v, 0.25) AS q0, quantile_cont(v, 0.5) AS q1, quantile_cont(v, 0.75) AS q2, quantile_cont(v, 0.30) - quantile_cont(v, 0.20) AS s0,
   quantile_cont(v, 0.55) - quantile_cont(v, 0.45) AS s1, quantile_cont(v, 0.80) - quantile_cont(v, 0.70) AS s2, count(*) AS nn FROM dval GROUP BY 1),
 inf AS (SELECT cell_id, gene, 0.25 * (0.25 - CASE WHEN v <= q0 THEN 1 ELSE 0 END) * s0 / 0.1 + 0.5 * (0.5 - CASE WHEN v <= q1 THEN 1 ELSE 0 END) * s1 / 0.1
   + 0.25 * (0.75 - CASE WHEN v <= q2 THEN 1 ELSE 0 END) * s2 / 0.1 AS f, 0.25 * q0 + 0.5 * q1 + 0.25 * q2 AS center, nn FROM dval JOIN gq USING (gene)),
 pair AS (SELECT lr_index, var_samp(a.f) AS va, var_samp(b.f) AS vb, covar_samp(a.f, b.f) AS cv, corr(a.f, b.f) AS cr, any_value(a.center) AS ca, any_value(b.center) AS cb, any_value(a.nn) AS nn
-  FROM slr JOIN inf a ON a.gene = lg JOIN inf b ON b.gene = rg AND b.cell_id = a.cell_id GROUP BY 1),
-az AS (SELECT s.lr_index, p.sender_group, p.receiver_group, (ln(l.t) + ln(r.t) - ln(ca) - ln(cb)) / sqrt((1.0 / l.n - 1.0 / nn) * va / (ca * ca) + (1.0 / r.n - 1.0 / nn) * vb / (cb * cb) - 2 * cv / nn / (ca * cb)) AS z, cr
-  FROM support p CROSS JOIN slr s JOIN pair USING (lr_index) JOIN tri_obs l ON l.grp = p.sender_group AND l.gene = lg JOIN tri_obs r ON r.grp = p.receiver_group AND r.gene = rg
-  WHERE p.sender_group <> p.receiver_group AND l.n >= 30 AND r.n >= 30 AND abs(cr) <= 0.8)"""
+  FROM slr JOIN inf a ON a.gene = lg JOIN inf b ON b.gene = rg AND b.cell_id = a.cell_id GROUP BY 1)"""
 
 
-@query("n9_analytic", with_(d.CELLS, DENSE_EXPR, sq.EDGES, sq.SUPPORT, SIMPLE_LR, ANALYTIC) + f"""SELECT lr_index, sender_group, receiver_group, {q6('z')} AS analytic_z,
-  {q6('cr')} AS influence_correlation FROM az""")
+ANALYTIC_COLUMNS = ["probability", "pvalue", "analytic_z", "analytic_log_sd", "influence_correlation"]
+DENSE_PATH = (d.CELLS, DENSE_EXPR, sq.EDGES, sq.SUPPORT, d.LR, d.MEMBERS, SIMPLE_LR)
+
+
+@query("n9_analytic", with_(*DENSE_PATH, *tk.DENSE_SCORES, ANALYTIC, tk.ALL_PAIRS) + tk.inferred("experimental_analytic"))
 def n9(spark, folder):
     from cellwire.operators.analytic import analytic_test
     one = d.cells(spark, folder).withColumn("block_id", F.lit("all"))
     out = analytic_test(dense_expression(spark, folder), one, sq.support(spark, folder), d.interactions(spark, folder))
-    return r6(out.where("fallback_reason IS NULL").select(
-        "lr_index", "sender_group", "receiver_group", "analytic_z", "influence_correlation"), "analytic_z", "influence_correlation")
-
-
-ANALYTIC_COLUMNS = ["probability", "pvalue", "analytic_z", "analytic_log_sd", "influence_correlation"]
+    return r6(out, *ANALYTIC_COLUMNS)
 
 
-@query("n9_analytic_reasons")
+@query("n9_analytic_reasons", with_(*sq.GROUP_PATH, SIMPLE_LR, tk.SPARSE) + tk.inferred("experimental_analytic"))
 def n9_reasons(spark, folder):
     from cellwire.operators.analytic import analytic_test
     out = analytic_test(d.expression(spark, folder), d.cells(spark, folder).withColumn("block_id", F.lit("all")),
@@ -222,7 +218,7 @@ def n9_reasons(spark, folder):
     return r6(out, *ANALYTIC_COLUMNS)
 
 
-@query("n10_stratified_analytic")
+@query("n10_stratified_analytic", with_(*DENSE_PATH, *tk.DENSE_SCORES, tk.BLOCK_SUMS) + tk.STRATIFIED)
 def n10(spark, folder):
     from cellwire.operators.analytic import stratified_analytic_test
     out = stratified_analytic_test(dense_expression(spark, folder), strata(spark, folder), sq.support(spark, folder), d.interactions(spark, folder))
@@ -240,14 +236,18 @@ def n11(spark, folder):
     return r6(weighted_quantiles(d.table(spark, folder, "lineitem"), ["l_suppkey"], "l_discount", "l_quantity", [0.25, 0.5, 0.75], ["q25", "q50", "q75"]), "q25", "q50", "q75")
 
 
-@query("n12_hybrid")
+STRATA = """scaled AS (SELECT cell_id, gene, v AS value FROM dval),
+blocks AS (SELECT cells.*, sample_id || '|' || compartment AS block_id FROM cells)"""
+
+
+@query("n12_hybrid", with_(*DENSE_PATH, *tk.DENSE_SCORES, tk.BLOCK_SUMS, STRATA, BLOCK_LABELS, NULL_SCORES, tk.hybrid(B)))
 def n12(spark, folder):
     from cellwire.operators.analytic import hybrid_test
     out = hybrid_test(dense_expression(spark, folder), strata(spark, folder), sq.support(spark, folder), d.interactions(spark, folder), n_perm=B)
     return r6(out, *ANALYTIC_COLUMNS, "analytic_pvalue")
 
 
-@query("n8_adaptive_permutation")
+@query("n8_adaptive_permutation", with_(*sq.BASE, d.LR, d.MEMBERS, BLOCKS, sq.EDGES, sq.SUPPORT, drawn_sql("block_id", "blocks", 60), NULL_SCORES, tk.adaptive((20, 40, 60), 1 - 0.01 / 4)))
 def n8(spark, folder):
     from cellwire.operators.analytic import adaptive_test
     out = adaptive_test(d.expression(spark, folder), blocks(spark, folder), sq.support(spark, folder), d.interactions(spark, folder),
