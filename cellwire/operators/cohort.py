@@ -547,14 +547,29 @@ def omission_retention(tests: DataFrame, full: DataFrame, alpha: float = 0.05) -
         (count(hit & F.col("_full")) / F.greatest(F.lit(1), count(F.col("_full")))).alias("full_hit_fraction_retained"))
 
 
+MARGIN = 1e-12
+
+
+def agreement(left: str, right: str) -> Column:
+    """1.0 where two estimates have one sign. One that is tiny beside the other is rounding and counts as 0."""
+    floor = F.lit(MARGIN) * F.greatest(F.abs(F.col(left)), F.abs(F.col(right)))
+    sign = lambda c: F.when(F.abs(F.col(c)) <= floor, F.lit(0.0)).otherwise(F.signum(F.col(c)))
+    return (sign(left) == sign(right)).cast("double")
+
+
+def significant(column: str) -> Column:
+    """Twelve significant digits, so that ranks tie by a relative margin at any size."""
+    return F.format_string("%.11e", F.col(column)).cast("double")
+
+
 def omission_summary(omissions: DataFrame, by: str = "feature_id") -> DataFrame:
     """Range of the estimates and share of equal direction per feature (or per patient)."""
-    sign = (F.signum(F.round("estimate", 12)) == F.signum(F.round("full_estimate", 12))).cast("double")
+    sign = agreement("estimate", "full_estimate")
     out = omissions.groupBy(by).agg(
         F.min("estimate").alias("estimate_min"), F.max("estimate").alias("estimate_max"), F.avg(sign).alias("direction_agreement"))
     if by == "feature_id":
         return out
-    ranks = spearman(omissions.select(by, F.round("estimate", 12).alias("a"), F.round("full_estimate", 12).alias("b")), [by], "a", "b", "estimate_spearman")
+    ranks = spearman(omissions.select(by, significant("estimate").alias("a"), significant("full_estimate").alias("b")), [by], "a", "b", "estimate_spearman")
     return out.join(ranks, by)
 
 
@@ -593,7 +608,7 @@ def balanced_effects(
     whole = y.join(rows, "patient_id").groupBy("feature_id").agg(*_vector_sum(p, F.col("y"))).select(
         "feature_id", reduce(lambda a, b: a + b, [F.lit(float(full[k, i])) * F.col(f"s{i}") for i in range(p)]).alias("full_estimate"))
     grid = whole.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).join(found, ["b", "feature_id"], "left").fillna(0.0, ["effect"])
-    sign = (F.signum(F.round("effect", 12)) == F.signum(F.round("full_estimate", 12))).cast("double")
+    sign = agreement("effect", "full_estimate")
     stats = grid.groupBy("feature_id").agg(
         F.min("effect").alias("minimum"), F.max("effect").alias("maximum"), F.avg(sign).alias("direction_agreement"))
     q = quantiles(grid, ["feature_id"], "effect", [0.025, 0.5, 0.975], ["descriptive_p025", "median", "descriptive_p975"])
@@ -638,7 +653,7 @@ def compare_models(primary: DataFrame, models: dict[str, DataFrame], alpha: floa
         F.count(F.lit(1)).alias("features"), count(F.col("status") == "ok").alias("valid_features"), count(hit).alias("bh_hits"),
         count(hit & first).alias("primary_hits_retained"), (count(hit & first) / count(first)).alias("primary_hit_retention"),
         count(common).alias("common_valid"), F.avg(F.when(common, same)).alias("direction_agreement"))
-    ranks = spearman(held.where(common).select("model", F.round("estimate", 12).alias("a"), F.round("_e", 12).alias("b")), ["model"], "a", "b", "effect_spearman")
+    ranks = spearman(held.where(common).select("model", significant("estimate").alias("a"), significant("_e").alias("b")), ["model"], "a", "b", "effect_spearman")
     return out.join(ranks, "model", "left")
 
 
@@ -650,7 +665,7 @@ def hit_overlap(left: DataFrame, right: DataFrame, alpha: float = 0.05) -> DataF
     common = (F.col("l_status") == "ok") & (F.col("r_status") == "ok")
     count = lambda c: F.count(F.when(c, 1))
     same = (F.signum("l_estimate") == F.signum("r_estimate")).cast("double")
-    rank = spearman(held.where(common).select(F.round("l_estimate", 12).alias("a"), F.round("r_estimate", 12).alias("b")), [], "a", "b", "r")
+    rank = spearman(held.where(common).select(significant("l_estimate").alias("a"), significant("r_estimate").alias("b")), [], "a", "b", "r")
     return held.agg(
         count(hit["l_"]).alias("left_significant"), count(hit["r_"]).alias("right_significant"),
         count(hit["l_"] & hit["r_"]).alias("overlap"), (count(hit["l_"] & hit["r_"]) / F.nullif(count(hit["l_"] | hit["r_"]), F.lit(0))).alias("significant_jaccard"),

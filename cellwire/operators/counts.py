@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellwire.functions.expressions import barcode_suffix
-from cellwire.operators.ranking import quantiles
+from cellwire.operators.ranking import quantiles, running
 
 # Names of technical features.
 CONTROL_FEATURES = "NegControl|Unassigned|Deprecated"
@@ -192,9 +192,9 @@ def region_windows(
 
 def best_regions(
     windows: DataFrame, positions: DataFrame, factor: int, rows: int, cols: int, block_um: float,
-    min_tissue: float, min_observed: float, min_depth: float, top: int = 100,
+    min_tissue: float, min_observed: float, min_depth: float, top: int | None = None,
 ) -> DataFrame:
-    """Top windows: eligible first, then nearest to the tissue median, deepest, most tissue."""
+    """Windows in order: eligible first, then nearest to the tissue median, deepest, most tissue; ``top`` limits the report."""
     tissue = positions.where("in_tissue = 1")
     middle = lambda c: quantiles(
         tissue.select((F.col(c) / factor).alias("v")), [], "v", [0.5], ["m"]).select("m").scalar()
@@ -205,11 +205,13 @@ def best_regions(
     dr = F.col("row_start") + rows / 2 - middle("array_row")
     dc = F.col("col_start") + cols / 2 - middle("array_col")
     scored = windows.withColumns({"eligible": eligible, "distance_um": F.lit(float(block_um)) * F.sqrt(dr * dr + dc * dc)})
-    order = [F.col("eligible").desc(), F.round("distance_um", 9), F.col("depth_fraction").desc(),
-             F.col("tissue_fraction").desc(), F.col("row_start"), F.col("col_start")]
-    first = scored.orderBy(*order).limit(top)
+    last = (~F.col("eligible")).cast("long")
+    order = [last, F.round("distance_um", 9), -F.col("depth_fraction"), -F.col("tissue_fraction"), F.col("row_start"), F.col("col_start")]
+    if top is None:
+        near_first = scored.withColumn("_ring", last * F.lit(10 ** 12) + F.floor("distance_um"))
+        return running(near_first, [], order, F.lit(1), "rank", "_ring").withColumn("rank", F.col("rank").cast("int")).drop("_ring")
     # Only the top rows meet in this window.
-    return first.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return scored.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def crop_region(positions: DataFrame, row_start: int, col_start: int, rows: int, cols: int, factor: int) -> DataFrame:

@@ -305,11 +305,14 @@ def spatial_blocks(
 ) -> DataFrame:
     """Add ``block_id``: sample, compartment and floor bins from the origin.
 
+    Names carry their lengths, so that no two pairs of names make one block; a null name is a name of its own.
+
     Without an origin the grid starts at the multiple of the size below the smallest coordinate.
     """
     dims = near.axes(cells)
     sizes = [float(size)] * len(dims) if isinstance(size, (int, float)) else [float(s) for s in size]
-    parts: list[Column] = [F.col("sample_id"), F.col("compartment")]
+    named = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    parts: list[Column] = [named(F.col(c).cast("string")) for c in ("sample_id", "compartment")]
     for i, (d, s) in enumerate(zip(dims, sizes)):
         start = (
             F.lit(float(origin[i])) if origin is not None

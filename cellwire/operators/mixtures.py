@@ -111,8 +111,12 @@ def bins_as_cells(
     """(expr, cells) of the retained bins, for the communication analysis with ratio 1.
 
     The library size is taken over all genes of the bin. ``bins`` has x and y and may have
-    sample_id. Both results are stored once, since the analysis reads them several times.
+    sample_id. Both results are stored once, since the analysis reads them several times. Annotations
+    that disagree with ``weights`` are stale, which is an error.
     """
+    stale = weight_disagreements(annotations, weights)
+    if not stale.isEmpty():
+        raise ValueError(f"annotations do not match the weights, first at {stale.first()['barcode']}")
     kept = dominant_bins(annotations, weights, min_weight).where("included").select("barcode", "dominant_type")
     sample = F.col("sample_id") if "sample_id" in bins.columns else F.lit("sample_1")
     cells = bins.join(kept, "barcode").select(
@@ -158,11 +162,12 @@ def contribution(weights: DataFrame, umi: DataFrame) -> DataFrame:
 
 
 def transfer_labels(cells: DataFrame, labels: DataFrame, key: str, label: str, unknown: str = "Unknown") -> DataFrame:
-    """Labels by id; cells without one are ``Unknown``. Duplicate ids in ``labels`` are an error."""
+    """Labels by id; cells without one, or with a blank one, are ``Unknown``. Duplicate ids in ``labels`` are an error."""
     copies = labels.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     if not copies.where("_n > 1").isEmpty():
         raise ValueError(f"duplicate {key} in the label table")
-    return cells.join(labels.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit(unknown)))
+    return cells.join(labels.select(key, label), key, "left").withColumn(
+        label, F.when(F.trim(F.col(label).cast("string")) != "", F.col(label)).otherwise(F.lit(unknown)))
 
 
 def lookup_grid(pixels: DataFrame, grid: DataFrame, factor: int = 4) -> DataFrame:

@@ -220,18 +220,18 @@ def c6(spark, folder):
 
 
 @query("c6_omission_summary", with_(*DENSE, LOPO) + f"""SELECT feature_id, {q6('min(estimate)')} AS estimate_min, {q6('max(estimate)')} AS estimate_max,
-  {q6('avg(CASE WHEN sign(round(estimate, 12)) = sign(round(full_estimate, 12)) THEN 1.0 ELSE 0.0 END)')} AS direction_agreement FROM lo GROUP BY 1""")
+  {q6('avg(CASE WHEN CASE WHEN abs(estimate) <= 1e-12 * greatest(abs(estimate), abs(full_estimate)) THEN 0 ELSE sign(estimate) END = CASE WHEN abs(full_estimate) <= 1e-12 * greatest(abs(full_estimate), abs(estimate)) THEN 0 ELSE sign(full_estimate) END THEN 1.0 ELSE 0.0 END)')} AS direction_agreement FROM lo GROUP BY 1""")
 def c6_summary(spark, folder):
     return r6(co.omission_summary(omissions(spark, folder)), "estimate_min", "estimate_max", "direction_agreement")
 
 
-SPEARMAN = """rk AS (SELECT omitted_patient, rank() OVER (PARTITION BY omitted_patient ORDER BY round(estimate, 12)) + (count(*) OVER (PARTITION BY omitted_patient, round(estimate, 12)) - 1) / 2.0 AS a,
-  rank() OVER (PARTITION BY omitted_patient ORDER BY round(full_estimate, 12)) + (count(*) OVER (PARTITION BY omitted_patient, round(full_estimate, 12)) - 1) / 2.0 AS b FROM lo),
+SPEARMAN = """rk AS (SELECT omitted_patient, rank() OVER (PARTITION BY omitted_patient ORDER BY CAST(printf('%.11e', estimate) AS DOUBLE)) + (count(*) OVER (PARTITION BY omitted_patient, CAST(printf('%.11e', estimate) AS DOUBLE)) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY omitted_patient ORDER BY CAST(printf('%.11e', full_estimate) AS DOUBLE)) + (count(*) OVER (PARTITION BY omitted_patient, CAST(printf('%.11e', full_estimate) AS DOUBLE)) - 1) / 2.0 AS b FROM lo),
 sp AS (SELECT omitted_patient, corr(a, b) AS r FROM rk GROUP BY 1)"""
 
 
 @query("c6_patient_influence", with_(*DENSE, LOPO, SPEARMAN) + f"""SELECT omitted_patient, {q6('min(estimate)')} AS estimate_min, {q6('max(estimate)')} AS estimate_max,
-  {q6('avg(CASE WHEN sign(round(estimate, 12)) = sign(round(full_estimate, 12)) THEN 1.0 ELSE 0.0 END)')} AS direction_agreement, {q6('any_value(r)')} AS estimate_spearman FROM lo JOIN sp USING (omitted_patient) GROUP BY 1""")
+  {q6('avg(CASE WHEN CASE WHEN abs(estimate) <= 1e-12 * greatest(abs(estimate), abs(full_estimate)) THEN 0 ELSE sign(estimate) END = CASE WHEN abs(full_estimate) <= 1e-12 * greatest(abs(full_estimate), abs(estimate)) THEN 0 ELSE sign(full_estimate) END THEN 1.0 ELSE 0.0 END)')} AS direction_agreement, {q6('any_value(r)')} AS estimate_spearman FROM lo JOIN sp USING (omitted_patient) GROUP BY 1""")
 def c6_influence(spark, folder):
     return r6(co.omission_summary(omissions(spark, folder), "omitted_patient"), "estimate_min", "estimate_max", "direction_agreement", "estimate_spearman")
 
@@ -278,7 +278,7 @@ fullest AS (SELECT feature_id, avg(y) FILTER (condition = 'Disease') - avg(y) FI
 
 
 @query("c7_balanced_subsets", with_(*DENSE, BALANCED) + f"""SELECT feature_id, {q6('min(e)')} AS minimum, {q6('max(e)')} AS maximum,
-  {q6('avg(CASE WHEN sign(round(e, 12)) = sign(round(f, 12)) THEN 1.0 ELSE 0.0 END)')} AS direction_agreement, {q6('quantile_cont(e, 0.025)')} AS descriptive_p025,
+  {q6('avg(CASE WHEN CASE WHEN abs(e) <= 1e-12 * greatest(abs(e), abs(f)) THEN 0 ELSE sign(e) END = CASE WHEN abs(f) <= 1e-12 * greatest(abs(f), abs(e)) THEN 0 ELSE sign(f) END THEN 1.0 ELSE 0.0 END)')} AS direction_agreement, {q6('quantile_cont(e, 0.025)')} AS descriptive_p025,
   {q6('quantile_cont(e, 0.5)')} AS median, {q6('quantile_cont(e, 0.975)')} AS descriptive_p975 FROM eff JOIN fullest USING (feature_id) GROUP BY 1""")
 def c7(spark, folder):
     out = co.balanced_effects(*d.cohort(spark, folder), CONDITION, "conditionDisease", REPS)

@@ -13,6 +13,7 @@ from cellwire.operators import validation as va
 from cellwire.operators.expression import log_cp10k
 from cellwire.operators.session import shared_folder
 from cellwire.plans import communication as comm
+from cellwire.plans.bins import bin_communication
 from cellwire.queries import domain as d
 from cellwire.queries.registry import q6, query, r6, with_
 
@@ -161,7 +162,7 @@ best AS (SELECT *, CAST(row_number() OVER (ORDER BY eligible DESC, round(distanc
 
 
 def regions(spark, folder):
-    return ct.best_regions(windows(spark, folder), d.positions(spark, folder), 4, 2, 3, 32, 0.7, 0.9, 0.3)
+    return ct.best_regions(windows(spark, folder), d.positions(spark, folder), 4, 2, 3, 32, 0.7, 0.9, 0.3, top=100)
 
 
 @query("w8_best_regions", with_(*CC, d.POSITIONS, WINDOWS, BEST) + "SELECT row_start, col_start, position_count, eligible, rank, "
@@ -291,14 +292,12 @@ hnear AS (SELECT * FROM hgraph WHERE dist > 0 AND dist <= 24), hmin AS (SELECT m
 @query("a24_bin_communication", with_(*HD).replace("JOIN hval r ON r.barcode = r\n", "JOIN hval r ON r.barcode = hnear.r\n") + f"""SELECT lr_index, sg AS sender_group, rg AS receiver_group,
   {q6('avg(p)')} AS probability, count(*) AS active_edges FROM hterm GROUP BY 1, 2, 3""")
 def a24(spark, folder):
-    expr, cells = hd_cells(spark, folder)
+    genes = ct.collapse_genes(d.counts(spark, folder))
+    places = ct.with_coordinates(d.positions(spark, folder), 8)
     lr = spark.sql(f"SELECT lr_index, concat(ligand, '_', receptor) AS interaction_name, ligand, receptor, annotation "
                    f"FROM ({HD_LR}) AS t(lr_index, ligand, receptor, annotation)")
-    none = spark.sql("SELECT '' AS name, '' AS member")
-    from cellwire.operators.interactions import prepare_interactions
-    inter = prepare_interactions(lr, expr, none, none, "filter")
     settings = comm.Settings(tol=0.0, interaction_range=24.0, contact_range=8.0, min_percent=0.0, min_cells=1)
-    out = comm.communication_records(expr, cells, inter, settings)
+    out = bin_communication(genes, places, annotations(spark, folder), weights(spark, folder), lr, min_weight=0.3, settings=settings)
     return r6(out.select("lr_index", "sender_group", "receiver_group", "probability", "active_edges"), "probability")
 
 

@@ -130,7 +130,7 @@ def c23(spark, folder):
 
 
 @query("n2_spatial_blocks", with_(d.CELLS, "o AS (SELECT floor(min(x) / 8) * 8 AS ox, floor(min(y) / 8) * 8 AS oy FROM cells)") + """
-  SELECT cell_id, sample_id || '|' || compartment || '|' || CAST(CAST(floor((x - ox) / 8) AS BIGINT) AS VARCHAR) || '|' ||
+  SELECT cell_id, length(sample_id) || ':' || sample_id || '|' || length(compartment) || ':' || compartment || '|' || CAST(CAST(floor((x - ox) / 8) AS BIGINT) AS VARCHAR) || '|' ||
   CAST(CAST(floor((y - oy) / 8) AS BIGINT) AS VARCHAR) AS block_id FROM cells, o""")
 def n2(spark, folder):
     return graph.spatial_blocks(d.cells(spark, folder), 8.0).select("cell_id", "block_id")

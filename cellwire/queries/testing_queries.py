@@ -90,7 +90,7 @@ def n1(spark, folder):
 
 # ---- permutation inside spatial blocks --------------------------------------------------------
 BLOCKS = f"""origin AS (SELECT floor(min(x) / {BLOCK}) * {BLOCK} AS ox, floor(min(y) / {BLOCK}) * {BLOCK} AS oy FROM cells),
-blocks AS (SELECT cells.*, sample_id || '|' || compartment || '|' || CAST(CAST(floor((x - ox) / {BLOCK}) AS BIGINT) AS VARCHAR) || '|' ||
+blocks AS (SELECT cells.*, length(sample_id) || ':' || sample_id || '|' || length(compartment) || ':' || compartment || '|' || CAST(CAST(floor((x - ox) / {BLOCK}) AS BIGINT) AS VARCHAR) || '|' ||
   CAST(CAST(floor((y - oy) / {BLOCK}) AS BIGINT) AS VARCHAR) AS block_id FROM cells, origin)"""
 BLOCK_LABELS = drawn_sql("block_id", "blocks")
 NULL_SCORES = f"""sizes AS (SELECT "group" AS g, count(*) AS n FROM cells GROUP BY 1),

@@ -132,3 +132,59 @@ def test_samples_have_their_quotas(spark):
         got = {r["group"]: r["count"] for r in sample.groupBy("group").count().collect()}
         assert got == {r["group"]: r["quota"] for r in sp.proportional_quotas(cells, 31).collect()} and sum(got.values()) == 31
     assert rows(sp.stratified_sample(cells, 31)) == rows(sp.stratified_sample(cells, 31, limit=5))
+
+
+def test_stale_annotations_are_an_error(spark):
+    weights = spark.createDataFrame([("b1", "A", .9), ("b1", "B", .1)], "barcode string, cell_type string, w double")
+    stale = spark.createDataFrame([("b1", "ok", "A", .7)], "barcode string, status string, dominant_type string, max_weight double")
+    counts = spark.createDataFrame([("b1", "L", "L", 10)], COUNTS)
+    bins = spark.createDataFrame([("b1", 0.0, 0.0)], "barcode string, x double, y double")
+    with pytest.raises(ValueError):
+        mx.bins_as_cells(counts, bins, stale, weights, .5)
+
+
+def test_binned_section_from_files(spark, tmp_path):
+    """A matrix folder written in parts, read, collapsed, coarsened and cut to tissue as one call."""
+    from cellwire.plans.bins import read_binned_section
+    from cellwire.sources import write_mex
+
+    counts = spark.createDataFrame([(f"b{r}{c}-1", f"id{k}", 1 + r + c + k) for r in range(4) for c in range(4) for k in range(3) if (r, c) != (3, 3)],
+                                   "barcode string, feature_id string, n long").repartition(5)
+    features = spark.createDataFrame([("id0", "S"), ("id1", "S"), ("id2", "T"), ("id3", "U")], "feature_id string, feature_name string").repartition(3)
+    spots = [(f"b{r}{c}-1", int(r < 2 or c < 2), r, c, 0.0, 0.0) for r in range(4) for c in range(4)]
+    barcodes = spark.createDataFrame([(s[0],) for s in spots], "barcode string").repartition(3)
+    write_mex(counts, features, barcodes, f"{tmp_path}/mex")
+    assert len(list((tmp_path / "mex" / "matrix.mtx").glob("part-*"))) > 2
+    (tmp_path / "positions.csv").write_text("".join(",".join(map(str, s)) + "\n" for s in spots))
+    summed, bins = read_binned_section(spark, f"{tmp_path}/mex", f"{tmp_path}/positions.csv", 2, 4)
+    got = {(r["barcode"], r["gene"]): r["n"] for r in summed.collect()}
+    want = {}
+    for r in range(4):
+        for c in range(4):
+            if (r, c) != (3, 3) and (r < 2 or c < 2):
+                key = f"s_004um_{r // 2:05d}_{c // 2:05d}-1"
+                want[key, "S"] = want.get((key, "S"), 0) + 2 * (1 + r + c) + 1
+                want[key, "T"] = want.get((key, "T"), 0) + 3 + r + c
+    assert got == want
+    assert {(r["x"], r["y"]) for r in bins.collect()} == {(2.0, 2.0), (6.0, 2.0), (2.0, 6.0)}
+    with pytest.raises(ValueError):
+        write_mex(counts, features.where("feature_id <> 'id1'"), barcodes, f"{tmp_path}/bad")
+
+
+def test_wide_counts_in_parts(spark, tmp_path):
+    from cellwire.sources import read_wide_counts, write_wide_counts
+
+    long = spark.createDataFrame([(f"s{k % 7}", f"g{k % 11}", k % 5) for k in range(200)], "spot_id string, gene string, n long").repartition(4)
+    write_wide_counts(long, f"{tmp_path}/wide")
+    got = {(r["spot_id"], r["gene"]): r["n"] for r in read_wide_counts(spark, f"{tmp_path}/wide").collect()}
+    want = {}
+    for k in range(200):
+        key = f"s{k % 7}", f"g{k % 11}"
+        want[key] = want.get(key, 0) + k % 5
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_blank_labels_are_unknown(spark):
+    cells = spark.createDataFrame([(1,), (2,), (3,), (4,)], "k long")
+    labels = spark.createDataFrame([(1, "T"), (2, " "), (3, None)], "k long, l string")
+    assert {r["k"]: r["l"] for r in mx.transfer_labels(cells, labels, "k", "l").collect()} == {1: "T", 2: "Unknown", 3: "Unknown", 4: "Unknown"}
