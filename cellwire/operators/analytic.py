@@ -90,8 +90,10 @@ def _steps(window: float) -> list[Column]:
     return [F.lit(s) * (F.col(f"u{i}") - F.col(f"l{i}")) / F.lit(2 * window) for i, s in enumerate(SHARES)]
 
 
-def _jump(window: float) -> Column:
-    parts = [F.when(F.col("value") > F.col(f"q{i}"), s).otherwise(F.lit(0.0)) for i, s in enumerate(_steps(window))]
+def _jump(window: float, reached: bool = False) -> Column:
+    """Influence of a value: the steps of the quartiles below it, with ``reached`` also of those at it."""
+    value = F.col("value")
+    parts = [F.when(value >= F.col(f"q{i}") if reached else value > F.col(f"q{i}"), s).otherwise(F.lit(0.0)) for i, s in enumerate(_steps(window))]
     return reduce(lambda a, b: a + b, parts)
 
 
@@ -258,11 +260,19 @@ def stratified_analytic_test(
         F.coalesce(F.sum(F.when(F.col("value") == 0, F.col("_w"))), F.lit(0.0)).alias("zero_fraction"), *ties).join(q, ["gene", "group"])
     checked = materialize(checked.select("gene", "group", _gene_reason(density_window, max_zero_fraction, max_tie_fraction).alias("reason"),
                                          _center().alias("center"), *names))
-    # Jumps of every cell for the usable (gene, group) pairs, and their sums per block.
+    # A value counts only by how many quartiles of its gene lie below it. These codes, one per cell and gene whatever the
+    # number of groups, are counted per block, alone and jointly for the two genes of an interaction.
     usable = checked.where("reason IS NULL")
-    jumps = materialize(placed.join(usable.drop("reason", "center"), "gene").withColumn("j", _jump(density_window)).where("j != 0").select(
-        "gene", "group", *CELL, "block_id", "j"))
-    per_block = materialize(jumps.groupBy("gene", "group", "block_id").agg(F.sum("j").alias("sj"), F.sum(F.col("j") * F.col("j")).alias("sjj")).join(block_sizes, "block_id"))
+    cuts = usable.groupBy("gene").agg(F.collect_set("q0").alias("a"), F.collect_set("q1").alias("b"), F.collect_set("q2").alias("c")).select(
+        "gene", F.array_sort(F.array_union(F.array_union("a", "b"), "c")).alias("cuts"))
+    coded = placed.join(cuts, "gene").withColumn("code", F.size(F.filter("cuts", lambda t: t < F.col("value")))).where("code > 0")
+    coded = materialize(coded.select("gene", *CELL, "block_id", "code"))
+    heights = usable.join(cuts, "gene").select("*", F.posexplode("cuts").alias("_p", "value")).select(
+        "gene", "group", (F.col("_p") + 1).alias("code"), _jump(density_window, reached=True).alias("j")).where("j != 0")
+    heights = materialize(heights)
+    counts = coded.groupBy("gene", "block_id", "code").agg(F.count(F.lit(1)).alias("k"))
+    per_block = materialize(counts.join(heights, ["gene", "code"]).groupBy("gene", "group", "block_id").agg(
+        F.sum(F.col("k") * F.col("j")).alias("sj"), F.sum(F.col("k") * F.col("j") * F.col("j")).alias("sjj")).join(block_sizes, "block_id"))
     within = F.col("sjj") - F.col("sj") * F.col("sj") / F.col("nb")
     counted = per_block.join(tally.select("block_id", "group", "c", "ng"), ["block_id", "group"], "left")
     inner = (F.col("nb") > 1) & (F.col("c") > 0) & (F.col("c") < F.col("nb"))
@@ -278,10 +288,16 @@ def stratified_analytic_test(
     held = held.join(pick("ligand", "sender"), ["ligand_gene", "sender_group"], "left").join(pick("receptor", "receiver"), ["receptor_gene", "receiver_group"], "left")
     ready = held.where("_screen IS NULL AND ligand_reason IS NULL AND receptor_reason IS NULL").select(*RECORD, "ligand_gene", "receptor_gene")
     keys = [*RECORD, "block_id"]
-    lig = jumps.select(F.col("gene").alias("ligand_gene"), F.col("group").alias("sender_group"), *CELL, "block_id", F.col("j").alias("jl"))
-    rec = jumps.select(F.col("gene").alias("receptor_gene"), F.col("group").alias("receiver_group"), *CELL, F.col("j").alias("jr"))
-    products = ready.join(lig, ["ligand_gene", "sender_group"]).join(rec, ["receptor_gene", "receiver_group", *CELL]).groupBy(*keys).agg(
-        F.sum(F.col("jl") * F.col("jr")).alias("slr"))
+    side = lambda role, name: coded.select(F.col("gene").alias(f"{role}_gene"), *CELL, "block_id", F.col("code").alias(name))
+    pairs = ready.select("lr_index", "ligand_gene", "receptor_gene").distinct()
+    joint = pairs.join(side("ligand", "lc"), "ligand_gene").join(side("receptor", "rc").drop("block_id"), ["receptor_gene", *CELL]).groupBy(
+        "lr_index", "ligand_gene", "receptor_gene", "block_id", "lc", "rc").agg(F.count(F.lit(1)).alias("k"))
+    tall = lambda role, code, group, name: heights.select(
+        F.col("gene").alias(f"{role}_gene"), F.col("code").alias(code), F.col("group").alias(group), F.col("j").alias(name))
+    half = joint.join(tall("ligand", "lc", "sender_group", "jl"), ["ligand_gene", "lc"]).groupBy(
+        "lr_index", "receptor_gene", "block_id", "rc", "sender_group").agg(F.sum(F.col("k") * F.col("jl")).alias("kl"))
+    products = half.join(tall("receptor", "rc", "receiver_group", "jr"), ["receptor_gene", "rc"]).groupBy(*keys).agg(
+        F.sum(F.col("kl") * F.col("jr")).alias("slr")).join(ready.select(*RECORD), RECORD, "left_semi")
     bl = per_block.select(F.col("gene").alias("ligand_gene"), F.col("group").alias("sender_group"), "block_id", "nb", F.col("sj").alias("sl"))
     br = per_block.select(F.col("gene").alias("receptor_gene"), F.col("group").alias("receiver_group"), "block_id", F.col("sj").alias("sr"))
     means = ready.join(bl, ["ligand_gene", "sender_group"]).join(br, ["receptor_gene", "receiver_group", "block_id"])
