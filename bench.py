@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import sys
 import time
 from pathlib import Path
@@ -20,6 +21,9 @@ HEADLINE = [
     "c17_agreement_report", "c20_sampling_stability",
 ]
 
+# No further pass is begun or continued after so many seconds.
+LIMIT_SECONDS = 400
+
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -41,12 +45,19 @@ def main() -> None:
     names = [n for n in HEADLINE if n in QUERIES and (not only or n in only)]
     # One untimed query starts the JVM and the Python workers.
     QUERIES["a4_group_support"](spark, folder).write.format("noop").mode("overwrite").save()
-    seconds = {}
-    for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
-        print(name, seconds[name], file=sys.stderr, flush=True)
+    # Up to three passes in different orders, as long as they fit the time; the least of each query counts.
+    seconds: dict[str, float] = {}
+    begun = time.perf_counter()
+    for turn in range(3):
+        order = random.Random(turn).sample(names, len(names)) if turn else names
+        for name in order:
+            if turn and time.perf_counter() - begun > LIMIT_SECONDS:
+                break
+            start = time.perf_counter()
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            took = round(time.perf_counter() - start, 3)
+            seconds[name] = min(took, seconds.get(name, took))
+            print(turn, name, took, file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
