@@ -25,15 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwire.llm.common import text_of
 from cellwire.llm.relative_lz import _words, word_bounds
 from cellwire.llm.repeats import joined, mixed
 from cellwire.operators.session import materialize
 
 ORDER = 3
-CHUNK = 1 << 23  # bytes of text
+CHUNK = 6 << 20  # bytes of text
 GRAMS = 1 << 21  # of a bucket, about
-PART = 1 << 22  # bytes that are cut into words at once
+PART = 1 << 20  # bytes that are cut into words at once
 STEPS = 4  # of estimates, per binary order
 LEVELS = 512  # codes of an estimate
 BUCKETS = 64  # of a context's count, by its binary digits
@@ -180,7 +179,9 @@ class Part:
 
     def along(self, counts: np.ndarray) -> np.ndarray:
         """The counts of the distinct grams at every gram that went in."""
-        out = np.empty(len(self.at), counts.dtype)
+        # Half the memory where the counts allow it; sums of both halves still fit.
+        small = counts.dtype == np.int64 and (not len(counts) or counts.max() < 1 << 30)
+        out = np.empty(len(self.at), np.int32 if small else counts.dtype)
         out[self.at] = np.repeat(counts, np.diff(np.r_[self.cut, len(self.at)]))
         return out
 
@@ -286,9 +287,11 @@ def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int
             ends = np.cumsum([o.sum() for o in opened])
             for gram, some, asked in zip(held.grams[2:], np.split(counts, ends[:-1]), opened, strict=True):
                 alone = Part(gram[~asked], held.half[~asked], held.bits, 0)
-                whole = np.empty(n, np.int64)
-                whole[asked], whole[~asked] = some, alone.along(alone.own[k])
+                rest = alone.along(alone.own[k])
+                whole = np.empty(n, np.promote_types(some.dtype, rest.dtype))
+                whole[asked], whole[~asked] = some, rest
                 along[k].append(whole)
+    del part, others
     cells = []
     for k in (0, 1):
         # The tokens of one half by the counts of the other.
@@ -303,11 +306,12 @@ def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int
     packed = (packed_keys(cell.astype(np.uint64)), packed_counts(times), len(cell))
     del cells, cell, times
     both = [a + b for a, b in zip(*along, strict=True)]
+    del along, counts
     train = [int((held.half == k).sum()) for k in (0, 1)]
     rows, at, k = [], 0, 0
     while k < len(held.sizes):
         stop, total = k, 0
-        while stop < len(held.sizes) and (stop == k or total + held.sizes[stop] <= PART // 16):
+        while stop < len(held.sizes) and (stop == k or total + held.sizes[stop] <= PART // 4):
             total += held.sizes[stop]
             stop += 1
         counts = packed_counts(*(c[at:at + total] for c in both))

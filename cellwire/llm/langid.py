@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cellwire.llm.common import slices, text_of
 from cellwire.llm.repeats import gram_hashes, mixed
+from cellwire.operators.session import materialize
 
 SAMPLE = 1500
 SAMPLE_BYTES = 20_000
@@ -310,11 +311,16 @@ def sample_of(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_
     with fewer gives all it has. A text above ``sample_bytes`` bytes gives a stretch of a quarter as many characters.
     """
     usable = learnt(docs).select("doc_id", "text", "lang")
-    langs = usable.select("lang").distinct().count()
-    each = max(least, sample // max(1, langs))
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
     # Ids first: a document of several rows counts once, and no text is sorted.
-    ids = usable.select("lang", "doc_id").distinct().withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= each).drop("_n")
+    ids = usable.select("lang", "doc_id").distinct()
+    sizes = materialize(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("_all")))
+    each = max(least, sample // max(1, sizes.count()))
+    # Only hashes below a bound meet in one task: some four times as many as are wanted, however many there are.
+    space = 1 << 40
+    bound = F.lit(float(space)) * (4 * each + 64) / F.col("_all")
+    placed = ids.join(F.broadcast(sizes), "lang").withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(space))).where(F.col("_h") < bound)
+    drawn = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = placed.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= each).select("lang", "doc_id")
     rows = usable.join(F.broadcast(ids), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
     length = sample_bytes // 4
     start = f"1 + pmod(xxhash64(doc_id, 5), greatest(char_length(text) - {length}, 1))"
