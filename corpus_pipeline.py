@@ -33,8 +33,9 @@ def _stage(work):
     return run_stage
 
 
-# A text whose words are on average less certain than this to be of its language has none.
-LEAST_SCORE = 0.5
+# A text whose words are on average less certain than this to be of its language has none. Texts that mix two
+# languages lie above it.
+LEAST_SCORE = 0.35
 
 
 @_stage
