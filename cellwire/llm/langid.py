@@ -318,7 +318,7 @@ def sample_of(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_
     # Only hashes below a bound meet in one task: some four times as many as are wanted, however many there are.
     space = 1 << 40
     bound = F.lit(float(space)) * (4 * each + 64) / F.col("_all")
-    placed = ids.join(F.broadcast(sizes), "lang").withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(space))).where(F.col("_h") < bound)
+    placed = ids.join(sizes, "lang").withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(space))).where(F.col("_h") < bound)
     drawn = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = placed.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= each).select("lang", "doc_id")
     rows = usable.join(F.broadcast(ids), ["lang", "doc_id"]).dropDuplicates(["lang", "doc_id"])
