@@ -37,6 +37,7 @@ STEPS = 4  # of estimates, per binary order
 LEVELS = 512  # codes of an estimate
 BUCKETS = 64  # of a context's count, by its binary digits
 ROUNDS = 15
+SPREAD = 256  # parts of the cells; their number is bounded by their codes
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -447,13 +448,26 @@ def model(stored: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Mixtur
     """Learn the mixture weights from the cells of a table of ``counted``."""
     totals = stored.agg(F.sum("known"), F.sum("train_0"), F.sum("train_1")).first()
 
-    def unpack(batches):
+    def spread(batches):
         for batch in batches:
+            rows = []
             for cells, times, n in zip(batch["cells"], batch["times"], batch["n_cells"], strict=True):
-                yield pd.DataFrame({"cell": unpacked_keys(cells).astype(np.int64), "times": unpacked_counts(times, int(n), 1)[0]})
-
-    packed = stored.where("n_cells > 0").select("cells", "times", "n_cells")
-    cells = packed.mapInPandas(unpack, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+                codes, counts = unpacked_keys(cells), unpacked_counts(times, int(n), 1)[0]
+                part = (mixed(codes) % np.uint64(SPREAD)).astype(np.int64)
+                for k in np.unique(part).tolist():
+                    some = part == k
+                    rows.append((k, packed_keys(codes[some]), packed_counts(counts[some]), int(some.sum())))
+            yield pd.DataFrame(rows, columns=["part", "cells", "times", "n_cells"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = np.concatenate([unpacked_keys(c) for c in rows["cells"]])
+        counts = np.concatenate([unpacked_counts(t, int(n), 1)[0] for t, n in zip(rows["times"], rows["n_cells"], strict=True)])
+        cells, at, cut = _distinct(codes)
+        return pd.DataFrame({"cell": cells.astype(np.int64), "times": _counted(counts, at, cut)})
+
+    # Packed like the grams: as rows, the cells of all chunks would be the largest exchange.
+    packed = stored.where("n_cells > 0").select("cells", "times", "n_cells").mapInPandas(spread, "part int, cells binary, times binary, n_cells long")
+    cells = packed.groupBy("part").applyInPandas(merge, "cell long, times long")
     return Mixture(order, totals[0] or 0, (totals[1] or 0, totals[2] or 0), rounds).learned(cells)
 
 
