@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwire.operators.ranking import running
+from cellwire.operators.session import materialize, spread
+
+# Points of a characteristic function that one exchanged row stands for.
+POINTS_PER_ROW = 4096
 
 # The four exclusive classes, in their order.
 CLASSES = [
@@ -115,9 +119,9 @@ def enumerate_choices(units: DataFrame, max_choices: int = 1_000_000) -> DataFra
     several = running(sizes.where("_n > 1"), [], [F.col("patient_id")], F.log("_n"), "_l").withColumn(
         "_stride", F.round(F.exp(F.col("_l") - F.log("_n"))).cast("long"))
     strides = sizes.join(several.select("patient_id", "_stride"), "patient_id", "left").fillna(1, ["_stride"])
-    spread = strides.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(total)))).withColumn(
+    chosen = strides.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(total)))).withColumn(
         "_i", F.floor((F.col("choice") - 1) / F.col("_stride")) % F.col("_n")).drop("_n", "_stride")
-    return spread.join(_numbered_sections(units).drop("_n"), ["patient_id", "_i"]).drop("_i")
+    return chosen.join(_numbered_sections(units).drop("_n"), ["patient_id", "_i"]).drop("_i")
 
 
 def choice_supports(scores: DataFrame, choices: DataFrame, disease: str = "Disease") -> DataFrame:
@@ -174,14 +178,26 @@ def exact_class_probabilities(
     levels = present.groupBy("feature_id", "condition", (F.col("_k") / F.col("_n")).alias("p")).agg(F.count(F.lit(1)).alias("c"))
     totals = levels.groupBy("feature_id", "condition").agg(
         F.sum("c").alias("N"),
-        F.when(F.max("p") >= 1, F.lit(0.0)).otherwise(F.exp(F.sum(F.col("c") * F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-16)))))).alias("none"))
-    points = totals.select("feature_id", "condition", "N", F.explode(F.sequence(F.lit(0).cast("long"), F.col("N"))).alias("l"))
+        F.when(F.max("p") >= 1, F.lit(0.0)).otherwise(F.exp(F.sum(F.col("c") * F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-16)))))).alias("none"),
+        F.collect_list(F.struct("p", "c")).alias("_levels"))
+    totals = materialize(totals)
+    # One row per stretch of points: each point carries its sums through the levels alone, and none is aggregated but in the tail.
+    stretch = F.col("_part") * POINTS_PER_ROW
+    parts = totals.select("feature_id", "condition", "N", "_levels", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("N") / POINTS_PER_ROW))).alias("_part"))
+    points = spread(parts, "feature_id", "condition", "_part").select(
+        "feature_id", "condition", "N", "_levels", F.explode(F.sequence(stretch, F.least(F.col("N"), stretch + POINTS_PER_ROW - 1))).alias("l"))
     angle = F.lit(2 * math.pi) * F.col("l") / (F.col("N") + 1)
-    p, c = F.col("p"), F.col("c")
-    re, im = 1 - p + p * F.cos("_a"), p * F.sin("_a")
-    norm = re * re + im * im
-    phi = points.withColumn("_a", angle).join(levels, ["feature_id", "condition"]).groupBy("feature_id", "condition", "N", "l", "_a").agg(
-        F.sum(F.when(norm < 1e-28, F.lit(-1e6)).otherwise(c * F.lit(0.5) * F.log(norm))).alias("_m"), F.sum(c * F.atan2(im, re)).alias("_t"))
+
+    def size_of(total: Column, level: Column) -> Column:
+        re, im = 1 - level["p"] + level["p"] * F.cos("_a"), level["p"] * F.sin("_a")
+        norm = re * re + im * im
+        return total + F.when(norm < 1e-28, F.lit(-1e6)).otherwise(level["c"] * F.lit(0.5) * F.log(norm))
+
+    def turn_of(total: Column, level: Column) -> Column:
+        return total + level["c"] * F.atan2(level["p"] * F.sin("_a"), 1 - level["p"] + level["p"] * F.cos("_a"))
+
+    phi = points.withColumn("_a", angle).withColumns({
+        "_m": F.aggregate("_levels", F.lit(0.0), size_of), "_t": F.aggregate("_levels", F.lit(0.0), turn_of)}).drop("_levels")
     least = F.when(F.col("condition") == disease, F.lit(pf_min)).otherwise(F.lit(c_min))
     # Sum of exp(-i a k) for k = t .. N in closed form, times the characteristic function.
     ar, ai = F.cos(F.col("_a") * least) - 1, -F.sin(F.col("_a") * least)
@@ -193,7 +209,7 @@ def exact_class_probabilities(
         size * (F.cos("_t") * gr - F.sin("_t") * gi))
     tail = phi.groupBy("feature_id", "condition", "N").agg((F.sum(term) / (F.first("N") + 1)).alias("_tail")).withColumn(
         "tail", F.when(least <= 0, 1.0).when(least > F.col("N"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_tail")))))
-    both = tail.join(totals.drop("N"), ["feature_id", "condition"])
+    both = tail.join(totals.drop("N", "_levels"), ["feature_id", "condition"])
     side = lambda name, cond, missing: F.coalesce(F.max(F.when(F.col("condition") == cond, F.col(name))), F.lit(missing))
     wide = both.groupBy("feature_id").agg(
         side("tail", disease, 0.0 if pf_min > 0 else 1.0).alias("pt"), side("none", disease, 1.0).alias("p0"),
