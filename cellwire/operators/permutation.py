@@ -18,7 +18,7 @@ from cellwire.operators.expression import group_sizes, group_trimean, molecule_l
 from cellwire.operators.interactions import Interactions
 from cellwire.operators.ranking import running
 from cellwire.operators.scoring import group_pair_scores
-from cellwire.operators.session import ROWS_PER_TASK, exceeds, materialize
+from cellwire.operators.session import ROWS_PER_TASK, exceeds, materialize, spread
 
 CELL = ["sample_id", "cell_id"]
 RECORD = ["lr_index", "sender_group", "receiver_group"]
@@ -124,7 +124,8 @@ def permuted_labels(
     ranked = _hash_rank(cells.withColumn("_digest", hash_order(seed, *[F.col(c) for c in CELL])), strata, "_digest", "_rank", split)
     places = f"transform(sequence({first}L, {first + n_perm - 1}L), b -> {bijection('(_rank - 1)', 'b')})"
     owner = "_owners[size(filter(_owners, o -> o._upper <= p))]._label"
-    return ranked.join(owners, strata).withColumn(
+    # A cell is a short row with much work: the replicates are drawn in as many tasks as there are partitions.
+    return spread(ranked.join(owners, strata), *CELL).withColumn(
         "labels", F.expr(f"concat(array({mark}), transform({places}, p -> {owner}))")
     ).drop("_digest", "_rank", "_owners", "_size", "_key", "_wide", "_high", "_code")
 
@@ -166,10 +167,10 @@ def null_trimeans(
     ``codes`` (group, code): the labels are codes, and names come back only on the aggregated rows.
     """
     scaled = scale_by_maximum(expr).join(genes.select("gene").distinct(), "gene", "left_semi")
-    spread = scaled.join(labelled.select(*CELL, "labels"), CELL).select(
+    drawn = scaled.join(labelled.select(*CELL, "labels"), CELL).select(
         "gene", "value", F.posexplode("labels").alias("b", "group"))
     sizes = group_sizes(labelled.select(F.col("labels")[0].alias("group")), ["group"])
-    means = group_trimean(spread, sizes, ["b", "group", "gene"], ["group"], limit)
+    means = group_trimean(drawn, sizes, ["b", "group", "gene"], ["group"], limit)
     if codes is None:
         return means
     names = F.broadcast(codes.select(F.col("code").alias("group"), F.col("group").alias("_name")))
@@ -276,6 +277,7 @@ def block_permutation_test(
     if not exceeds(mixed, "g", 1):
         raise ValueError("no block spans several groups; increase the block size")
     codes = materialize(label_codes(blocks))
-    labelled = permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit, first=first, codes=codes)
+    # Stored, since profiles and group sizes read them, and filters on the labels would be drawn again before the exchange.
+    labelled = materialize(permuted_labels(blocks, ["block_id"], n_perm, seed, limit=limit, first=first, codes=codes).select(*CELL, "labels"))
     scores = block_permutation_scores(expr, labelled, support, interactions, kh, n, records, limit, codes)
     return summarize_nulls(scores, n_perm, records, tail, finite_correction, moments)
