@@ -44,7 +44,8 @@ class Settings:
     percent_filter: str = "numeric"
     n_perm: int = 0
     seed: int = 1
-    tile_limit: int = near.SENDERS_PER_TILE
+    # Pairs carry all interactions and replicates, so a task holds fewer senders than in a plain join.
+    tile_limit: int = near.SENDERS_PER_TILE // 8
 
     def __post_init__(self):
         if not 0 <= self.min_percent <= 1:
