@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cellwire import sources
 from cellwire.operators import cohort as co
-from cellwire.operators import ranking
+from cellwire.operators import graph, permutation, proximity, ranking, support
 from plans import metric, run
 
 UNITS, FEATURES = 3000, 40
@@ -57,3 +57,73 @@ def test_adjusted_families_without_buckets(spark):
     assert sorted(map(repr, small.collect())) == sorted(map(repr, large.select(*small.columns).collect()))
     _, nodes = run(small)
     assert sum(n.nodeName().endswith("Join") for n in nodes) == 1
+
+
+CELL_SCHEMA = "sample_id string, cell_id string, x double, y double, `group` string, compartment string"
+
+
+def plane(spark, n=400):
+    place = "pmod(xxhash64({}, id), 1000) / 100.0"
+    return ranking.materialize(spark.range(n).selectExpr(
+        "concat('s', id % 2) AS sample_id", "concat('c', id) AS cell_id", f"CAST({place.format(1)} AS DOUBLE) AS x",
+        f"CAST({place.format(2)} AS DOUBLE) AS y", "concat('g', id % 3) AS group", "concat('k', id % 2) AS compartment"))
+
+
+def test_tiles_keep_all_partitions(spark):
+    """Cells are small, their pairs are not: the join of tiles must not shrink to one task."""
+    edges = graph.radius_edges(plane(spark), 1.0)
+    edges.collect()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(edges.rdd.getNumPartitions())
+
+
+def test_draws_keep_all_partitions(spark):
+    labelled = permutation.permuted_labels(plane(spark), ["sample_id"], 5).select("sample_id", "cell_id", "labels")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(labelled.rdd.getNumPartitions())
+
+
+def test_crowded_tiles_are_split_early():
+    assert proximity.SENDERS_PER_TILE <= 4096
+
+
+def test_edges_carry_attributes_without_another_exchange(spark):
+    cells = plane(spark)
+    out = graph.radius_edges(cells, 1.0, attributes=["group", "compartment"])
+    want = graph.edge_table(graph.radius_edges(cells, 1.0), cells).select(*out.columns)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    _, nodes = run(out)
+    assert max(metric(nodes, "Exchange", "shuffleRecordsWritten")) <= 4 * 400
+    within = graph.radius_edges(cells, 1.0, same_compartment=True, attributes=["compartment"]).collect()
+    assert within and all(r.sender_compartment == r.receiver_compartment for r in within)
+
+
+def test_symmetry_is_seen_without_exchanging_edges(spark):
+    cells = plane(spark)
+    edges = ranking.materialize(graph.radius_edges(cells, 1.0))
+    degree = graph.degrees(cells, 1.0)
+    _, nodes = run(graph.validate_degrees(edges, degree, cells))
+    assert max(metric(nodes, "Exchange", "shuffleRecordsWritten")) < edges.count()
+    first = edges.limit(1)
+    for frame, symmetric in ((edges, True), (edges.unionByName(first), True), (edges.subtract(first), False)):
+        assert graph.validate_degrees(frame, degree, cells).first()["symmetric"] is symmetric
+
+
+def test_points_of_the_support_tail_are_not_aggregated_by_key(spark):
+    """The characteristic function has a point per supporting patient; only its sum is kept."""
+    units = ranking.materialize(spark.range(6000).selectExpr(
+        "concat('s', id) AS section_id", "concat('p', id div 2) AS patient_id",
+        "CASE WHEN id div 2 % 3 = 0 THEN 'Control' ELSE 'Disease' END AS condition"))
+    scores = ranking.materialize(units.where("pmod(xxhash64(section_id), 3) > 0").selectExpr("section_id", "'f' AS feature_id", "1.0D AS score"))
+    frame = support.exact_class_probabilities(scores, units, 50)
+    row = frame.first()
+    assert abs(sum(row[f"p_{c}"] for c in support.CLASSES) - 1) < 1e-9
+    _, nodes = run(frame)
+    assert max(metric(nodes, "HashAggregate", "numOutputRows")) < 1000
+
+
+def test_buckets_follow_the_cuts(spark):
+    rows = ranking.materialize(spark.range(5000).selectExpr("id % 2 AS k", "CAST(pmod(xxhash64(id), 700) AS DOUBLE) AS v"))
+    held = ranking.value_bucket(rows, ["k"], "v", "b").collect()
+    for k in (0, 1):
+        pairs = sorted((r.v, r.b) for r in held if r.k == k)
+        assert [b for _, b in pairs] == sorted(b for _, b in pairs)
+        assert len({b for _, b in pairs}) > 200 and max(b for _, b in pairs) <= ranking.CUTS
