@@ -127,3 +127,15 @@ def test_buckets_follow_the_cuts(spark):
         pairs = sorted((r.v, r.b) for r in held if r.k == k)
         assert [b for _, b in pairs] == sorted(b for _, b in pairs)
         assert len({b for _, b in pairs}) > 200 and max(b for _, b in pairs) <= ranking.CUTS
+
+
+def test_edges_are_dealt_once_to_find_copies(spark):
+    cells = plane(spark)
+    edges = ranking.materialize(graph.radius_edges(cells, 1.0))
+    frame = graph.validate_edges(edges, cells)
+    assert frame.first()["no_duplicate_edges"] is True
+    assert graph.validate_edges(edges.unionByName(edges.limit(1)), cells).first()["no_duplicate_edges"] is False
+    # The copies are counted in a scalar subquery, which is no child of the plan.
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample_id" in text
+    assert not any("hashpartitioning" in line and "receiver_id" in line for line in text.splitlines())
