@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwire.operators.ranking import quantiles, spearman
+from cellwire.operators.session import materialize
 
 KEY = ["sender_group", "receiver_group", "interaction_name"]
 
@@ -143,6 +144,7 @@ def run_summary(runs: DataFrame, key: str, state: str, fields: Sequence[str]) ->
 def ratio_to_baseline(runs: DataFrame, case: Sequence[str], variant: str, value: str, baseline: str = "full") -> DataFrame:
     """Median and quartiles per configuration and the ratio to the baseline of the same case."""
     case = list(case)
-    stats = quantiles(runs, [*case, variant], value, [0.25, 0.5, 0.75], ["q25", "median", "q75"])
+    # Read twice below, one row per configuration.
+    stats = materialize(quantiles(runs, [*case, variant], value, [0.25, 0.5, 0.75], ["q25", "median", "q75"]))
     base = stats.where(F.col(variant) == baseline).select(*case, F.col("median").alias("_base"))
     return stats.join(base, case, "left").withColumn("ratio_to_baseline", F.col("median") / F.col("_base")).drop("_base")
