@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellwire import sources
 from cellwire.operators import cohort as co
 from cellwire.operators import graph, permutation, proximity, ranking, support
+from cellwire.queries import QUERIES
 from plans import metric, run
 
 UNITS, FEATURES = 3000, 40
@@ -139,3 +140,26 @@ def test_edges_are_dealt_once_to_find_copies(spark):
     text = frame._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sample_id" in text
     assert not any("hashpartitioning" in line and "receiver_id" in line for line in text.splitlines())
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_graphs_are_compared_without_exchanging_edges(spark):
+    cells = spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+    _, nodes = run(QUERIES["c23_graph_equality"](spark, FOLDER))
+    # Receivers are copied to four tiles at most; there are ten edges for each.
+    assert max(metric(nodes, "Exchange", "shuffleRecordsWritten")) <= 4 * cells
+
+
+@pytest.mark.parametrize("limit", [4096, 5])
+def test_graph_differences_equal_those_of_the_edge_lists(spark, limit):
+    cells = plane(spark)
+    moved = ranking.materialize(cells.where("cell_id NOT IN ('c3', 'c8')").withColumn(
+        "x", F.expr("CASE WHEN cell_id LIKE 'c1%' THEN x + 0.25 WHEN cell_id = 'c40' THEN 'NaN' WHEN cell_id = 'c41' THEN NULL ELSE x END")))
+    twice = moved.unionByName(moved.where("cell_id = 'c20'"))
+    deep = cells.withColumn("z", F.expr("CAST(pmod(xxhash64(cell_id), 3) AS DOUBLE)"))
+    for left, right, a, b in ((cells, cells, 1.5, 1.5), (cells, cells, 2.0, 1.5), (cells, moved, 1.5, 1.5), (moved, cells, 1.0, 2.0),
+                              (cells, twice, 1.5, 1.5), (deep, cells, 1.5, 1.5), (cells.limit(0), cells, 1.5, 1.5)):
+        want = graph.edge_differences(graph.radius_edges(left, a), graph.radius_edges(right, b)).first()
+        assert graph.radius_graph_differences(left, right, a, b, limit).first() == want
