@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cellwire import sources
 from cellwire.operators import cohort as co
-from cellwire.operators import graph, permutation, proximity, ranking, support
+from cellwire.operators import graph, ordered, permutation, proximity, ranking, support
 from cellwire.queries import QUERIES
 from plans import metric, run
 
@@ -152,6 +152,33 @@ def test_graphs_are_compared_without_exchanging_edges(spark):
     assert max(metric(nodes, "Exchange", "shuffleRecordsWritten")) <= 4 * cells
 
 
+def test_cells_are_sorted_instead_of_edges(spark):
+    folder = "/root/testdata/sf0.1"
+    cells = spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    frame = QUERIES["w11_canonical_order"](spark, folder)
+    rows = [tuple(r)[:3] for r in frame.collect()]
+    assert rows == sorted(rows) and len(rows) > 19 * cells
+    count, nodes = run(QUERIES["w11_canonical_order"](spark, folder))
+    assert count == len(rows)
+    assert sum(metric(nodes, "Exchange", "shuffleRecordsWritten")) <= 8 * cells
+
+
+@pytest.mark.parametrize("candidates", [1 << 21, 30])
+def test_ordered_edges_equal_the_sorted_list(spark, monkeypatch, candidates):
+    monkeypatch.setattr(ordered, "CANDIDATES", candidates)
+    cells = plane(spark)
+    odd = cells.unionByName(cells.where("cell_id LIKE 'c2%'").withColumn("x", F.col("y"))).unionByName(cells.where("cell_id = 'c7'"))
+    odd = odd.withColumn("x", F.expr("CASE cell_id WHEN 'c40' THEN 'NaN' WHEN 'c41' THEN NULL WHEN 'c42' THEN '-Infinity' ELSE x END").cast("double"))
+    odd = odd.withColumn("y", F.expr("CASE WHEN cell_id LIKE 'c5%' THEN y + 1e17 WHEN cell_id LIKE 'c6%' THEN 1e300 ELSE y END"))
+    odd = odd.withColumn("cell_id", F.expr("CASE WHEN cell_id <> 'c11' THEN cell_id END"))
+    grid = cells.selectExpr("sample_id", "CAST(substr(cell_id, 2) AS BIGINT) AS cell_id", "floor(x) AS x", "floor(y) AS y", "floor(x + y) % 3 AS z")
+    for frame, radius in ((cells, 1.5), (cells, 1e-3), (odd, 2.0), (grid, 2.0), (cells.where("sample_id = 's0'"), 50.0), (cells.limit(0), 1.0)):
+        got = [tuple(r) for r in graph.ordered_edges(frame, radius).collect()]
+        want = [tuple(r) for r in graph.radius_edges(frame, radius).drop("weight").collect()]
+        assert [r[:3] for r in got] == sorted(r[:3] for r in want)
+        assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("limit", [4096, 5])
 def test_graph_differences_equal_those_of_the_edge_lists(spark, limit):
     cells = plane(spark)
