@@ -32,12 +32,14 @@ from cellwire.operators.session import materialize
 ORDER = 3
 CHUNK = 6 << 20  # bytes of text
 GRAMS = 1 << 21  # of a bucket, about
+LEVEL = 6  # of compression
 PART = 1 << 20  # bytes that are cut into words at once
 STEPS = 4  # of estimates, per binary order
 LEVELS = 512  # codes of an estimate
 BUCKETS = 64  # of a context's count, by its binary digits
 ROUNDS = 15
 SPREAD = 256  # parts of the cells; their number is bounded by their codes
+FAMILY = 24  # low bits of a cell that its part does not depend on, so that cells of a part lie close together
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -90,33 +92,42 @@ def _counted(own: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences of a fixed number of bytes, the few larger ones as eight bytes behind them."""
+    """Ascending keys after Elias and Fano: their low bits side by side, the high ones as marks at ascending places."""
     if not len(keys):
         return b""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    limit = {w: np.uint64(256 ** w - 1) for w in range(1, 8)}
-    width = min(limit, key=lambda w: w * len(steps) + 8 * int((steps >= limit[w]).sum()))
-    large = steps[steps >= limit[width]]
-    low = np.minimum(steps, limit[width]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + len(steps).to_bytes(8, "little") + np.ascontiguousarray(low).tobytes() + large.astype("<u8").tobytes()
+    low = max(0, (int(keys[-1]) // len(keys)).bit_length() - 1)
+    whole, rest = divmod(low, 8)
+    digits = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)
+    parts = [bytes([low]), len(keys).to_bytes(8, "little"), np.ascontiguousarray(digits[:, :whole]).tobytes()]
+    if rest:
+        parts.append(np.packbits(np.unpackbits(digits[:, whole:whole + 1], axis=1, count=rest, bitorder="little")).tobytes())
+    places = (keys >> np.uint64(low)).astype(np.int64) + np.arange(len(keys))
+    marks = np.zeros(int(places[-1]) + 1, np.bool_)
+    marks[places] = True
+    return b"".join([*parts, np.packbits(marks).tobytes()])
 
 
 def unpacked_keys(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.uint64)
-    width, n = raw[0], int.from_bytes(raw[1:9], "little")
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(raw, np.uint8, n * width, 9).reshape(-1, width)
-    steps = steps.view("<u8").ravel()
-    steps[steps == np.uint64(256 ** width - 1)] = np.frombuffer(raw, "<u8", offset=9 + n * width)
-    return np.cumsum(steps, dtype=np.uint64)
+    low, n = raw[0], int.from_bytes(raw[1:9], "little")
+    whole, rest = divmod(low, 8)
+    digits, at = np.zeros((n, 8), np.uint8), 9 + n * whole
+    digits[:, :whole] = np.frombuffer(raw, np.uint8, n * whole, 9).reshape(n, whole)
+    if rest:
+        size = (n * rest + 7) // 8
+        some = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * rest).reshape(n, rest)
+        digits[:, whole] = np.packbits(some, axis=1, bitorder="little")[:, 0]
+        at += size
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at)))
+    return digits.view("<u8").ravel() | ((places - np.arange(n)).astype(np.uint64) << np.uint64(low))
 
 
 def packed_counts(*columns: np.ndarray) -> bytes:
     """Columns of counts, one byte each; those from 255 on follow as eight bytes."""
     flat = np.concatenate(columns).astype(np.int64)
     large = flat[flat >= 255].astype("<i8").tobytes()
-    return zstandard.compress(np.minimum(flat, 255).astype(np.uint8).tobytes() + large, 3)
+    return zstandard.compress(np.minimum(flat, 255).astype(np.uint8).tobytes() + large, LEVEL)
 
 
 def unpacked_counts(raw: bytes, n: int, columns: int) -> np.ndarray:
@@ -126,13 +137,49 @@ def unpacked_counts(raw: bytes, n: int, columns: int) -> np.ndarray:
     return flat.reshape(columns, n)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, up to the highest that is used."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _joined(planes: bytes, n: int) -> np.ndarray:
+    digits = np.zeros((n, 8), np.uint8)
+    digits[:, :len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return digits.view("<i8").ravel()
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Ascending codes that lie close together: their differences, byte by byte."""
+    return zstandard.compress(_planes(np.diff(codes, prepend=0)), LEVEL)
+
+
+def unpacked_codes(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_joined(zstandard.decompress(raw), n))
+
+
+def packed_ranks(column: np.ndarray) -> bytes:
+    """Large counts that repeat: the different ones, most frequent first, and the rank of each, byte by byte."""
+    values, ranks, times = np.unique(column, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return zstandard.compress(len(values).to_bytes(8, "little") + values[order].astype("<i8").tobytes() + _planes(place[ranks]), LEVEL)
+
+
+def unpacked_ranks(raw: bytes, n: int) -> np.ndarray:
+    data = zstandard.decompress(raw)
+    values = np.frombuffer(data, "<i8", int.from_bytes(data[:8], "little"), 8)
+    return values[_joined(data[8 + values.nbytes:], n)]
+
+
 def packed_texts(rows: pd.DataFrame) -> bytes:
     """Ids, halves and texts of some documents, compressed; a null id has its mark."""
     raws = [r or b"" for r in rows["raw"]]
     known = rows["doc_id"].notna().to_numpy()
     ids = rows["doc_id"].fillna(0).to_numpy(np.int64)
     parts = [np.array([len(raws)], np.int64), ids, np.array([len(r) for r in raws], np.int64), known.astype(np.int8), rows["half"].to_numpy(np.int8)]
-    return zstandard.compress(b"".join([p.tobytes() for p in parts] + raws), 3)
+    return zstandard.compress(b"".join([p.tobytes() for p in parts] + raws), LEVEL)
 
 
 def unpacked_texts(packs) -> tuple[list, np.ndarray, list[bytes]]:
@@ -176,6 +223,7 @@ class Part:
         out = np.zeros((3, len(self.keys)), np.int64)
         for b, raw in zip(answers["bucket"], answers["counts"], strict=True):
             out[:, self.edges[b]:self.edges[b + 1]] = unpacked_counts(raw, self.edges[b + 1] - self.edges[b], 3)
+        out[2] = out.any(axis=0)
         return out
 
     def along(self, counts: np.ndarray) -> np.ndarray:
@@ -233,7 +281,9 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     own = np.concatenate([unpacked_counts(c, b - a, 2) for c, a, b in zip(rows["counts"], edges[:-1], edges[1:], strict=True)], axis=1)
     total = np.stack([_counted(c, at, cut) for c in own])
     known = int((total.sum(axis=0) > 0).sum()) if rows["kind"].iloc[0] == 0 else 0
-    others = np.vstack([total[:, place] - own, (np.diff(np.r_[cut, len(at)]) > 1)[place]])
+    others = total[:, place] - own
+    # Whether any has it needs telling only where nobody counted it.
+    others = np.vstack([others, (np.diff(np.r_[cut, len(at)]) > 1)[place] & ~others.any(axis=0)])
     out = rows[["chunk", "bucket", "kind"]].copy()
     out["counts"] = [packed_counts(*others[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     out["known"] = [known, *[0] * (len(out) - 1)]
@@ -304,7 +354,7 @@ def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int
             code = (code * BUCKETS + digits(context)) * LEVELS + _code(context, count)
         cells.append(code[some])
     cell, times = np.unique(np.concatenate(cells), return_counts=True)
-    packed = (packed_keys(cell.astype(np.uint64)), packed_counts(times), len(cell))
+    packed = (packed_codes(cell), packed_counts(times), len(cell))
     del cells, cell, times
     both = [a + b for a, b in zip(*along, strict=True)]
     del along, counts
@@ -315,11 +365,12 @@ def _annotated(texts: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int
         while stop < len(held.sizes) and (stop == k or total + held.sizes[stop] <= PART // 4):
             total += held.sizes[stop]
             stop += 1
-        counts = packed_counts(*(c[at:at + total] for c in both))
-        rows.append((held.ids[k:stop], held.sizes[k:stop].tolist(), counts, *(packed if not k else (b"", b"", 0)),
+        some = [c[at:at + total] for c in both]
+        words, counts = packed_ranks(some[0]), packed_counts(*some[1:]) if some[1:] else b""
+        rows.append((held.ids[k:stop], held.sizes[k:stop].tolist(), words, counts, *(packed if not k else (b"", b"", 0)),
                      *((int(answers["known"].sum()), *train) if not k else (0, 0, 0))))
         at, k = at + total, stop
-    return pd.DataFrame(rows, columns=["ids", "sizes", "counts", "cells", "times", "n_cells", "known", "train_0", "train_1"])
+    return pd.DataFrame(rows, columns=["ids", "sizes", "words", "counts", "cells", "times", "n_cells", "known", "train_0", "train_1"])
 
 
 def held_out(column: str = "doc_id") -> F.Column:
@@ -368,7 +419,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
         answers = answers.unionByName(answered(again))
     both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return materialize(both.applyInPandas(
-        annotate, "ids array<long>, sizes array<long>, counts binary, cells binary, times binary, n_cells long, known long, train_0 long, train_1 long"))
+        annotate, "ids array<long>, sizes array<long>, words binary, counts binary, cells binary, times binary, n_cells long, known long, train_0 long, train_1 long"))
 
 
 class Mixture:
@@ -452,18 +503,18 @@ def model(stored: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> Mixtur
         for batch in batches:
             rows = []
             for cells, times, n in zip(batch["cells"], batch["times"], batch["n_cells"], strict=True):
-                codes, counts = unpacked_keys(cells), unpacked_counts(times, int(n), 1)[0]
-                part = (mixed(codes) % np.uint64(SPREAD)).astype(np.int64)
+                codes, counts = unpacked_codes(cells, int(n)), unpacked_counts(times, int(n), 1)[0]
+                part = (mixed((codes >> FAMILY).astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)
                 for k in np.unique(part).tolist():
                     some = part == k
-                    rows.append((k, packed_keys(codes[some]), packed_counts(counts[some]), int(some.sum())))
+                    rows.append((k, packed_codes(codes[some]), packed_counts(counts[some]), int(some.sum())))
             yield pd.DataFrame(rows, columns=["part", "cells", "times", "n_cells"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = np.concatenate([unpacked_keys(c) for c in rows["cells"]])
+        codes = np.concatenate([unpacked_codes(c, int(n)) for c, n in zip(rows["cells"], rows["n_cells"], strict=True)])
         counts = np.concatenate([unpacked_counts(t, int(n), 1)[0] for t, n in zip(rows["times"], rows["n_cells"], strict=True)])
         cells, at, cut = _distinct(codes)
-        return pd.DataFrame({"cell": cells.astype(np.int64), "times": _counted(counts, at, cut)})
+        return pd.DataFrame({"cell": cells, "times": _counted(counts, at, cut)})
 
     # Packed like the grams: as rows, the cells of all chunks would be the largest exchange.
     packed = stored.where("n_cells > 0").select("cells", "times", "n_cells").mapInPandas(spread, "part int, cells binary, times binary, n_cells long")
@@ -487,18 +538,19 @@ def scored(docs: DataFrame, order: int = ORDER, rounds: int = ROUNDS) -> DataFra
         mixture = shared.value
         n, v = mixture.total, mixture.known
         for batch in batches:
-            for ids, sizes, raw in zip(batch["ids"], batch["sizes"], batch["counts"], strict=True):
+            for ids, sizes, words, raw in zip(batch["ids"], batch["sizes"], batch["words"], batch["counts"], strict=True):
                 sizes = np.array(sizes, np.int64)
                 if not len(sizes):
                     continue
                 starts = np.cumsum(sizes) - sizes
-                counts = list(unpacked_counts(raw, int(sizes.sum()), mixture.order))
+                total = int(sizes.sum())
+                counts = [unpacked_ranks(words, total), *(unpacked_counts(raw, total, mixture.order - 1) if raw else [])]
                 base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
                 yield pd.DataFrame({
                     "doc_id": pd.array(list(ids), "Int64"), "n_tokens": sizes, "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), starts),
                     "train_tokens": n, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(mixture.log10(counts, sizes), starts),
                 })
 
-    rows = stored.select("ids", "sizes", "counts").mapInPandas(
+    rows = stored.select("ids", "sizes", "words", "counts").mapInPandas(
         run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

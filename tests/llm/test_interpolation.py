@@ -75,6 +75,23 @@ def test_scores_against_direct_counts(spark, monkeypatch, order, chunk, per_buck
     assert all(0 < w < 1 for w in mixture.weights[1:, 1:].ravel())
 
 
+def test_packed_sizes():
+    """Keys take what their spacing asks for and two bits; what is unpacked equals what was packed."""
+    rnd = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 2 ** 64 - 1), (3, 0), (7, 2 ** 63), (1000, 5), (20_000, 2 ** 45), (20_000, 2 ** 64 - 1)):
+        keys = np.sort(rnd.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        raw = interpolation.packed_keys(keys)
+        assert (interpolation.unpacked_keys(raw) == keys).all()
+        if n == 20_000:
+            assert 8 * len(raw) / n < math.log2(top / n) + 2.2
+    for column in (np.array([0, 7, 2 ** 40, 7]), rnd.zipf(1.3, 5000) % 10 ** 6, np.arange(70_000), np.zeros(5, np.int32)):
+        assert (interpolation.unpacked_ranks(interpolation.packed_ranks(column), len(column)) == column).all()
+        codes = np.sort(column).astype(np.int64)
+        assert (interpolation.unpacked_codes(interpolation.packed_codes(codes), len(codes)) == codes).all()
+    words = rnd.choice(4000 * np.arange(1, 200), 50_000)
+    assert len(interpolation.packed_ranks(words)) < 0.8 * len(interpolation.packed_counts(words))
+
+
 def test_weights_maximise_the_held_out_likelihood(spark):
     """Words follow each other by a rule in one half of the text and freely in the other, at known rates."""
     rnd = random.Random(7)
