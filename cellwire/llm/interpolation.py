@@ -30,7 +30,7 @@ from cellwire.llm.repeats import joined, mixed
 from cellwire.operators.session import materialize
 
 ORDER = 3
-CHUNK = 6 << 20  # bytes of text
+CHUNK = 8 << 20  # bytes of text
 GRAMS = 1 << 21  # of a bucket, about
 LEVEL = 6  # of compression
 PART = 1 << 20  # bytes that are cut into words at once
