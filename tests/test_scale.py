@@ -48,6 +48,32 @@ def test_zero_filled_in_blocks(spark):
     assert got == want
 
 
+def test_zeros_arise_from_tiles(spark):
+    """Neither one row per unit and block is exchanged, nor do listed scores change the order in which a unit's features come."""
+    scores, units, features = sparse(spark)
+    out = ranking.zero_filled(scores, units, features, "section_id", "feature_id", block=1)
+    count, nodes = run(out)
+    assert count == UNITS * FEATURES
+    assert sum(metric(nodes, "Exchange", "shuffleRecordsWritten")) < 2 * scores.count()
+    rows = ranking.zero_filled(scores, units, features, "section_id", "feature_id").collect()
+    orders = {tuple(r.feature_id for r in rows[i:i + FEATURES]) for i in range(0, len(rows), FEATURES)}
+    assert len(orders) == 1
+    assert sorted(r.section_id for r in rows[::FEATURES]) == sorted(r.section_id for r in units.collect())
+    assert sum(r.score > 0 for r in rows) == scores.count()
+
+
+@pytest.mark.parametrize("block, chunk", [(3, 1), (1, 2), (128, 256)])
+def test_zero_filled_equals_the_join(spark, block, chunk):
+    rows = [("a", 1, 2.0), ("a", 1, 5.0), ("a", 5, 3.0), ("b", 2, 4.0), ("x", 3, 9.0), (None, 3, 9.0), ("c", None, 9.0), ("c", 4, None)]
+    scores = spark.createDataFrame(rows, "u string, f long, score double")
+    units = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "u string")
+    for listed in (scores, scores.limit(0)):
+        got = ranking.zero_filled(listed, units, spark.range(8).toDF("f"), "u", "f", block=block, chunk=chunk)
+        want = units.crossJoin(spark.range(8).toDF("f")).join(listed, ["u", "f"], "left").fillna(0.0, ["score"])
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select("u", "f", "score").collect()))
+    assert ranking.zero_filled(scores, units.limit(0), spark.range(8).toDF("f"), "u", "f").count() == 0
+
+
 def test_adjusted_families_without_buckets(spark):
     """Small families take one window, large ones buckets: the same values, and no table of the families is broadcast."""
     tests = spark.range(6000).select(
