@@ -19,6 +19,7 @@ from cellwire.operators.expression import molecule_levels, scale_by_maximum
 from cellwire.operators.graph import minimum_distance
 from cellwire.operators.interactions import Interactions, mark_contact, order_interactions, prepare_interactions
 from cellwire.operators.permutation import exceeds_score, label_codes, permuted_labels
+from cellwire.operators.replicates import Scores, sums_of_sides
 from cellwire.operators.session import materialize
 
 CELL = ["sample_id", "cell_id"]
@@ -105,22 +106,34 @@ def _side(levels: DataFrame, places: DataFrame, side: str, level: str) -> DataFr
     return near.prefixed(held.join(places, CELL).select(*CELL, *names, *arrays), side, ["sample_id"])
 
 
+def _pairs(
+    levels: DataFrame, cells: DataFrame, s: Settings, label: str, limit: int, meet: near.Meet | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Cells with levels that are neighbours, or what ``meet`` makes of them, and the crowded tiles."""
+    dims = near.axes(cells)
+    places = cells.select(*CELL, *dims, label)
+    senders, receivers = _side(levels, places, "s", "ligand_level"), _side(levels, places, "r", "receptor_level")
+    points = near.prefixed(cells.select("sample_id", "cell_id", *dims), "s", ["sample_id"])
+    crowded = near.crowded_tiles(points, ["sample_id"], F.lit(s.radius), dims, limit)
+    return near.strict_near_join(
+        senders, receivers, points, ["sample_id"], s.radius, dims, ["sample_id"], crowded, limit, meet), crowded
+
+
+def _probability(s: Settings, weight: Column, left: Column, right: Column, modulators: Column) -> Column:
+    return hill(left * right, s.kh, s.n) * weight * modulators
+
+
+def _scored(terms: DataFrame) -> DataFrame:
+    return terms.where((F.col("p") > 0) & (F.col("p") < float("inf")))
+
+
 def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, label: str) -> DataFrame:
     """Scored edges as (sample, interaction, both labels, probability), self edges included.
 
     Cells meet once, whatever the number of interactions: each side carries an array per cell, and the interactions
     of a pair are those of the sender that the receiver has too.
     """
-    dims = near.axes(cells)
-    places = cells.select(*CELL, *dims, label)
-    senders, receivers = _side(levels, places, "s", "ligand_level"), _side(levels, places, "r", "receptor_level")
-    points = near.prefixed(cells.select("sample_id", "cell_id", *dims), "s", ["sample_id"])
-    crowded = near.crowded_tiles(points, ["sample_id"], F.lit(s.radius), dims, s.tile_limit)
-    pairs = near.strict_near_join(
-        senders, receivers, points, ["sample_id"], s.radius, dims, ["sample_id"], crowded, s.tile_limit)
-
-    def probability(weight: Column, left: Column, right: Column, modulators: Column) -> Column:
-        return hill(left * right, s.kh, s.n) * weight * modulators
+    pairs, crowded = _pairs(levels, cells, s, label, s.tile_limit)
 
     weight = 1.0 / (F.sqrt("d2") * F.lit(s.ratio) * F.lit(s.scale_distance))
     both = F.arrays_zip("s_lr_index", "s_level", "s_modulator", "s_span")
@@ -131,14 +144,37 @@ def _edge_terms(levels: DataFrame, cells: DataFrame, s: Settings, label: str) ->
     mine = lambda c: F.element_at(c, F.col("_at"))
     edges = met.select(
         "sample_id", F.col("e.s_lr_index").alias("lr_index"), f"s_{label}", f"r_{label}",
-        probability(weight, F.col("e.s_level"), mine("r_level"), F.col("e.s_modulator") * mine("r_modulator")).alias("p"))
+        _probability(s, weight, F.col("e.s_level"), mine("r_level"), F.col("e.s_modulator") * mine("r_modulator")).alias("p"))
+    return _scored(edges.unionByName(_self_terms(levels, cells, s, label, crowded)))
+
+
+def _self_terms(levels: DataFrame, cells: DataFrame, s: Settings, label: str, crowded: DataFrame | None) -> DataFrame:
+    """Every cell that has both sides of an interaction, as an edge of the smallest distance of its sample."""
     nearest = minimum_distance(cells, s.radius, None if crowded is None else s.tile_limit)
     own = levels.where("ligand_level > 0 AND receptor_level > 0").join(nearest, "sample_id").join(cells.select(*CELL, label), CELL)
     self_weight = 1.0 / (F.col("min_distance") * F.lit(s.ratio) * F.lit(s.scale_distance))
-    selves = own.select(
+    return own.select(
         "sample_id", "lr_index", F.col(label).alias(f"s_{label}"), F.col(label).alias(f"r_{label}"),
-        probability(self_weight, F.col("ligand_level"), F.col("receptor_level"), F.col("modulator") * F.col("modulator")).alias("p"))
-    return edges.unionByName(selves).where((F.col("p") > 0) & (F.col("p") < float("inf")))
+        _probability(s, self_weight, F.col("ligand_level"), F.col("receptor_level"), F.col("modulator") * F.col("modulator")).alias("p"))
+
+
+def _replicate_sums(levels: DataFrame, cells: DataFrame, s: Settings, labels: int) -> DataFrame:
+    """Sum and number of scored edges per interaction, replicate and pair of label codes.
+
+    Edges never become rows: the cells of a tile meet as arrays, which takes four times the senders in one task.
+    """
+    dims = near.axes(cells)
+    rule = Scores(s.radius, s.ratio, s.scale_distance, s.kh, s.n, labels)
+    sums, crowded = _pairs(
+        levels, cells, s, "labels", 4 * s.tile_limit, lambda left, right, keys: sums_of_sides(left, right, keys, dims, rule))
+    both = F.posexplode(F.arrays_zip("s_labels", "r_labels")).alias("b", "_g")
+    selves = _scored(_self_terms(levels, cells, s, "labels", crowded)).select("sample_id", "lr_index", "p", both).select(
+        "sample_id", "lr_index", "b", F.col("_g.s_labels").alias("sender_group"), F.col("_g.r_labels").alias("receiver_group"),
+        F.col("p").alias("total"), F.lit(1).cast("long").alias("active_edges"))
+    return sums.unionByName(selves).groupBy("sample_id", "lr_index", "b", "sender_group", "receiver_group").agg(
+        F.sum("total").alias("total"), F.sum("active_edges").alias("active_edges")).select(
+        "sample_id", "lr_index", "b", "sender_group", "receiver_group",
+        (F.col("total") / F.col("active_edges")).alias("probability"), "active_edges")
 
 
 def _percent_mask(levels: DataFrame, cells: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
@@ -200,12 +236,7 @@ def communication_records(
         codes = materialize(label_codes(cells))
         labelled = materialize(permuted_labels(cells, ["sample_id"], s.n_perm, s.seed, codes=codes))
         levels = _levels(expr, cells, interactions, s)
-        terms = _edge_terms(levels, labelled, s, "labels")
-        both = F.posexplode(F.arrays_zip("s_labels", "r_labels")).alias("b", "_g")
-        sums = terms.select("sample_id", "lr_index", "p", both).groupBy(
-            "sample_id", "lr_index", "b", F.col("_g.s_labels").alias("sender_group"),
-            F.col("_g.r_labels").alias("receiver_group"),
-        ).agg(F.avg("p").alias("probability"), F.count(F.lit(1)).alias("active_edges"))
+        sums = _replicate_sums(levels, labelled, s, codes.count())
         kept = _filtered(sums, levels, labelled, s, ["b"])
         whole = W.partitionBy(*PAIR)
         observed = F.max(F.when(F.col("b") == 0, F.col("probability"))).over(whole)
