@@ -62,6 +62,16 @@ def test_zeros_arise_from_tiles(spark):
     assert sum(r.score > 0 for r in rows) == scores.count()
 
 
+def test_neighbouring_tiles_share_a_task(spark):
+    """A task names few units, so that their names stay in the dictionaries of files."""
+    scores, units, features = sparse(spark)
+    out = ranking.zero_filled(scores, units, features, "section_id", "feature_id", block=4, chunk=50)
+    per_task = out.groupBy(F.spark_partition_id()).agg(F.countDistinct("section_id").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(per_task) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r.n for r in per_task) < UNITS / 4
+    assert max(r["rows"] for r in per_task) < 2 * UNITS * FEATURES / len(per_task)
+
+
 @pytest.mark.parametrize("block, chunk", [(3, 1), (1, 2), (128, 256)])
 def test_zero_filled_equals_the_join(spark, block, chunk):
     rows = [("a", 1, 2.0), ("a", 1, 5.0), ("a", 5, 3.0), ("b", 2, 4.0), ("x", 3, 9.0), (None, 3, 9.0), ("c", None, 9.0), ("c", 4, None)]
